@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sextant.llm.packing import packing
 from sextant.llm.simhash_dedup import simhash_dedup
+from sextant.llm.source_mix import source_mix
+from sextant.llm.token_counts import token_counts
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -19,6 +22,21 @@ def query(f):
     return f
 
 
+@query
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing(table(spark, sf_dir, "documents"), tiers=(256, 512, 1024, 2048), with_ids=False)
+
+
 @query
 def op7_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"), shingle=3, budget=3).drop("kept")
