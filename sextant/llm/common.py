@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,23 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_roots(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the trees of i and j, pairwise; roots are the smallest members."""
+    while len(i):
+        a, b = parent[i], parent[j]
+        differ = a != b
+        if not differ.any():
+            return
+        i, j, a, b = i[differ], j[differ], a[differ], b[differ]
+        low = np.minimum(a, b)
+        np.minimum.at(parent, np.maximum(a, b), low)
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent[:] = up
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (a long, b long) as (node, component).
 

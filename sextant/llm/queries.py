@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sextant.llm.embedding_dedup import embedding_dedup
 from sextant.llm.packing import packing
 from sextant.llm.simhash_dedup import simhash_dedup
 from sextant.llm.source_mix import source_mix
 from sextant.llm.token_counts import token_counts
+from sextant.llm.vector_topk import vector_topk
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -22,11 +24,21 @@ def query(f):
     return f
 
 
+@query
+def op1_embedding_grid_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 @query
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_topk(table(spark, sf_dir, "embeddings"), k=10, every=100, scale=1024)
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import components, durable
+from sextant.llm.common import components, durable, join_roots
 
 SEED = 42
 BITS = 64
@@ -66,23 +66,6 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, fp long")
 
 
-def _roots(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Join the trees of i and j, pairwise; roots are the smallest members."""
-    while len(i):
-        a, b = parent[i], parent[j]
-        differ = a != b
-        if not differ.any():
-            return
-        i, j, a, b = i[differ], j[differ], a[differ], b[differ]
-        low = np.minimum(a, b)
-        np.minimum.at(parent, np.maximum(a, b), low)
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent[:] = up
-
-
 def trie_forest(keys: np.ndarray, start: np.ndarray, end: np.ndarray, depth: int, budget: int) -> np.ndarray:
     """Walk the tries of the intervals [start, end) of ``keys`` with themselves.
 
@@ -118,7 +101,7 @@ def trie_forest(keys: np.ndarray, start: np.ndarray, end: np.ndarray, depth: int
             width = (m1 - m0)[which]
             i, j = l0[which] + k // width, m0[which] + k % width
             near = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget)
-            _roots(parent, i[near], j[near])
+            join_roots(parent, i[near], j[near])
             a0, a1, b0, b1, err = nodes[:, ~leaf]
         if not len(a0):
             continue
