@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sextant.llm.embedding_dedup import embedding_dedup
 from sextant.llm.packing import packing
+from sextant.llm.pii import pii_spans
 from sextant.llm.simhash_dedup import simhash_dedup
 from sextant.llm.source_mix import source_mix
 from sextant.llm.token_counts import token_counts
@@ -34,6 +35,11 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op5_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_topk(table(spark, sf_dir, "embeddings"), k=10, every=100, scale=1024)
