@@ -9,6 +9,7 @@ from sextant.llm.packing import packing
 from sextant.llm.pii import pii_spans
 from sextant.llm.simhash_dedup import simhash_dedup
 from sextant.llm.source_mix import source_mix
+from sextant.llm.substring_dedup import substring_dedup
 from sextant.llm.token_counts import token_counts
 from sextant.llm.vector_topk import vector_topk
 
@@ -30,6 +31,11 @@ def op1_embedding_grid_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+@query
+def op3_substring_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), window=50, with_text=False).drop("intervals")
+
+
 @query
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3).select("doc_id", "size", "source_size", "target", "taken")
