@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import math
 import os
+import re
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
@@ -32,37 +34,84 @@ TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 16 * 2048
 #: Tokens packed at once.
 CHUNK_TOKENS = 1 << 22
-#: Words whose ids a worker keeps.
-CACHED_WORDS = 300_000
+#: Pieces of a generation of those whose ids a worker keeps.
+CACHED_PIECES = 250_000
 
 _encoders: dict = {}
 
 
-class WordEncoder:
-    """Ids of whole texts by way of their words, for tokenizers in which white space only separates.
+def _class(kinds: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(PLAIN) if unicodedata.category(chr(c))[0] in kinds)
+
+
+def _byte_letters() -> list[str]:
+    """The printable stand-ins of byte-level tokenizers: printable Latin-1 for itself, the rest from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256))
+    return [chr(b) if b in own else chr(256 + next(rest)) for b in range(256)]
+
 
-    Holds for such tokenizers because no merge, normalisation or added token reaches across
-    ASCII white space; equal words then have equal ids, which are kept.
+#: Texts of characters below this are cut here; the tokenizer's own rules cut others.
+PLAIN = 0x180
+STRANGE = re.compile("[^\\x00-\\u017f]|\\u0130|<\\|")
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\\t-\\r \\x85\\xa0{_class('LN')}]+")
+PRINTED = _byte_letters()
+
+
+class WordEncoder:
+    """Ids of whole texts by way of their pieces, for the lower-casing BPE with word ends.
+
+    That tokenizer composes and lower-cases the text, cuts it into runs of letters, single
+    numerals, contractions and runs of other characters, and merges within these pieces
+    only; so equal pieces have equal ids, which are kept for frequent ones in two
+    generations. Texts without rare characters are cut here and their unknown pieces go to
+    the merge model many at once; each piece ends in exactly one id with the word end. Other
+    texts go word by word through the whole tokenizer.
     """
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_str(spec), {}
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.young, self.old = Tokenizer.from_str(spec), {}, {}
+        self.merger = Tokenizer(self.tokenizer.model)
+        self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encode pieces that aren't kept."""
+        for i in range(0, len(pieces), 5000):
+            part = pieces[i : i + 5000]
+            text = " ".join([p if p.isascii() and p.isprintable() else "".join([PRINTED[b] for b in p.encode()]) for p in part])
+            ids = np.array(self.merger.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            flat = ids.tobytes()
+            self.young.update(zip(part, [flat[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)], strict=True))
+
+    def strange(self, text: str) -> bytes:
+        """Ids by the whole tokenizer, a word at a time."""
+        words = text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
+        if len(self.words) > CACHED_PIECES:
+            self.words = {}
+        missing = list(set(words).difference(self.words))
+        for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+            self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
+        return b"".join([self.words[w] for w in words])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") for t in texts]
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        missing = list(set().union(*split).difference(known))
-        for i in range(0, len(missing), 10_000):
-            part = missing[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        cut = [None if STRANGE.search(t) else PIECE.findall(t.lower()) for t in texts]
+        if len(self.young) > CACHED_PIECES:
+            self.young, self.old = {}, self.young
+        missing = set().union(*[c for c in cut if c]).difference(self.young)
+        kept = missing.intersection(self.old)
+        self.young.update((p, self.old[p]) for p in kept)
+        self.learn(list(missing - kept))
+        known = self.young
+        return [self.strange(t) if c is None else b"".join([known[p] for p in c]) for t, c in zip(texts, cut, strict=True)]
 
 
 def encoder(spec: str) -> WordEncoder:

@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from sextant.llm.packing import STEP_TOKENS, TIERS, pack, packing, step_groups
+from sextant.llm.packing import STEP_TOKENS, TIERS, WordEncoder, pack, packing, step_groups
 
 
 def test_pack_uses_every_token_once_and_pads_nothing():
@@ -26,7 +26,7 @@ def test_pack_uses_every_token_once_and_pads_nothing():
 
 
 def test_pieces_hold_the_tokenizers_ids(spark):
-    texts = [None, "", "Hello, World's 123 ÄÖ́!", "<|endoftext|> mid <|startoftext|>x", "e ́x y z\x85a\tb\x0bc\x1cd\r\n e", "Wort " * 5000, "x" * 30000, "a\x00b ﬁ İ Σς ΑΣ", "same", "same"]
+    texts = [None, "", "Hello, World's 123 ÄÖ́!", "<|endoftext|> mid <|startoftext|>x", "e ́x y z\x85a\tb\x0bc\x1cd\r\n e", "Wort " * 5000, "x" * 30000, "a\x00b ﬁ İ Σς ΑΣ", "same", "same", "a★b ★ ★★ c★"]
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rows = [(i if i != 8 else 9, x, "c", 1) for i, x in enumerate(texts)]
     out = packing(spark.createDataFrame(rows, "doc_id long, text string, ids string, start int").coalesce(1)).collect()
@@ -56,3 +56,13 @@ def test_pieces_hold_the_tokenizers_ids(spark):
 def test_empty_table_and_null_ids(spark):
     assert packing(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert packing(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).count() >= 1
+
+
+def test_encoder_on_random_texts():
+    spec = open(public_tokenizers.path("word_bpe_49k.json")).read()
+    mine, whole = WordEncoder(spec), Tokenizer.from_str(spec)
+    rng = random.Random(4)
+    letters = [chr(c) for c in range(0x180)] + list("abcdefgh   \n'..,,1") * 30 + ["'s", "the", "é", "é", "Σ", "“", "日", "<|endoftext|>"] * 4
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(3000)] + [chr(c) for c in range(0x180)]
+    for t, ids in zip(texts, mine.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
