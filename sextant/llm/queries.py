@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sextant.llm.embedding_dedup import embedding_dedup
 from sextant.llm.packing import packing
 from sextant.llm.pii import pii_spans
+from sextant.llm.quality import quality_filter
 from sextant.llm.simhash_dedup import simhash_dedup
 from sextant.llm.source_mix import source_mix
 from sextant.llm.substring_dedup import substring_dedup
@@ -31,6 +32,11 @@ def op1_embedding_grid_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+@query
+def op2_quality_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quantile=0.98)
+
+
 @query
 def op3_substring_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=50, with_text=False).drop("intervals")
