@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sextant.llm.embedding_dedup import embedding_dedup
+from sextant.llm.lm_scoring import lm_scores
 from sextant.llm.packing import packing
 from sextant.llm.pii import pii_spans
 from sextant.llm.quality import quality_filter
@@ -70,3 +71,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"), shingle=3, budget=3).drop("kept")
+
+
+@query
+def op10_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
