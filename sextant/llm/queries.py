@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from sextant.llm.embedding_dedup import embedding_dedup
 from sextant.llm.lm_scoring import lm_scores
 from sextant.llm.packing import packing
@@ -76,3 +77,8 @@ def op7_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
