@@ -1,4 +1,5 @@
 """All queries of the engine's own operators and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from sextant.plans.queries import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
