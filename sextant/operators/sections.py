@@ -53,10 +53,8 @@ LEAST_SECTIONS, LEAST_TEXT = 8, 3
 SHEET_URL = "https://cima.aemps.es/cima/dochtml/ft/"
 
 
-def title_position(text: Column) -> Column:
-    """Position in the template, from 0, of the section that a line opens by number and keyword; null for other lines."""
-    line = F.trim(text)
-    number, title = F.regexp_extract(line, TITLE, 1), F.lower(fold(F.regexp_extract(line, TITLE, 2)))
+def title_position(number: Column, title: Column) -> Column:
+    """Position in the template, from 0, of the section that a number and a folded lower-case title open; else null."""
     out = F.lit(None).cast("int")
     for at, (n, words) in reversed(list(enumerate(TEMPLATE))):
         has = title.contains(words[0])
@@ -84,7 +82,9 @@ def mark_sections(lines: DataFrame, resets: bool = True) -> DataFrame:
     from which positions count anew: the candidates' runs between "1"s are looked at, and a
     run starts a product if the run before reached "7".
     """
-    rows = lines.withColumn("pos", title_position(F.col("text")))
+    line = F.trim(F.col("text"))
+    rows = lines.withColumn("n", F.regexp_extract(line, TITLE, 1)).withColumn("t", F.lower(fold(F.regexp_extract(line, TITLE, 2))))
+    rows = rows.withColumn("pos", title_position(F.col("n"), F.col("t"))).drop("n", "t")
     seven = NUMBERS.index("7")
     if resets:
         rows = rows.withColumn("run", F.sum(F.when(F.col("pos") == 0, 1).otherwise(0)).over(_order()))
@@ -96,7 +96,6 @@ def mark_sections(lines: DataFrame, resets: bool = True) -> DataFrame:
     before = F.max("pos").over(_order("product").rowsBetween(Window.unboundedPreceding, -1))
     opens = F.col("pos").isNotNull() & (F.col("pos") > F.coalesce(before, F.lit(-1)))
     rows = rows.withColumn("is_title", opens).withColumn("section_id", F.sum(opens.cast("int")).over(_order()))
-    line = F.trim(F.col("text"))
     number = F.when(F.col("is_title"), F.regexp_extract(line, TITLE, 1))
     title = F.when(F.col("is_title"), pretty_title(F.regexp_extract(line, TITLE, 2)))
     whole = lambda c: F.last(c, ignorenulls=True).over(_order())

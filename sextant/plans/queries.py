@@ -272,10 +272,10 @@ def generic_sections(spark, sf_dir):
 
 
 _SPANS = f"""l AS ({sql("sheet_lines")}), t(number, pos, word) AS (VALUES {_TEMPLATE}),
-o AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY page, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at, sum(length(text) + 1) OVER (PARTITION BY doc_id) AS total FROM l),
-c AS (SELECT doc_id, page, line, at, total, max(t.number) AS number, max(pos) AS pos FROM o JOIN t ON t.number = regexp_extract(trim(text), '{_RE}', 1) AND contains(lower(strip_accents(regexp_extract(trim(text), '{_RE}', 2))), word) GROUP BY 1, 2, 3, 4, 5),
+o AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY page, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS beg, sum(length(text) + 1) OVER (PARTITION BY doc_id) AS total FROM l),
+c AS (SELECT doc_id, page, line, beg, total, max(t.number) AS number, max(pos) AS pos FROM o JOIN t ON t.number = regexp_extract(trim(text), '{_RE}', 1) AND contains(lower(strip_accents(regexp_extract(trim(text), '{_RE}', 2))), word) GROUP BY 1, 2, 3, 4, 5),
 a AS (SELECT * FROM (SELECT *, max(pos) OVER (PARTITION BY doc_id ORDER BY page, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c) WHERE before IS NULL OR pos > before),
-sp AS (SELECT doc_id, CAST(at AS BIGINT) AS start, CAST(coalesce(lead(at) OVER (PARTITION BY doc_id ORDER BY page, line), total) AS BIGINT) AS "end", number FROM a)"""
+sp AS (SELECT doc_id, CAST(beg AS BIGINT) AS start, CAST(coalesce(lead(beg) OVER (PARTITION BY doc_id ORDER BY page, line), total) AS BIGINT) AS "end", number FROM a)"""
 
 
 @query(f'WITH {_SPANS} SELECT doc_id, start, "end", number FROM sp')
@@ -329,7 +329,7 @@ def chunk_documents(spark, sf_dir):
     return chunking.chunk_documents(lines, sheets)
 
 
-@query(f"WITH p AS ({sql('sheet_lines')}), o AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY page, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM p) SELECT doc_id, offset_ AS \"offset\", arg_max(page, at) AS page FROM o, (VALUES (0), (60), (150), (250), (330), (100000)) v(offset_) WHERE at <= offset_ GROUP BY 1, 2")
+@query(f"WITH p AS ({sql('sheet_lines')}), o AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY page, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS beg FROM p) SELECT doc_id, offset_ AS \"offset\", arg_max(page, beg) AS page FROM o, (VALUES (0), (60), (150), (250), (330), (100000)) v(offset_) WHERE beg <= offset_ GROUP BY 1, 2")
 def page_of_offset(spark, sf_dir):
     lines = frame(spark, sf_dir, "sheet_lines")
     size = F.length("text") + 1
@@ -408,10 +408,10 @@ def table_text(spark, sf_dir):
 _NORM = "trim(regexp_replace(lower(strip_accents({})), '[^a-z0-9]+', ' ', 'g'))"
 _COMMERCIAL = f"coalesce(nullif(trim(regexp_extract({_NORM.format('name')} || ' ', '^((?:[a-z]+ )*)', 1)), ''), {_NORM.format('name')})"
 _MENTIONS = f"""q AS ({sql("questions")}), c AS ({sql("catalogue")}),
-a AS (SELECT row, register, name, ingredients, 0 AS at, {_NORM.format("searched")} AS alias, 'searched_active_ingredient' AS match_type FROM c UNION ALL SELECT row, register, name, ingredients, 1, {_NORM.format("ingredients")}, 'official_active_ingredient' FROM c UNION ALL SELECT row, register, name, ingredients, 2, {_COMMERCIAL}, 'commercial_name' FROM c
+a AS (SELECT row, register, name, ingredients, 0 AS slot, {_NORM.format("searched")} AS alias, 'searched_active_ingredient' AS match_type FROM c UNION ALL SELECT row, register, name, ingredients, 1, {_NORM.format("ingredients")}, 'official_active_ingredient' FROM c UNION ALL SELECT row, register, name, ingredients, 2, {_COMMERCIAL}, 'commercial_name' FROM c
 UNION ALL SELECT row, register, name, ingredients, 3, CASE WHEN length(w) >= 4 AND w <> 'acido' AND NOT list_contains(string_split({_NORM.format("ingredients")}, ' '), w) THEN w ELSE '' END, 'commercial_name' FROM (SELECT *, string_split({_COMMERCIAL}, ' ')[1] AS w FROM c)),
 f AS (SELECT question_id, a.* FROM q JOIN a ON alias <> '' AND contains(' ' || {_NORM.format("text")} || ' ', ' ' || alias || ' ')),
-o AS (SELECT *, row_number() OVER (PARTITION BY question_id, register ORDER BY len(string_split(alias, ' ')) DESC, length(alias) DESC, row, at) AS best, min(row) OVER (PARTITION BY question_id, register) AS first FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY question_id, register ORDER BY len(string_split(alias, ' ')) DESC, length(alias) DESC, row, slot) AS best, min(row) OVER (PARTITION BY question_id, register) AS first FROM f),
 e AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY first) AS place, register, name, ingredients, alias, match_type FROM o WHERE best = 1)"""
 
 
