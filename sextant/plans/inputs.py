@@ -50,7 +50,7 @@ INPUTS = {
     "golden": "SELECT vec_id AS question_id, vec_id % 300 <> 0 AS answerable, CASE WHEN vec_id % 300 <> 0 THEN 'con_respuesta' ELSE 'medicamento_ausente' END AS category, CAST((label + vec_id % 7) % 10 AS STRING) AS expected_register, CAST((label + vec_id % 7) % 3 AS STRING) AS expected_section FROM embeddings WHERE vec_id % 100 = 0",
     "link_questions": "SELECT conv_id AS question_id, CAST(conv_id AS STRING) AS expected_register, CASE WHEN conv_id % 2 = 0 THEN 'assistant' ELSE 'system' END AS expected_section, conv_id % 3 <> 0 AS answerable FROM conversations GROUP BY conv_id",
     "link_chunks": "SELECT concat(conv_id, ':', turn) AS chunk_id, CAST(conv_id AS STRING) AS register, role AS section, turn AS position FROM conversations",
-    "catalogue": "SELECT min(p_partkey) AS row, CAST(min(p_partkey) AS STRING) AS register, concat(upper(p_name), ' ', min(p_size), ' mg tablets') AS name, p_name AS searched, split_part(p_name, ' ', 2) AS ingredients FROM part GROUP BY p_name",
+    "catalogue": "SELECT min(p_partkey) AS row, CAST(min(p_partkey) AS STRING) AS register, concat(upper(p_name), ' ', min(p_size), ' mg tablets') AS name, p_name AS searched, CASE WHEN length(p_name) % 2 = 0 THEN concat('salt of ', p_name) ELSE split_part(p_name, ' ', 2) END AS ingredients FROM part GROUP BY p_name",
     "questions": "SELECT p_partkey AS question_id, concat('¿Dose of ', upper(p_name), ', or ', p_type, '?') AS text FROM part",
     "audited": "SELECT p_partkey AS row, CAST(p_partkey AS STRING) AS register, p_brand AS name, CASE WHEN p_size % 2 = 0 THEN split_part(p_name, ' ', 1) ELSE split_part(p_name, ' ', 2) END AS searched, CASE WHEN p_size % 3 = 0 THEN concat('Sódico', p_name, ', ', p_type) ELSE concat(p_type, ', ', p_name, ' é') END AS ingredients FROM part",
     "search_results": "SELECT split_part(p_name, ' ', 2) AS searched, p_partkey AS place, CAST(p_partkey AS STRING) AS register, p_size % 2 = 0 AS segmented, p_size % 5 <> 0 AS has_sheet, p_brand AS name, CASE WHEN p_size % 7 = 0 THEN NULL ELSE concat(p_name, 's, ', p_type, ' ', p_name) END AS ingredients FROM part",

@@ -397,9 +397,9 @@ def clean_document(spark, sf_dir):
 
 @query()
 def table_text(spark, sf_dir):
-    rows = F.sort_array(F.collect_list(F.struct("l_linenumber", F.array(F.col("l_linenumber").cast("string"), "l_returnflag", "l_shipmode"))))
+    rows = F.sort_array(F.collect_list(F.struct("l_linenumber", F.array(F.col("l_linenumber").cast("string"), "l_returnflag", "l_linestatus"))))
     tables = frame(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(rows.alias("r"))
-    header = F.array(F.lit("Line"), F.lit("Flag"), F.lit("Mode"))
+    header = F.array(F.lit("Line"), F.lit("Flag"), F.lit("Status"))
     return cleaning.table_texts(tables.select("doc_id", F.lit(0).cast("long").alias("number"), F.concat(F.array(header), F.transform("r", lambda x: x["col2"])).alias("rows")))
 
 

@@ -22,13 +22,17 @@ def document_id(path: Column, content: Column) -> Column:
     """FT_<digits> for files of that name, else a readable form of the name with the content's first eight SHA-1 digits."""
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
     bare = F.regexp_replace(fold(stem), r"[^\x00-\x7F]", "")
-    slug = F.left(F.trim(F.lit("-"), F.regexp_replace(F.lower(bare), "[^a-z0-9]+", "-")), F.lit(40))
+    slug = F.left(F.trim(F.regexp_replace(F.lower(bare), "[^a-z0-9]+", "-"), F.lit("-")), F.lit(40))
     return F.when(stem.rlike(r"^FT_\d+$"), stem).otherwise(F.concat(F.when(slug == "", "documento").otherwise(slug), F.lit("-"), F.left(F.sha1(content), F.lit(8))))
 
 
+#: Windows-1252 beyond Latin-1, from the codec; Spark decodes Latin-1 only.
+_WINDOWS = {chr(b): c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
+
+
 def decoded(content: Column) -> Column:
     """UTF-8, without a byte order mark, or else Windows-1252."""
-    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "windows-1252"))
+    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.translate(F.decode(content, "iso-8859-1"), "".join(_WINDOWS), "".join(_WINDOWS.values())))
     return F.regexp_replace(text, "^\ufeff", "")
 
 
