@@ -45,7 +45,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
     kind = F.create_map(*[F.lit(x) for kv in FORMATS.items() for x in kv])[suffix]
     text = F.when(kind.isin("txt", "md"), decoded(F.col("content")))
-    error = F.when(kind.isNull(), F.lit("unsupported format")).when(F.col("length") == 0, F.lit("empty")).when(kind == "pdf", F.lit("pages must be extracted before")).when(F.trim(text) == "", F.lit("blank"))
+    error = F.when(kind.isNull(), F.lit("unsupported format")).when(F.col("length") == 0, F.lit("empty")).when(kind == "pdf", F.lit("pages must be extracted before")).when(text.rlike(r"(?U)^\s*$"), F.lit("blank"))
     doc_id = document_id(F.col("path"), F.col("content"))
     return files.select("path", doc_id.alias("doc_id"), kind.alias("format"), F.nullif(F.regexp_extract(doc_id, r"^FT_(\d+)$", 1), F.lit("")).alias("register"), F.lit(1).alias("page"), F.when(error.isNull(), text).alias("text"), error.alias("error"))
 
