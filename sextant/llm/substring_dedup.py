@@ -138,10 +138,11 @@ def repeated_intervals(docs: DataFrame, window: int = 50) -> tuple[DataFrame, Da
                     yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), batch.column("doc_id").take(pa.array(doc)), batch.column("row").take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], names=["anchor", "content", "doc_id", "row", "start", "windows"])
 
     parts = durable(rows.filter("doc_id is not null and text is not null").mapInArrow(cut, "anchor long, content long, doc_id long, row long, start int, windows int"))
-    shared = parts.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor")
+    # Written tables on both sides of these joins: only then can the adaptive skew join split a frequent anchor.
+    shared = durable(parts.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor"))
     parts = durable(parts.join(shared, "anchor"))
     contents = durable(parts.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "row", "start", "windows")).alias("f")).select("anchor", "content", "f.*"))
-    busy = contents.groupBy("anchor").agg((F.count("*") > BUSY).alias("busy"))
+    busy = durable(contents.groupBy("anchor").agg((F.count("*") > BUSY).alias("busy")))
     wanted = contents.join(busy, "anchor").groupBy("row").agg(F.collect_list(F.struct("anchor", "content", "doc_id", "start", "windows", "busy")).alias("wanted"))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
