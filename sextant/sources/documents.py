@@ -72,7 +72,7 @@ def read_catalogue(spark: SparkSession, path: str, digits_only: bool = True) ->
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
     """Items of a text file, one a line, in order; blank lines and # comments aside, the first of each item whatever its case."""
-    rows = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", "\r\n|\r|\n")).alias("place", "item"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r\n|\r|\n")).alias("place", "item"))
     rows = rows.withColumn("item", F.trim("item")).filter("item <> '' and not startswith(item, '#')")
     first = F.row_number().over(Window.partitionBy(F.lower("item")).orderBy("place"))
     return rows.withColumn("first", first).filter("first = 1").select("place", "item")
