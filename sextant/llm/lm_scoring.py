@@ -27,8 +27,8 @@ from sextant.llm.common import durable
 
 #: Words broadcast with their counts, at most.
 FREQUENT = 400_000
-#: One in so many training documents, by hash, trains the network in each of ``ROUNDS`` rounds.
-SHARE = 16
+#: One in so many training documents, by hash, trains the network in each of ``ROUNDS`` rounds; all of them in one of the two.
+SHARE = 2
 ROUNDS = 2
 #: Tokens that a task counts, trains on or scores at once.
 BLOCK = 1 << 21
