@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 
 CLASSES = 64
@@ -12,6 +10,8 @@ WORDS = CLASSES * CLASS_WORDS
 HIDDEN = 16
 #: Steps of backpropagation, and of the windows between which the state is carried.
 WINDOW = 32
+#: Rows of logits worked on at once, so that they stay in the cache.
+ROWS = 2048
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -35,7 +35,7 @@ def initial(counts: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
 
 def step(p: dict, inputs: np.ndarray, h: np.ndarray):
     """One recurrent step: the new state, and the gates for backpropagation."""
-    x, g = p["x"][inputs], h @ p["u"]
+    x, g = p["x"].take(inputs, axis=0), h @ p["u"]
     k = HIDDEN
     zr = sigmoid(x[:, : 2 * k] + g[:, : 2 * k])
     z, r = zr[:, :k], zr[:, k:]
@@ -43,81 +43,95 @@ def step(p: dict, inputs: np.ndarray, h: np.ndarray):
     return n + z * (h - n), (z, r, n, g[:, 2 * k :], h)
 
 
-def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    top = logits.max(1, keepdims=True)
-    e = np.exp(logits - top)
-    total = e.sum(1, keepdims=True)
-    return e / total, (np.log(total) + top)[:, 0]
+def _by_class(targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by class, and the classes that occur with where each begins and ends in it."""
+    of = (targets // CLASS_WORDS).astype(np.uint8)
+    edges = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=CLASSES)))).tolist()
+    return np.argsort(of, kind="stable"), [(c, a, b) for c, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
 
 
-def _by_class(targets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    of = targets // CLASS_WORDS
-    order = np.argsort(of, kind="stable")
-    edges = np.searchsorted(of[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if edges[c] < edges[c + 1]:
-            yield c, order[edges[c] : edges[c + 1]]
+def _log_softmax_at(logits: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    rows = np.arange(len(targets))
+    logits -= logits.max(1, keepdims=True)
+    own = logits[rows, targets]
+    return own - np.log(np.exp(logits, out=logits).sum(1))
 
 
 def log_probability(p: dict, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log of each target's probability: of its class, and of the word in the class."""
-    logits = h @ p["wc"] + p["bc"]
-    top = logits.max(1)
-    out = logits[np.arange(len(targets)), targets // CLASS_WORDS] - top - np.log(np.exp(logits - top[:, None]).sum(1))
-    for c, rows in _by_class(targets):
-        logits = h[rows] @ p["ww"][c] + p["bw"][c]
-        top = logits.max(1)
-        out[rows] += logits[np.arange(len(rows)), targets[rows] % CLASS_WORDS] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+    order, classes = _by_class(targets)
+    h, targets = h.take(order, axis=0), targets[order]
+    logs = np.empty(len(targets), h.dtype)
+    for c, a, b in classes:
+        logs[a:b] = _log_softmax_at(h[a:b] @ p["ww"][c] + p["bw"][c], targets[a:b] % CLASS_WORDS)
+    for a in range(0, len(targets), ROWS):
+        logs[a : a + ROWS] += _log_softmax_at(h[a : a + ROWS] @ p["wc"] + p["bc"], targets[a : a + ROWS] // CLASS_WORDS)
+    out = np.empty_like(logs)
+    out[order] = logs
     return out
 
 
+def _errors(logits: np.ndarray, targets: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+    """The slope of the mean over ``n`` of the cross-entropy by each of the logits, in their place, and the sum of it."""
+    rows = np.arange(len(targets))
+    logits -= logits.max()
+    np.exp(logits, out=logits)
+    total = np.maximum(logits @ np.ones(logits.shape[1], logits.dtype), np.finfo(logits.dtype).tiny * n * 1e6)
+    loss = -float(np.log(np.maximum(logits[rows, targets] / total, 1e-30)).sum())
+    logits *= (1 / (n * total))[:, None]
+    logits[rows, targets] -= 1 / n
+    return logits, loss
+
+
 def gradients(p: dict, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
     """Of the mean loss over a window (steps, streams) that begins in state ``h``; also the last state and the loss."""
-    steps, k = inputs.shape[0], HIDDEN
+    steps, k, n = inputs.shape[0], HIDDEN, inputs.size
     kept, states = [], []
     for t in range(steps):
         h, gates = step(p, inputs[t], h)
         kept.append(gates)
         states.append(h)
-    flat, want = np.concatenate(states), targets.reshape(-1)
-    n = len(want)
-    d = {name: np.zeros_like(v) for name, v in p.items()}
-    prob, norm = _softmax(flat @ p["wc"] + p["bc"])
-    of = want // CLASS_WORDS
-    loss = -np.log(np.maximum(prob[np.arange(n), of], 1e-30)).sum()
-    prob[np.arange(n), of] -= 1
-    prob /= n
-    d["wc"], d["bc"] = flat.T @ prob, prob.sum(0)
-    dflat = prob @ p["wc"].T
-    for c, rows in _by_class(want):
-        own = flat[rows]
-        prob, norm = _softmax(own @ p["ww"][c] + p["bw"][c])
-        word = want[rows] % CLASS_WORDS
-        loss -= np.log(np.maximum(prob[np.arange(len(rows)), word], 1e-30)).sum()
-        prob[np.arange(len(rows)), word] -= 1
-        prob /= n
-        d["ww"][c], d["bw"][c] = own.T @ prob, prob.sum(0)
-        dflat[rows] += prob @ p["ww"][c].T
-    dstates = dflat.reshape(steps, -1, k)
-    back, dx = np.zeros_like(h), np.empty((steps, h.shape[0], 3 * k), np.float32)
+    d, want = {name: np.zeros_like(v) for name, v in p.items()}, targets.reshape(-1)
+    order, classes = _by_class(want)
+    flat, want, loss = np.concatenate(states).take(order, axis=0), want[order], 0.0
+    slopes = np.empty_like(flat)
+    for a in range(0, n, ROWS):
+        own = flat[a : a + ROWS]
+        error, lost = _errors(own @ p["wc"] + p["bc"], want[a : a + ROWS] // CLASS_WORDS, n)
+        d["wc"] += own.T @ error
+        d["bc"] += error.sum(0)
+        slopes[a : a + ROWS] = error @ p["wc"].T
+        loss += lost
+    for c, a, b in classes:
+        error, lost = _errors(flat[a:b] @ p["ww"][c] + p["bw"][c], want[a:b] % CLASS_WORDS, n)
+        d["ww"][c], d["bw"][c] = flat[a:b].T @ error, error.sum(0)
+        slopes[a:b] += error @ p["ww"][c].T
+        loss += lost
+    dstates = np.empty_like(flat)
+    dstates[order] = slopes
+    dstates = dstates.reshape(steps, -1, k)
+    z, r, cand, gn, before = (np.stack(x) for x in zip(*kept, strict=True))
+    by_cand, by_z, by_r = (1 - z) * (1 - cand * cand), (before - cand) * z * (1 - z), gn * r * (1 - r)
+    back, dx, dg = np.zeros_like(h), np.empty((steps, h.shape[0], 3 * k), h.dtype), np.empty((steps, h.shape[0], 3 * k), h.dtype)
+    back_u = np.ascontiguousarray(p["u"].T)
     for t in reversed(range(steps)):
-        z, r, cand, gn, before = kept[t]
         dh = dstates[t] + back
-        da = dh * (1 - z) * (1 - cand * cand)
-        dz = dh * (before - cand) * z * (1 - z)
-        dr = da * gn * r * (1 - r)
-        dg = np.concatenate((dz, dr, da * r), 1)
-        dx[t] = np.concatenate((dz, dr, da), 1)
-        d["u"] += before.T @ dg
-        back = dh * z + dg @ p["u"].T
-    seen = inputs.reshape(-1)
+        da = dh * by_cand[t]
+        dg[t, :, :k] = dh * by_z[t]
+        dg[t, :, k : 2 * k] = da * by_r[t]
+        dg[t, :, 2 * k :] = da * r[t]
+        dx[t, :, 2 * k :] = da
+        back = dh * z[t] + dg[t] @ back_u
+    dx[:, :, : 2 * k] = dg[:, :, : 2 * k]
+    d["u"] = before.reshape(-1, k).T @ dg.reshape(-1, 3 * k)
+    seen = inputs.reshape(-1).astype(np.uint16)
     order = np.argsort(seen, kind="stable")
     names, first = np.unique(seen[order], return_index=True)
-    d["x"][names] = np.add.reduceat(dx.reshape(-1, 3 * k)[order], first, axis=0)
-    return d, h, float(loss / n)
+    d["x"][names] = np.add.reduceat(dx.reshape(-1, 3 * k).take(order, axis=0), first, axis=0)
+    return d, h, loss / n
 
 
-def fit(p: dict, tokens: np.ndarray, start: int, streams: int = 128, rate: float = 0.08) -> dict[str, np.ndarray]:
+def fit(p: dict, tokens: np.ndarray, start: int, streams: int = 512, rate: float = 0.11) -> dict[str, np.ndarray]:
     """``p`` after one pass over ``tokens`` in parallel streams: truncated backpropagation with Adagrad, the state carried on."""
     streams = max(1, min(streams, len(tokens) // (4 * WINDOW)))
     size = len(tokens) // streams
@@ -130,10 +144,10 @@ def fit(p: dict, tokens: np.ndarray, start: int, streams: int = 128, rate: float
     h = np.zeros((streams, HIDDEN), np.float32)
     for at in range(0, size, WINDOW):
         d, h, _ = gradients(p, inputs[at : at + WINDOW], grid[at : at + WINDOW], h)
-        norm = np.sqrt(sum(float((g * g).sum()) for g in d.values()))
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in d.values()))
         for name, g in d.items():
             if norm > 1:
-                g = g / np.float32(norm)
+                g *= np.float32(1 / norm)
             past[name] += g * g
             p[name] -= np.float32(rate) * g / np.sqrt(past[name])
     return p

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm import gru
-from sextant.llm.common import durable
+from sextant.llm.common import durable, keep_memory
 
 #: Words broadcast with their counts, at most.
 FREQUENT = 400_000
@@ -126,6 +126,7 @@ def train(docs: DataFrame, lex: Lexicon, share: int = SHARE, rounds: int = ROUND
         shared = sc.broadcast(params)
 
         def work(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
+            keep_memory()
             mine, total = None, 0
             wanted = lambda d: not held_out(d) and xxhash.xxh64_intdigest(str(d), 1) % share == turn
             for _, held in _blocks(batches, wanted):
@@ -182,6 +183,7 @@ def lm_scores(docs: DataFrame, share: int = SHARE, rounds: int = ROUNDS, frequen
     total, seen = lex.total, lex.distinct
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         lex, net = known.value, params.value
         row = TaskContext.get().partitionId() << 33
         for ids, held in _blocks(batches, lambda d: True):
