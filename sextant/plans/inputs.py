@@ -56,7 +56,7 @@ INPUTS = {
     "search_results": "SELECT split_part(p_name, ' ', 2) AS searched, p_partkey AS place, CAST(p_partkey AS STRING) AS register, p_size % 2 = 0 AS segmented, p_size % 5 <> 0 AS has_sheet, p_brand AS name, CASE WHEN p_size % 7 = 0 THEN NULL ELSE concat(p_name, 's, ', p_type, ' ', p_name) END AS ingredients FROM part",
     "known_rows": "SELECT p_brand AS searched, CAST(p_partkey % 500 AS STRING) AS register FROM part WHERE p_size < 20",
     "found_rows": "SELECT p_partkey AS place, upper(p_type) AS searched, CAST(p_partkey % 900 AS STRING) AS register, p_name AS name FROM part",
-    "answers": "SELECT concat(conv_id, ':', turn) AS question_id, CASE WHEN turn % 4 = 0 THEN 'con_respuesta_con_pii' WHEN turn % 4 = 1 THEN 'fuera_de_alcance' ELSE 'con_respuesta' END AS category, turn % 4 <> 1 AS answerable, CAST(conv_id AS STRING) AS expected_register, CAST(turn AS STRING) AS expected_section, turn % 4 = 0 AS expected_pii, substr(text, 1, 4) AS forbidden, concat(CASE WHEN conv_id % 5 = 0 THEN '' ELSE '[1] ' END, CASE WHEN conv_id % 7 = 0 THEN 'see [9] and [2]' ELSE 'see [2]' END, lower(substr(text, CAST(conv_id % 3 AS INT) + 1, 9))) AS answer, turn % 5 <> 0 AS found, conv_id % 4 = 0 AS pii_notice, conv_id AS s_doc, turn % 3 AS s_turn, CASE WHEN conv_id % 11 = 0 THEN 'timeout' END AS error FROM conversations",
+    "answers": "SELECT concat(conv_id, ':', turn) AS question_id, CASE WHEN turn % 4 = 0 THEN 'con_respuesta_con_pii' WHEN turn % 4 = 1 THEN 'fuera_de_alcance' ELSE 'con_respuesta' END AS category, turn % 4 <> 1 AS answerable, CAST(conv_id AS STRING) AS expected_register, CAST(turn AS STRING) AS expected_section, turn % 4 = 0 AS expected_pii, CASE WHEN conv_id % 2 = 0 THEN lower(split_part(text, ' ', 2)) ELSE concat(split_part(text, ' ', 2), '#') END AS forbidden, concat(CASE WHEN conv_id % 5 = 0 THEN '' ELSE '[1] ' END, CASE WHEN conv_id % 7 = 0 THEN 'see [9] and [2]' ELSE 'see [2]' END, text) AS answer, turn % 5 <> 0 AS found, conv_id % 4 = 0 AS pii_notice, conv_id AS s_doc, turn % 3 AS s_turn, CASE WHEN conv_id % 11 = 0 THEN 'timeout' END AS error FROM conversations",
 }
 
 

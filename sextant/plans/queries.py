@@ -481,10 +481,10 @@ def pii_mask_full(spark, sf_dir):
 # Answers ---------------------------------------------------------------------------------
 
 
-@query("SELECT conv_id, turn, regexp_replace(concat(lower(substr(text, 1, 20)), '【', turn + 1, '†L3】 y [', turn, '] [', conv_id, ']'), '【\\s*(\\d+)[^】]*】', '[\\1]', 'g') AS text FROM conversations")
+@query("SELECT conv_id, turn, regexp_replace(concat(lower(text), '【', turn + 1, '†L3】 y [', turn, '] [', conv_id, ']'), '【\\s*(\\d+)[^】]*】', '[\\1]', 'g') AS text FROM conversations")
 def citations_plain(spark, sf_dir):
     t = frame(spark, sf_dir, "conversations")
-    made = F.concat(F.lower(F.substring("text", 1, 20)), F.lit("【"), (F.col("turn") + 1).cast("string"), F.lit("†L3】 y ["), F.col("turn").cast("string"), F.lit("] ["), F.col("conv_id").cast("string"), F.lit("]"))
+    made = F.concat(F.lower("text"), F.lit("【"), (F.col("turn") + 1).cast("string"), F.lit("†L3】 y ["), F.col("turn").cast("string"), F.lit("] ["), F.col("conv_id").cast("string"), F.lit("]"))
     return t.select("conv_id", "turn", answers.plain_citations(made).alias("text"))
 
 
@@ -542,10 +542,10 @@ def review_sheet(spark, sf_dir):
     return evaluation.review_sheet(checked, checked.filter(F.col("question_id").endswith(":1")))
 
 
-@query(f"""WITH r AS ({_ranked(5)}), x AS (SELECT question_id, rank, 'doc ' || chunk_id AS name, CASE WHEN CAST(register AS INT) % 3 > 0 THEN register END AS section, 'Label ' || register AS title, substr(d.text, 1, 80) AS text FROM r JOIN documents d ON d.doc_id = chunk_id)
+@query(f"""WITH r AS ({_ranked(5)}), x AS (SELECT question_id, rank, 'doc ' || chunk_id AS name, CASE WHEN CAST(register AS INT) % 3 > 0 THEN register END AS section, 'Label ' || register AS title, d.text FROM r JOIN documents d ON d.doc_id = chunk_id)
 SELECT question_id, count(*) AS n_sources, string_agg('[' || rank || '] ' || name || CASE WHEN section IS NOT NULL THEN ' (Sección ' || section || ': ' || title || ')' ELSE '' END || chr(10) || 'Texto: ' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM x GROUP BY 1""")
 def sources_context(spark, sf_dir):
-    docs = frame(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 80).alias("text"))
+    docs = frame(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     section = F.when(F.col("register").cast("int") % 3 > 0, F.col("register"))
     rows = _retrieved(spark, sf_dir).join(docs, "chunk_id").select("question_id", "rank", F.concat(F.lit("FT_"), F.col("register")).alias("doc_id"), F.concat(F.lit("doc "), F.col("chunk_id").cast("string")).alias("name"), section.alias("section"), F.concat(F.lit("Label "), F.col("register")).alias("title"), F.lit(1).alias("page"), "text", "score")
     found = answers.sources(rows)
