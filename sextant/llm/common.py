@@ -21,10 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends there."""
+    """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends there.
+
+    The folder goes when the application ends, if ``discard`` hasn't removed it before.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sextant-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder, files = _folder(spark, path)
+    files.deleteOnExit(folder)
     out = spark.read.schema(df.schema).parquet(path)
     out._sextant_path = path
     return out
@@ -32,8 +37,15 @@ def durable(df: DataFrame) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Remove a table of ``durable`` that nothing will read again."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._sextant_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    folder, files = _folder(df.sparkSession, df._sextant_path)
+    files.delete(folder, True)
+    files.cancelDeleteOnExit(folder)
+
+
+def _folder(spark: SparkSession, path: str):
+    """Hadoop's path and the file system that it lies in."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def keep_memory() -> None:
