@@ -16,7 +16,7 @@ from sextant.llm.common import durable
 from sextant.llm.packing import packing
 from sextant.llm.pii import redact
 from sextant.llm.quality import train
-from sextant.llm.simhash_dedup import simhash_dedup
+from sextant.llm.shingle_dedup import shingle_dedup
 from sextant.llm.source_mix import mixed_documents
 
 #: SQL can't express these stages; tests hold each against a plain version.
@@ -30,12 +30,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of SimHash near-duplicates.
+    """One document, that of the smallest doc_id, of each group of near-duplicates.
 
-    Shingles of five words; documents without a doc_id can't be compared and stay.
+    Those have a Jaccard similarity of 0.8 or more by sets of five-word shingles; documents
+    without a doc_id can't be compared and stay.
     """
-    gone = simhash_dedup(docs, shingle=5, budget=3).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return shingle_dedup(docs, shingle=5, least=0.8)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,11 +31,11 @@ LEAF_PAIRS = 16
 WALK_PAIRS = 1 << 19
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64-bit SimHash of the A-Z lower-cased text's word shingles, repeats counted; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of the A-Z lower-cased text's word shingles in order; none without words, one of a shorter text."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
         hashes = [xxhash.xxh64_intdigest(joined, SEED)]
@@ -44,7 +44,13 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[s:e], SEED) for s, e in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    return majority(np.array(hashes, dtype=np.uint64))
+    return np.array(hashes, dtype=np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """64-bit SimHash of the A-Z lower-cased text's word shingles, repeats counted; 0 without words."""
+    hashes = shingle_hashes(text, shingle)
+    return majority(hashes) if len(hashes) else 0
 
 
 def majority(hashes: np.ndarray) -> int:
