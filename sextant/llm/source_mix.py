@@ -98,8 +98,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     where there is such a column, is theirs. Documents without words aren't taken.
     """
     key = F.xxhash64(F.lit(seed), "doc_id", F.col("text").cast("string"))
-    plan = source_mix(docs, weights, most, seed).filter("taken > 0").select(F.col("key").alias("mix_key"), F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken")).dropDuplicates(["mix_key"])
-    rows = docs.withColumn("mix_key", key).join(plan, "mix_key")
+    plan = source_mix(docs, weights, most, seed).filter("taken > 0").select(F.col("key").alias("mix_key"), F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken"), F.col("source").alias("mix_source")).dropDuplicates(["mix_key", "mix_source"])
+    rows = docs.withColumn("mix_key", key)
+    rows = rows.join(plan, (rows["mix_key"] == plan["mix_key"]) & rows["source"].eqNullSafe(plan["mix_source"]))
     times = F.ceil(F.col("mix_taken") / F.col("mix_size")).cast("int")
     rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), times)))
     left = F.col("mix_taken") - (F.col("mix_copy") - 1) * F.col("mix_size")

@@ -71,3 +71,14 @@ def test_empty_and_wordless(spark):
     assert source_mix(spark.createDataFrame([], SCHEMA)).count() == 0
     out = source_mix(spark.createDataFrame([(1, None, None, 1, 1), (2, "", "a", 1, 1)], SCHEMA)).collect()
     assert [(r.taken, r.target) for r in out] == [(0, 0.0), (0, 0.0)]
+
+
+def test_equal_rows_of_two_sources_are_taken_by_their_own(spark):
+    shared = [(i, f"t{i} " * (i % 9 + 1), s, 1, 1) for i in range(60) for s in ("a", "b", None)]
+    df = spark.createDataFrame(shared + [(1000 + i, "w " * 30, "b", 1, 1) for i in range(20)], SCHEMA)
+    want, got = defaultdict(int), defaultdict(int)
+    for r in source_mix(df).collect():
+        want[r.doc_id, r.source] += r.taken
+    for r in mixed_documents(df).collect():
+        got[r.doc_id, r.source] += len(r.text.split())
+    assert dict(got) == {k: v for k, v in want.items() if v}
