@@ -114,7 +114,8 @@ def shingle_dedup(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> Data
 
     Documents whose sets of ``shingle``-word shingles (A-Z lower-cased; a shorter text is one
     shingle) have a Jaccard similarity of ``least`` or more are linked; of what links connect,
-    the rows of the smallest doc_id stay. Null and word-less texts are copies of each other.
+    the rows of the smallest doc_id stay. Rows are judged one by one, so of two texts with one
+    doc_id the one without a copy of its own stays. Null and word-less texts are copies of each other.
     Rows without a doc_id can't be compared and stay. An empty table gives an empty table.
     """
     rows = durable(with_nodes(docs, shingle))
@@ -122,5 +123,5 @@ def shingle_dedup(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> Data
     found = near_components(named, shingle, least)
     placed = named.select("doc_id", "near_node").distinct().join(found, "near_node", "left").withColumn("component", F.coalesce("component", "near_node"))
     roots = placed.groupBy("component").agg(F.min("doc_id").alias("root"))
-    gone = placed.join(roots, "component").filter("doc_id <> root").select("doc_id").distinct()
-    return rows.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = placed.join(roots, "component").filter("doc_id <> root").select("doc_id", "near_node")
+    return rows.join(gone, ["doc_id", "near_node"], "left_anti").select(*docs.columns)

@@ -51,3 +51,9 @@ def test_links_that_no_least_node_shows(spark):
         text = text[20:] + [f"v{rng.randrange(5000)}" for _ in range(20)]
     kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()]
     assert kept == [0]
+
+
+def test_rows_that_share_a_doc_id_are_judged_one_by_one(spark):
+    rows = [(1, "a b c d e f", "en", "s", 1), (2, "a b c d e f", "en", "s", 1), (2, "no other copy of this text", "en", "s", 1), (None, "a b c d e f", "en", "s", 1)]
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, "a b c d e f"), (1, "a b c d e f"), (2, "no other copy of this text")]
