@@ -27,6 +27,8 @@ from sextant.llm.common import durable, keep_memory
 
 #: Words broadcast with their counts, at most.
 FREQUENT = 400_000
+#: Bins of counts or hashes in which the least frequent of these are searched.
+BINS = 4096
 #: One in so many training documents, by hash, trains the network in each of ``ROUNDS`` rounds; all of them in one of the two.
 SHARE = 2
 ROUNDS = 2
@@ -103,16 +105,39 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _least(values: DataFrame, high: int, want: int) -> tuple[int, int]:
+    """The least value from which on ``values`` (c, from 0 to below ``high``) are at most ``want``, and how many those are.
+
+    Bins from the highest on; the one that has too many is cut again until it is one value.
+    """
+    low, size = 0, 0
+    while True:
+        width = -(-(high - low) // BINS)
+        own = values.filter((F.col("c") >= low) & (F.col("c") < high))
+        steps = own.groupBy(F.expr(f"(c - {low}L) div {width}L").alias("bin")).agg(F.count("*").alias("rows")).orderBy(F.desc("bin")).collect()
+        over = None
+        for r in steps:
+            if size + r.rows > want:
+                over = r.bin
+                break
+            size += r.rows
+        if over is None:
+            return low, size
+        if width == 1:
+            return low + over + 1, size
+        low, high = low + over * width, min(high, low + (over + 1) * width)
+
+
 def lexicon(counts: DataFrame, frequent: int = FREQUENT) -> Lexicon:
-    """The words of the highest counts, as many whole counts as stay within ``frequent``."""
-    whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    steps = counts.groupBy(F.least("n", F.lit(10_000)).alias("c")).agg(F.count("*").alias("words")).orderBy(F.desc("c")).collect()
-    least, size = 1 << 62, 0
-    for r in steps:
-        if size + r.words > frequent:
-            break
-        least, size = r.c, size + r.words
-    top = counts.filter(F.col("n") >= least).toArrow()
+    """The ``frequent`` words of the highest counts; of the count that can't stay whole, those of the highest hash."""
+    whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.max("n").alias("most")).first()
+    least, size = _least(counts.select(F.col("n").alias("c")), int(whole.most or 0) + 1, frequent)
+    chosen = F.col("n") >= least
+    if size < min(frequent, whole.v):
+        place = F.shiftrightunsigned("word", 1)
+        edge, _ = _least(counts.filter(F.col("n") == least - 1).select(place.alias("c")), (1 << 63) - 1, frequent - size)
+        chosen |= (F.col("n") == least - 1) & (place >= edge)
+    top = counts.filter(chosen).toArrow()
     return Lexicon(top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy(), int(whole.n or 0), int(whole.v))
 
 
@@ -206,7 +231,7 @@ def lm_scores(docs: DataFrame, share: int = SHARE, rounds: int = ROUNDS, frequen
 
     scored = durable(rows.mapInArrow(work, "row long, doc_id long, held_out boolean, n_tokens long, n_frequent long, n_other long, frequent_logs double, other_logs double, net double, rare array<long>"))
     each = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
-    rare = each.join(counts.filter(F.col("n") < (int(lex.counts.min()) if len(lex.counts) else 1 << 62)), "word").groupBy("row").agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_logs"))
+    rare = each.join(counts.filter(F.col("n") <= (int(lex.counts.min()) if len(lex.counts) else 1 << 62)), "word").groupBy("row").agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_logs"))
     out = scored.drop("rare").join(rare, "row", "left")
     logs = F.coalesce("rare_logs", F.lit(0.0))
     base = F.col("frequent_logs") + logs - F.col("n_tokens") * F.lit(float(np.log10(total + seen + 1)))

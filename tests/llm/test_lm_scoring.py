@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from sextant.llm import gru
-from sextant.llm.lm_scoring import lm_scores
+from sextant.llm.lm_scoring import lexicon, lm_scores
 
 SCHEMA = "doc_id long, text string, score string, row int"
 
@@ -85,3 +85,14 @@ def test_training_learns_what_the_state_tells():
 
 def test_empty_table(spark):
     assert lm_scores(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_lexicon_has_the_most_frequent_words_at_every_size(spark):
+    flat = [(100 + k, 50_000) for k in range(60)]
+    steep = [(k - 50, 20_000 + 7 * k) for k in range(100)]
+    for rows in (flat, steep, flat + steep, [(k, 1) for k in range(90)]):
+        lex = lexicon(spark.createDataFrame(rows, "word long, n long"), 40)
+        assert len(lex.keys) == 40 and lex.total == sum(n for _, n in rows) and lex.distinct == len(rows)
+        assert sorted(lex.counts, reverse=True) == sorted((n for _, n in rows), reverse=True)[:40]
+    assert len(lexicon(spark.createDataFrame(flat, "word long, n long"), 100).keys) == 60
+    assert len(lexicon(spark.createDataFrame([], "word long, n long"), 40).keys) == 0
