@@ -134,22 +134,32 @@ def gradients(p: dict, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -
 def fit(p: dict, tokens: np.ndarray, start: int, streams: int = 512, rate: float = 0.11) -> dict[str, np.ndarray]:
     """``p`` after one pass over ``tokens`` in parallel streams: truncated backpropagation with Adagrad, the state carried on."""
     streams = max(1, min(streams, len(tokens) // (4 * WINDOW)))
-    size = len(tokens) // streams
-    if size < 2:
+    if not len(tokens):
         return p
-    grid = tokens[: streams * size].reshape(streams, size).T
+    size, longer = divmod(len(tokens), streams)  # so many streams have one token more, which trains last
+    cut = longer * (size + 1)
+    ahead = tokens[:cut].reshape(longer, size + 1)
+    grid = np.concatenate((ahead[:, :size], tokens[cut:].reshape(streams - longer, size))).T
     inputs = np.concatenate((np.full((1, streams), start, grid.dtype), grid[:-1]))
     p = {name: v.copy() for name, v in p.items()}
     past = {name: np.full_like(v, 1e-6) for name, v in p.items()}
     h = np.zeros((streams, HIDDEN), np.float32)
-    for at in range(0, size, WINDOW):
-        d, h, _ = gradients(p, inputs[at : at + WINDOW], grid[at : at + WINDOW], h)
+
+    def learn(inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, share: float = 1.0) -> np.ndarray:
+        d, h, _ = gradients(p, inputs, targets, h)
         norm = np.sqrt(sum(float(np.vdot(g, g)) for g in d.values()))
+        scale = np.float32(share / max(norm, 1.0))
         for name, g in d.items():
-            if norm > 1:
-                g *= np.float32(1 / norm)
+            if scale != 1:
+                g *= scale
             past[name] += g * g
             p[name] -= np.float32(rate) * g / np.sqrt(past[name])
+        return h
+
+    for at in range(0, size, WINDOW):
+        h = learn(inputs[at : at + WINDOW], grid[at : at + WINDOW], h)
+    if longer:
+        learn(grid[-1:, :longer], ahead[:, size:].T, h[:longer], longer / (streams * WINDOW))
     return p
 
 

@@ -96,3 +96,19 @@ def test_lexicon_has_the_most_frequent_words_at_every_size(spark):
         assert sorted(lex.counts, reverse=True) == sorted((n for _, n in rows), reverse=True)[:40]
     assert len(lexicon(spark.createDataFrame(flat, "word long, n long"), 100).keys) == 60
     assert len(lexicon(spark.createDataFrame([], "word long, n long"), 40).keys) == 0
+
+
+def test_every_token_trains_once_and_after_its_own(monkeypatch):
+    seen, plain = [], gru.gradients
+
+    def watched(p, inputs, targets, h):
+        seen.extend(zip(inputs.ravel().tolist(), targets.ravel().tolist(), strict=True))
+        return plain(p, inputs, targets, h)
+
+    monkeypatch.setattr(gru, "gradients", watched)
+    p = gru.initial(np.ones(gru.WORDS))
+    for n in (1, 5, 128 * 3, 128 * 3 + 2, 128 * 3 + 127):
+        seen.clear()
+        gru.fit(p, np.arange(2, n + 2), 1)
+        assert sorted(y for _, y in seen) == list(range(2, n + 2))
+        assert all(x in (1, y - 1) for x, y in seen) and sum(x == 1 for x, _ in seen) == max(1, n // 128)
