@@ -11,22 +11,22 @@ from pyspark.sql import types as T
 
 #: Characters replaced after composition. Fixed values.
 REPLACED = {
-    " ": " ",
-    " ": " ",
-    " ": " ",
-    "­": "",
-    "​": "",
-    "ﬁ": "fi",
-    "ﬂ": "fl",
-    "‐": "-",
-    "‑": "-",
-    "": "•",
-    "": "•",
-    "": "-",
-    "\t": " ",
+    "\xa0": " ",  # no-break space
+    "\u2009": " ",  # thin space
+    "\u202f": " ",  # narrow no-break space
+    "\xad": "",  # soft hyphen
+    "\u200b": "",  # zero width space
+    "\ufb01": "fi",  # latin small ligature fi
+    "\ufb02": "fl",  # latin small ligature fl
+    "\u2010": "-",  # hyphen
+    "\u2011": "-",  # non-breaking hyphen
+    "\uf0b7": "\u2022",  # private use
+    "\uf0a7": "\u2022",  # private use
+    "\uf02d": "-",  # private use
+    "\t": " ",  # tab
 }
 #: Line ends of Python's splitlines.
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 #: Words that the lexical ranking leaves out. Fixed values.
 STOP_WORDS = ("de", "la", "el", "en", "y", "a", "los", "las", "un", "una", "por", "con", "para", "se", "que", "es", "del", "al", "lo", "su", "o", "como")
 CONTROL_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
@@ -63,14 +63,33 @@ def tokens(text: Column) -> Column:
     return F.filter(found, lambda t: ~t.isin(*STOP_WORDS))
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of ``value``, which is computed once even where ``f`` uses it often or within lambdas."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+#: The first character that composition can change.
+FIRST_COMPOSED = "\\u0300"
+
+
 @F.pandas_udf(T.StringType())
 def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def composed(text: Column) -> Column:
+    """In the composed normal form. Spark has no built-in for it, but only texts with characters from U+0300 on go to Python."""
+    return F.coalesce(_composed(F.when(text.rlike(f"[^\\x00-{FIRST_COMPOSED}]|{FIRST_COMPOSED}"), text)), text)
+
+
 def clean_characters(text: Column, compose: bool = True) -> Column:
-    """Composed (where ``compose``; Spark has no built-in for it) and with odd spaces, hyphens, ligatures and bullets replaced."""
-    out = _composed(text) if compose else text
+    """Composed (where ``compose``) and with odd spaces, hyphens, ligatures and bullets replaced."""
+    out = composed(text) if compose else text
     single = {k: v for k, v in REPLACED.items() if len(v) <= 1}
     order = [k for k in single if single[k]] + [k for k in single if not single[k]]
     out = F.translate(out, "".join(order), "".join(single[k] for k in order))

@@ -99,6 +99,7 @@ def _evaluated(spark, sf_dir):
 
 
 _EVALUATED = f"SELECT *, CAST(CAST(register AS INT) % 3 AS VARCHAR) AS section FROM ({_ranked(5)})"
+_ABSENT = "category = 'medicamento_ausente'"
 _HITS = f"""g AS ({sql("golden")}), r AS ({_EVALUATED}),
 l AS (SELECT question_id, register, section, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS place FROM r WHERE score >= 0.1),
 h AS (SELECT g.*, (SELECT min(place) FROM l WHERE l.question_id = g.question_id AND register = expected_register AND section = expected_section) AS hit,
@@ -111,9 +112,9 @@ def _share(condition: str, among: str) -> str:
 
 
 @query(
-    f"WITH {_HITS} SELECT count(*) AS n_questions, count(*) FILTER (WHERE answerable) AS n_answerable, count(*) FILTER (WHERE category = 'medicamento_ausente') AS n_rejected, "
+    f"WITH {_HITS} SELECT count(*) AS n_questions, count(*) FILTER (WHERE answerable) AS n_answerable, count(*) FILTER (WHERE {_ABSENT}) AS n_rejected, "
     + ", ".join(f"{_share(f'hit <= {k}', 'answerable')} AS hit_rate_{k}, {_share(f'sheet <= {k}', 'answerable')} AS sheet_rate_{k}" for k in (1, 3, 5))
-    + f", round(sum(CASE WHEN answerable THEN coalesce(1.0::DOUBLE / hit, 0) END) / nullif(count(*) FILTER (WHERE answerable), 0), 4) AS mrr, {_share('best = expected_section', 'answerable')} AS section_rate_1, {_share('nothing', chr(99) + 'ategory = ' + repr('medicamento_ausente'))} AS right_rejections, {_share('nothing', 'answerable')} AS false_rejections FROM h"
+    + f", round(sum(CASE WHEN answerable THEN coalesce(1.0::DOUBLE / hit, 0) END) / nullif(count(*) FILTER (WHERE answerable), 0), 4) AS mrr, {_share('best = expected_section', 'answerable')} AS section_rate_1, {_share('nothing', _ABSENT)} AS right_rejections, {_share('nothing', 'answerable')} AS false_rejections FROM h"
 )
 def retrieval_metrics(spark, sf_dir):
     return evaluation.retrieval_metrics(_hits(spark, sf_dir, 0.1))
@@ -133,7 +134,7 @@ _SWEEP = f"""WITH g AS ({sql("golden")}), r AS ({_EVALUATED}), t AS (SELECT roun
 h AS (SELECT threshold, question_id, answerable, category,
 (SELECT min(1 + (SELECT count(*) FROM r b WHERE b.question_id = a.question_id AND b.rank < a.rank AND b.score >= threshold)) FROM r a WHERE a.question_id = g.question_id AND a.score >= threshold AND a.register = expected_register AND a.section = expected_section) AS hit,
 NOT EXISTS (SELECT 1 FROM r a WHERE a.question_id = g.question_id AND a.score >= threshold) AS nothing FROM g, t),
-m AS (SELECT threshold, coalesce({_share("hit <= 5", "answerable")}, 0) AS hit_rate, coalesce({_share("nothing", "category = 'medicamento_ausente'")}, 0) AS right_rejections, {_share("nothing", "answerable")} AS false_rejections FROM h GROUP BY 1)
+m AS (SELECT threshold, coalesce({_share("hit <= 5", "answerable")}, 0) AS hit_rate, coalesce({_share("nothing", _ABSENT)}, 0) AS right_rejections, {_share("nothing", "answerable")} AS false_rejections FROM h GROUP BY 1)
 SELECT *, round((hit_rate + right_rejections) / 2, 4) AS score FROM m"""
 
 

@@ -30,17 +30,42 @@ from sextant.sources import documents as src
         ("a\n\n\n\nB —", "a\n\nB"),
     ],
 )
-def test_clean_page(text, want):
-    assert cleaning.clean_page(text) == want
+def test_clean_page(spark, text, want):
+    assert spark.createDataFrame([(text,)], "text string").select(cleaning.clean_page(F.col("text"))).first()[0] == want
 
 
-def test_table_text():
+def test_table_text(spark):
     by_frequency = [["Sistema", "Frecuentes", "Raras"], ["Nervioso", "Cefalea", "Insom-\nnio"], ["Otro", None, "Tos"]]
-    text, header = cleaning.table_text(by_frequency)
-    assert text == "[Tabla] Sistema | Frecuentes | Raras\nNervioso — Frecuentes: Cefalea; Raras: Insom-nio\nOtro — Raras: Tos"
-    assert cleaning.table_text([["Piel", "Prurito", ""]], header)[0] == "Piel — Frecuentes: Prurito"
-    assert cleaning.table_text([["a" * 90, "b"], ["c", ""]])[0] == "a" * 90 + " | b\nc"
-    assert cleaning.table_text([[None, " "]], ["x"]) == ("", ["x"])
+    tables = [
+        (1, 0, by_frequency),
+        (1, 1, [["Piel", "Prurito", ""]]),
+        (1, 2, [[None, " "]]),
+        (1, 3, [["Ojo", "", "Conjuntivitis"]]),
+        (1, 4, [["Sistema", "x", "y"], ["Oído", "Tinnitus", "z"]]),
+        (2, 0, [["a" * 90, "b"], ["c", ""]]),
+        (2, 1, [["c", "d"]]),
+        (3, 0, [["Nombre", "Valor"], ["x", "1"]]),
+        (3, 1, [["y", "2"], ["z", "3"]]),
+        (3, 2, [["uno", "dos", "tres"]]),
+        (3, 3, [["w", "4"]]),
+        (4, 0, []),
+    ]
+    rows = spark.createDataFrame(tables, "doc_id long, number long, rows array<array<string>>")
+    got = {(r.doc_id, r.number): r.text for r in cleaning.table_texts(rows).collect()}
+    assert got == {
+        (1, 0): "[Tabla] Sistema | Frecuentes | Raras\nNervioso — Frecuentes: Cefalea; Raras: Insom-nio\nOtro — Raras: Tos",
+        (1, 1): "Piel — Frecuentes: Prurito",
+        (1, 2): "",
+        (1, 3): "Ojo — Raras: Conjuntivitis",
+        (1, 4): "[Tabla] Sistema | x | y\nOído — x: Tinnitus; y: z",
+        (2, 0): "a" * 90 + " | b\nc",
+        (2, 1): "c | d",
+        (3, 0): "[Tabla] Nombre | Valor\nx — Valor: 1",
+        (3, 1): "y — Valor: 2\nz — Valor: 3",
+        (3, 2): "uno | dos | tres",
+        (3, 3): "w | 4",
+        (4, 0): "",
+    }
 
 
 @pytest.mark.parametrize(
@@ -60,15 +85,21 @@ def test_table_text():
         ("registro 12345678", []),
     ],
 )
-def test_masking(text, kinds):
-    got = masking.masked(text)
-    assert got["kinds"] == kinds and got["has_pii"] == bool(kinds) and (masking.MASK in got["masked"]) == bool(kinds)
+def test_masking(spark, text, kinds):
+    got = _masked(spark, text)
+    assert got.kinds == kinds and got.has_pii == bool(kinds) and (masking.MASK in got.masked) == bool(kinds)
 
 
-def test_masking_keeps_the_rest_and_orders_by_position():
-    got = masking.masked("Llame al 612345678 o a.b@c.es, DNI 12345678Z.")
-    assert got["masked"] == "Llame al [DATO] o [DATO], DNI [DATO]." and got["kinds"] == ["telefono", "email", "dni"]
-    assert masking.masked(None)["masked"] == ""
+def _masked(spark, text):
+    return spark.createDataFrame([(text,)], "text string").select(masking.mask_pii(F.col("text")).alias("r")).select("r.*").first()
+
+
+def test_masking_keeps_the_rest_and_orders_by_position(spark):
+    got = _masked(spark, "Llame al 612345678 o a.b@c.es, DNI 12345678Z.")
+    assert got.masked == "Llame al [DATO] o [DATO], DNI [DATO]." and got.kinds == ["telefono", "email", "dni"]
+    assert _masked(spark, None).masked == ""
+    assert _masked(spark, "a@b.es+c@d.es 612345678612345678").masked == "[DATO][DATO] 612345678612345678"
+    assert _masked(spark, "Sra. Ana de la Rosa Gil, NHC: AB-1234x; nacida el 1/2/1950").masked == "Sra. [DATO], NHC: [DATO]; nacida el [DATO]"
 
 
 def test_splitter():
