@@ -1,22 +1,36 @@
 """The chunk index: an updatable table of chunks keyed by chunk_id.
 
-On disk it is Parquet partitioned by a hash bucket of doc_id, so that replacing or deleting
-a document rewrites the buckets it lies in and nothing else.
+On disk it is Parquet in hash buckets of doc_id, so that replacing or deleting a document
+rewrites the buckets it lies in and nothing else. A change is written to a fresh folder; a
+list of each bucket's folder, renamed into place at the end, makes it the index's state in
+one step, so a change that fails halfway leaves the index as it was.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sextant.functions.scratch import file_system
+
 BUCKETS = 64
+#: Name of the lists of buckets; the highest number is the index's state.
+STATE = "state-"
+#: What an index without any chunk reads as.
+CHUNKS = "chunk_id string, doc_id string, position int, text string"
 
 
 def upsert(base: DataFrame, new: DataFrame) -> DataFrame:
     """``base`` with the rows of ``new`` inserted or replacing those of the same chunk_id; the last of repeated new rows by ``position`` stays."""
-    kept = base.join(new.select("chunk_id").distinct(), "chunk_id", "left_anti")
+    return base.join(new.select("chunk_id").distinct(), "chunk_id", "left_anti").unionByName(_last(new))
+
+
+def _last(new: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc("position")))
-    return kept.unionByName(new.withColumn("_place", place).filter("_place = 1").drop("_place"))
+    return new.withColumn("_place", place).filter("_place = 1").drop("_place")
 
 
 def delete_document(base: DataFrame, doc_id) -> DataFrame:
@@ -24,8 +38,8 @@ def delete_document(base: DataFrame, doc_id) -> DataFrame:
 
 
 def reindex(base: DataFrame, new: DataFrame) -> DataFrame:
-    """All chunks of the documents in ``new`` give way to those of ``new``."""
-    return base.join(new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new)
+    """All chunks of the documents in ``new`` give way to those of ``new``; repeated ones as with ``upsert``."""
+    return base.join(new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(_last(new))
 
 
 def reindex_report(base: DataFrame, new: DataFrame) -> DataFrame:
@@ -50,24 +64,69 @@ def bucketed(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"))
 
 
+def _state(spark: SparkSession, path: str) -> tuple[int, dict[str, str]]:
+    """The number of the index's state and the folder of each bucket."""
+    folder, files = file_system(spark, path)
+    names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+    number = max((int(n.removeprefix(STATE)) for n in names if n.startswith(STATE)), default=0)
+    if not number:
+        return 0, {}
+    return number, json.loads(spark.read.text(f"{path}/{STATE}{number}", wholetext=True).first()[0])
+
+
+def _publish(spark: SparkSession, path: str, number: int, buckets: dict[str, str]) -> None:
+    """Make ``buckets`` the state after ``number``; folders that neither it nor the one before names are removed."""
+    target, files = file_system(spark, f"{path}/{STATE}{number + 1}")
+    fresh, _ = file_system(spark, f"{path}/_new-{uuid.uuid4().hex}")
+    out = files.create(fresh)
+    out.write(bytearray(json.dumps(buckets).encode()))
+    out.close()
+    before = set(_state(spark, path)[1].values()) if number else set()
+    if not files.rename(fresh, target):
+        files.delete(fresh, False)
+        raise RuntimeError(f"the index {path} has been changed meanwhile")
+    for status in files.listStatus(target.getParent()):
+        name = status.getPath().getName()
+        if status.isDirectory() and name not in before | set(buckets.values()):
+            files.delete(status.getPath(), True)
+
+
+def _write(spark: SparkSession, path: str, rows: DataFrame) -> tuple[str, list[int]]:
+    """A fresh folder with ``rows`` in buckets, and the buckets that it has."""
+    name = f"data-{uuid.uuid4().hex}"
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{name}")
+    folder, files = file_system(spark, f"{path}/{name}")
+    return name, [int(f.getPath().getName().removeprefix("bucket=")) for f in files.listStatus(folder) if f.isDirectory()]
+
+
 def write_index(chunks: DataFrame, path: str) -> None:
-    bucketed(chunks).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    """A new index, or a new state of an old one."""
+    spark = chunks.sparkSession
+    number, _ = _state(spark, path)
+    name, buckets = _write(spark, path, bucketed(chunks))
+    _publish(spark, path, number, {str(b): name for b in buckets})
 
 
-def open_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def open_index(spark: SparkSession, path: str, buckets: list[int] | None = None) -> DataFrame:
+    """The index's rows, or those of some ``buckets``; a change after this doesn't show in it."""
+    number, state = _state(spark, path)
+    if not number:
+        raise FileNotFoundError(f"no index at {path}")
+    every = {int(b): f"{path}/{name}/bucket={b}" for b, name in state.items()}
+    folders = [folder for b, folder in sorted(every.items()) if buckets is None or b in buckets]
+    if not folders:  # an empty index, or none of the buckets
+        return spark.createDataFrame([], spark.read.parquet(next(iter(every.values()))).schema if every else CHUNKS)
+    return spark.read.parquet(*folders)
 
 
 def replace_documents(spark: SparkSession, path: str, new: DataFrame) -> None:
-    """Reindex on disk: only the buckets of the documents in ``new`` are read and rewritten.
-
-    The new rows are materialised before anything is overwritten, so a failed read never
-    touches the index.
-    """
+    """Reindex on disk: only the buckets of the documents in ``new`` are read, and written anew beside the old ones."""
     fresh = bucketed(new)
     hit = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most BUCKETS
-    base = open_index(spark, path).filter(F.col("bucket").isin(hit))
-    merged = reindex(base, fresh.select(base.columns)).repartition("bucket").persist()
-    merged.count()
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    merged.unpersist()
+    if not hit:
+        return
+    number, state = _state(spark, path)
+    base = open_index(spark, path, hit)
+    name, buckets = _write(spark, path, bucketed(reindex(base, new.select(base.columns)) if state else _last(new)))
+    kept = {b: folder for b, folder in state.items() if int(b) not in hit}
+    _publish(spark, path, number, kept | {str(b): name for b in buckets})

@@ -151,6 +151,15 @@ def test_index_on_disk(spark, tmp_path):
     make = lambda rows: spark.createDataFrame(rows, "chunk_id string, doc_id string, name string, kind string, position int, text string")
     path = str(tmp_path / "index")
     index.write_index(make([(f"d{i}:{j}", f"d{i}", f"n{i}", "k", j, "old") for i in range(9) for j in range(3)]), path)
-    index.replace_documents(spark, path, make([("d1:0", "d1", "new", "k", 0, "new"), ("x:0", "x", "x", "k", 0, "new")]))
+    index.replace_documents(spark, path, make([("d1:0", "d1", "new", "k", 0, "twice"), ("d1:0", "d1", "new", "k", 1, "new"), ("x:0", "x", "x", "k", 0, "new")]))
     rows = {r.chunk_id: r.text for r in index.open_index(spark, path).collect()}
-    assert len(rows) == 8 * 3 + 2 and rows["d1:0"] == "new" and "d1:1" not in rows and rows["d2:2"] == "old"
+    assert len(rows) == index.open_index(spark, path).count() == 8 * 3 + 2 and rows["d1:0"] == "new" and "d1:1" not in rows and rows["d2:2"] == "old"
+    broken = make([("d2:0", "d2", "new", "k", 0, "new"), ("d3:0", "d3", "new", "k", 0, "bad")]).withColumn("text", F.when(F.col("text") == "bad", F.raise_error(F.lit("halfway")).cast("string")).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="halfway"):
+        index.replace_documents(spark, path, broken)
+    assert {r.chunk_id: r.text for r in index.open_index(spark, path).collect()} == rows
+    before = index.open_index(spark, path)
+    index.replace_documents(spark, path, make([("d2:7", "d2", "new", "k", 0, "newer")]))
+    assert before.count() == len(rows) and {r.text for r in index.open_index(spark, path).filter("doc_id = 'd2'").collect()} == {"newer"}
+    with pytest.raises(FileNotFoundError):
+        index.open_index(spark, str(tmp_path / "none"))
