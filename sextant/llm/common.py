@@ -1,53 +1,20 @@
-"""What the corpus operators share: durable intermediate tables and graph components."""
+"""What the corpus operators share: written intermediate tables and graph components."""
 
 from __future__ import annotations
 
 import ctypes
-import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in local tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from sextant.functions.scratch import discard, durable
+
+__all__ = ["components", "discard", "durable", "join_roots", "keep_memory"]
 #: Names of mallopt's parameters. Fixed values.
 M_TRIM_THRESHOLD, M_MMAP_THRESHOLD = -1, -3
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends there.
-
-    The folder goes when the application ends, if ``discard`` hasn't removed it before.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sextant-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    folder, files = _folder(spark, path)
-    files.deleteOnExit(folder)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._sextant_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Remove a table of ``durable`` that nothing will read again."""
-    folder, files = _folder(df.sparkSession, df._sextant_path)
-    files.delete(folder, True)
-    files.cancelDeleteOnExit(folder)
-
-
-def _folder(spark: SparkSession, path: str):
-    """Hadoop's path and the file system that it lies in."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def keep_memory() -> None:
     """Let a worker's C library keep freed blocks of up to 32 MB for the next arrays.
 
