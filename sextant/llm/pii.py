@@ -222,10 +222,11 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in brackets; overlapping spans count as one.
 
     Same columns as ``docs``; n_chars, where there is such a column, follows the text. Texts
-    without spans, null ones too, stay as they are. The classifier is trained on the counts
-    of all rows first.
+    without spans, null ones too, stay as they are. The candidates are written beside the
+    rows once; the classifier is trained on the counts of all of them first.
     """
-    weights = fit(docs.select(candidates(F.col("text").cast("string")).alias("spans")))
+    found = durable(docs.select(F.struct("*").alias("row"), candidates(F.col("text").cast("string")).alias("spans")))
+    weights = fit(found)
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def merge(a, c):
@@ -238,10 +239,9 @@ def redact(docs: DataFrame) -> DataFrame:
         piece = lambda c, i: let(F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0), lambda at: F.concat(F.substring(text, at + 1, c["start"] - at), F.get(labels, c["kind"])))
         return F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(text, F.element_at(spans, -1)["end"] + 1, F.length(text)))
 
-    one = accepted(candidates(F.col("text")), weights)
-    merged = F.aggregate(one, F.array().cast("array<struct<start:int,end:int,kind:int>>"), merge)
-    text = let(merged, lambda m: F.when(F.size(m) > 0, cover(F.col("text"), m)).otherwise(F.col("text")))
-    out = docs.withColumn("text", F.when(F.col("text").isNotNull(), text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    merged = F.aggregate(accepted(F.col("spans"), weights), F.array().cast("array<struct<start:int,end:int,kind:int>>"), merge)
+    was = F.col("row.text")
+    text = F.when(was.isNotNull(), let(merged, lambda m: F.when(F.size(m) > 0, cover(was, m)).otherwise(was)))
+    out = found.withColumn("text", text)
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[(F.col(f"row.`{c}`") if new.get(c) is None else new[c]).alias(c) for c in docs.columns])
