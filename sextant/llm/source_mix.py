@@ -50,19 +50,16 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), mos
     return weighed.withColumn("target", F.least(cap, F.col("weight") * F.lit(share)))
 
 
-def source_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 42) -> DataFrame:
-    """How many words of each document the mix takes.
+def _key(seed: int):
+    return F.xxhash64(F.lit(seed), "doc_id", F.col("text").cast("string"))
 
-    Returns doc_id, source, size (words; null text: 0), source_size, target (of the source),
-    taken, one row per input row. Within a source every document is taken the same number of
-    whole times and those below the hash threshold once more. The document on the threshold
-    is cut, so that a source takes its rounded target to the word; rows that can't be told
-    apart on the threshold share the cut evenly, rounded down. No document exceeds ``most``
-    times its size. Null sources are a source of their own. Sources without words have
-    target 0. An empty table gives an empty table. Other columns are ignored.
+
+def _plan(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The documents' (doc_id, source, size, key), and the plan: for each source its target and hash threshold.
+
+    The plan is a written table, so a join with it is a broadcast where its size allows.
     """
-    key = F.xxhash64(F.lit(seed), "doc_id", F.col("text").cast("string"))
-    sized = durable(docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text").cast("string")).alias("size"), key.alias("key")))
+    sized = durable(docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text").cast("string")).alias("size"), _key(seed).alias("key")))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = F.round("target").cast("long")
     times = F.when(F.col("source_size") > 0, F.least(F.expr("goal div source_size"), F.lit(most))).otherwise(F.lit(0)).cast("long")
@@ -84,11 +81,30 @@ def source_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
             break
     edges = edge.select(F.col("source").alias("edge_source"), F.col("rest").alias("edge_rest"), F.col("words").alias("edge_words"), F.col("low").alias("edge"))
     plan = budgets.join(edges, budgets["source"].eqNullSafe(edges["edge_source"]), "left").select(*[F.col(c).alias(f"p_{c}") for c in budgets.columns], "edge_rest", "edge_words", "edge")
+    return sized, durable(plan)
+
+
+def _taken():
+    """The words taken of a document (size, key) by its source's plan."""
     order = lambda c: F.col(c).bitwiseXOR(F.lit(SIGN))
     part = F.when(order("key") < order("edge"), F.col("size")).when(F.col("key") == F.col("edge"), F.floor(F.col("edge_rest") * F.col("size") / F.col("edge_words"))).otherwise(F.lit(0))
-    taken = F.col("p_times") * F.col("size") + F.coalesce(part, F.lit(0))
+    return (F.col("p_times") * F.col("size") + F.coalesce(part, F.lit(0))).cast("long")
+
+
+def source_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 42) -> DataFrame:
+    """How many words of each document the mix takes.
+
+    Returns doc_id, source, size (words; null text: 0), source_size, target (of the source),
+    taken, one row per input row. Within a source every document is taken the same number of
+    whole times and those below the hash threshold once more. The document on the threshold
+    is cut, so that a source takes its rounded target to the word; rows that can't be told
+    apart on the threshold share the cut evenly, rounded down. No document exceeds ``most``
+    times its size. Null sources are a source of their own. Sources without words have
+    target 0. An empty table gives an empty table. Other columns are ignored.
+    """
+    sized, plan = _plan(docs, weights, most, seed)
     out = sized.join(plan, sized["source"].eqNullSafe(plan["p_source"]))
-    return out.select("doc_id", "source", "size", F.col("p_source_size").alias("source_size"), F.col("p_target").alias("target"), taken.cast("long").alias("taken"), "key")
+    return out.select("doc_id", "source", "size", F.col("p_source_size").alias("source_size"), F.col("p_target").alias("target"), _taken().alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 42) -> DataFrame:
@@ -97,15 +113,13 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     The last copy of a cut document has its first words, joined by one space, and its n_chars,
     where there is such a column, is theirs. Documents without words aren't taken.
     """
-    key = F.xxhash64(F.lit(seed), "doc_id", F.col("text").cast("string"))
-    plan = source_mix(docs, weights, most, seed).filter("taken > 0").select(F.col("key").alias("mix_key"), F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken"), F.col("source").alias("mix_source")).dropDuplicates(["mix_key", "mix_source"])
-    rows = docs.withColumn("mix_key", key)
-    rows = rows.join(plan, (rows["mix_key"] == plan["mix_key"]) & rows["source"].eqNullSafe(plan["mix_source"]))
-    times = F.ceil(F.col("mix_taken") / F.col("mix_size")).cast("int")
-    rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), times)))
-    left = F.col("mix_taken") - (F.col("mix_copy") - 1) * F.col("mix_size")
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    rows = rows.withColumn("mix_cut", left < F.col("mix_size")).withColumn("text", F.when(left < F.col("mix_size"), F.array_join(F.slice(words, F.lit(1), F.greatest(left, F.lit(1)).cast("int")), " ")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("mix_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    _, plan = _plan(docs, weights, most, seed)
+    rows = docs.select(F.struct("*").alias("row"), word_count(F.col("text").cast("string")).alias("size"), _key(seed).alias("key"))
+    rows = rows.join(plan, F.col("row.source").eqNullSafe(plan["p_source"])).withColumn("taken", _taken()).filter("taken > 0")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    rows = rows.withColumn("left", F.col("taken") - (F.col("copy") - 1) * F.col("size")).withColumn("cut", F.col("left") < F.col("size"))
+    words = F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0))
+    first = F.array_join(F.slice(words, F.lit(1), F.greatest("left", F.lit(1)).cast("int")), " ")
+    rows = rows.withColumn("text", F.when(F.col("cut"), first).otherwise(F.col("row.text")))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return rows.select(*[(F.col(f"row.`{c}`") if new.get(c) is None else new[c]).alias(c) for c in docs.columns])
