@@ -33,7 +33,7 @@ TIERS = (256, 512, 1024, 2048)
 #: Tokens that a step group holds.
 STEP_TOKENS = 16 * 2048
 #: Tokens packed at once.
-CHUNK_TOKENS = 1 << 22
+CHUNK_TOKENS = 1 << 21
 #: Pieces of a generation of those whose ids a worker keeps.
 CACHED_PIECES = 250_000
 
