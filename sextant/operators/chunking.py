@@ -126,35 +126,67 @@ def chunk_documents(lines: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
+#: Bins of the histogram of lengths.
+BINS = 4096
+#: Characters of a bin in which chunks and sections meet.
+BIN = 1024
+#: Sizes of the fixed strategies; their overlap is the share. Fixed values.
+FIXED, FIXED_OVERLAP = {"fijo_500": 500, "fijo_1000": 1000}, 0.15
+
+
+def fixed_chunks(texts: DataFrame, strategy: str, size: int) -> DataFrame:
+    """Chunks (strategy, doc_id, chunk, start, end) of whole texts (doc_id, text) by the recursive splitter."""
+    cut = texts.select("doc_id", F.posexplode(pieces(F.col("text"), size, round(size * FIXED_OVERLAP))).alias("chunk", "piece"))
+    return cut.select(F.lit(strategy).alias("strategy"), "doc_id", "chunk", F.col("piece.start").alias("start"), (F.col("piece.start") + F.length("piece.text")).alias("end"))
+
+
 def overlapping(chunks: DataFrame, spans: DataFrame) -> DataFrame:
-    """Sections (doc_id, start, end, number) that each chunk (doc_id, chunk, start, end) overlaps: an interval join within the document."""
-    s = spans.select("doc_id", F.col("start").alias("s0"), F.col("end").alias("s1"), "number")
-    return chunks.join(s, "doc_id").filter((F.col("s0") < F.col("end")) & (F.col("s1") > F.col("start"))).select("doc_id", "chunk", "number").distinct()
+    """``chunks`` (doc_id, start, end and others) with the number of each section that they overlap.
+
+    An interval join within the document: both sides are dealt to bins of offsets, and a pair
+    is found in the bin in which the later of the two begins.
+    """
+    bins = lambda start, end: F.explode(F.sequence(F.floor(F.col(start) / BIN), F.floor(F.greatest(F.col(end) - 1, F.col(start)) / BIN)))
+    s = spans.select("doc_id", F.col("start").alias("s0"), F.col("end").alias("s1"), "number").withColumn("bin", bins("s0", "s1"))
+    both = chunks.withColumn("bin", bins("start", "end")).join(s, ["doc_id", "bin"])
+    met = (F.col("s0") < F.col("end")) & (F.col("s1") > F.col("start")) & (F.col("bin") == F.floor(F.greatest("s0", "start") / BIN))
+    return both.filter(met).select(*chunks.columns, "number")
 
 
 def strategy_metrics(chunks: DataFrame, spans: DataFrame) -> DataFrame:
     """Per strategy: chunks, mean size (floor), share of chunks in several sections, share of key sections in one chunk."""
     parts = [*("strategy", "doc_id", "chunk")]
-    s = spans.select("doc_id", F.col("start").alias("s0"), F.col("end").alias("s1"), "number")
-    touched = chunks.join(s, "doc_id").filter((F.col("s0") < F.col("end")) & (F.col("s1") > F.col("start")))
+    touched = overlapping(chunks, spans)
     mixed = touched.groupBy(*parts).agg(F.count_distinct("number").alias("n")).groupBy("strategy").agg(F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("mixed"))
     keys = touched.filter(F.col("number").isin(*KEY_SECTIONS)).groupBy("strategy", "doc_id", "number").agg(F.count_distinct("chunk").alias("n"))
-    whole = keys.groupBy("strategy").agg(F.sum(F.when(F.col("n") <= 1, 1).otherwise(0)).alias("kept"))
+    keys = keys.groupBy("strategy").agg(F.count("*").alias("touched"), F.sum(F.when(F.col("n") <= 1, 1).otherwise(0)).alias("kept"))
+    base = chunks.groupBy("strategy").agg(F.count("*").alias("chunks"), F.sum(F.col("end") - F.col("start")).alias("size"), F.count_distinct("doc_id").alias("docs"))
+    rows = base.join(mixed, "strategy", "left").join(keys, "strategy", "left")
     # A key section counts for every document, also one that no chunk touches.
-    docs = chunks.groupBy("strategy").agg(F.count_distinct("doc_id").alias("docs"))
-    touched_keys = keys.groupBy("strategy").agg(F.count("*").alias("touched"))
-    base = chunks.groupBy("strategy").agg(F.count("*").alias("chunks"), F.sum(F.col("end") - F.col("start")).alias("size"))
-    rows = base.join(docs, "strategy").join(mixed, "strategy", "left").join(whole, "strategy", "left").join(touched_keys, "strategy", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
     total = F.col("docs") * len(KEY_SECTIONS)
+    zero = lambda c: F.coalesce(c, F.lit(0))
     return rows.select("strategy", "chunks", F.expr("size div chunks").alias("mean_size"), F.round(100 * zero("mixed") / F.col("chunks"), 4).alias("mixed_percent"), F.round(100 * (total - zero("touched") + zero("kept")) / total, 4).alias("whole_key_percent"))
 
 
+def section_metrics(chunks: DataFrame) -> DataFrame:
+    """The same row for chunks cut by section (doc_id, section, parts, text): none is mixed, and a key section is whole if it has one part."""
+    key = F.col("section").isin(*KEY_SECTIONS)
+    whole = chunks.filter(key).groupBy("doc_id", "section").agg(F.max("parts").alias("parts")).agg(F.count("*").alias("keys"), F.count(F.when(F.col("parts") == 1, 1)).alias("kept"))
+    base = chunks.agg(F.count("*").alias("chunks"), F.expr("sum(length(text)) div count(*)").alias("mean_size"))
+    share = F.coalesce(F.round(100 * F.col("kept") / F.nullif("keys", F.lit(0)), 4), F.lit(0.0))
+    return base.join(F.broadcast(whole)).select(F.lit("por_seccion").alias("strategy"), "chunks", F.coalesce("mean_size", F.lit(0).cast("long")).alias("mean_size"), F.lit(0.0).alias("mixed_percent"), share.alias("whole_key_percent"))
+
+
 def run_summary(chunks: DataFrame) -> DataFrame:
     """Documents, chunks and their sizes (text): mean by floor, the upper middle as median, least, most."""
     sized = chunks.select("doc_id", F.length("text").alias("n"))
-    rank = sized.groupBy("n").agg(F.count("*").alias("many"))
-    upto = F.sum("many").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    lengths = sized.groupBy("n").agg(F.count("*").alias("many"))
     total = sized.agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("chunks"), F.expr("sum(n) div count(*)").alias("mean_size"), F.min("n").alias("least"), F.max("n").alias("most"))
-    middle = rank.withColumn("upto", upto).join(F.broadcast(total.select(F.expr("chunks div 2").alias("half")))).filter("upto > half").agg(F.min("n").alias("median"))
+    # The middle is found among the bins of a histogram first, then among the lengths of its bin.
+    half = F.broadcast(total.select(F.expr("chunks div 2").alias("half"), F.greatest(F.floor(F.col("most") / BINS), F.lit(1)).alias("width")))
+    binned = lengths.join(half).withColumn("bin", F.floor(F.col("n") / F.col("width")))
+    upto = lambda key: F.sum("many").over(Window.orderBy(key))
+    bins = binned.groupBy("bin", "half").agg(F.sum("many").alias("many")).withColumn("upto", upto("bin")).filter("upto > half").orderBy("bin").limit(1)
+    inside = binned.join(F.broadcast(bins.select("bin", (F.col("upto") - F.col("many")).alias("before"))), "bin").select("n", "many", "half", "before")
+    middle = inside.withColumn("upto", F.col("before") + upto("n")).filter("upto > half").agg(F.min("n").alias("median"))
     return total.join(F.broadcast(middle)).select("documents", "chunks", "mean_size", "median", "least", "most")

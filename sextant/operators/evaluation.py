@@ -110,6 +110,19 @@ def compare_sections(sheets: DataFrame, template: tuple[str, ...]) -> DataFrame:
     return rows.select("*", F.array_except("official", "detected").alias("missing"), F.array_except("detected", "official").alias("extra"), F.size(F.array_intersect("official", "detected")).alias("hits"))
 
 
+def validate_sheets(found: DataFrame, official: DataFrame, template: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Detected against official sections of a folder's sheets, and how many sheets have no official data.
+
+    ``found``: register, product, number, of which the first product counts. ``official``:
+    register, number; numbers outside the template don't count.
+    """
+    known = official.filter(F.col("number").isin(*template)).groupBy("register").agg(F.collect_set("number").alias("official"))
+    own = found.groupBy("register").agg(F.collect_set(F.when(F.col("product") == 1, F.col("number"))).alias("detected"))
+    both = own.join(known, "register", "left")
+    skipped = both.agg(F.count(F.when(F.col("official").isNull(), 1)).alias("skipped"))
+    return compare_sections(both.filter("official is not null"), template), skipped
+
+
 def section_metrics(compared: DataFrame) -> DataFrame:
     """Micro-averaged recall and precision, recall on key sections, sheets without a fault; zero of nothing."""
     key = F.array(*[F.lit(s) for s in KEY_SECTIONS])

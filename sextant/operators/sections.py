@@ -83,8 +83,9 @@ def mark_sections(lines: DataFrame, resets: bool = True) -> DataFrame:
     run starts a product if the run before reached "7".
     """
     line = F.trim(F.col("text"))
-    rows = lines.withColumn("n", F.regexp_extract(line, TITLE, 1)).withColumn("t", F.lower(fold(F.regexp_extract(line, TITLE, 2))))
-    rows = rows.withColumn("pos", title_position(F.col("n"), F.col("t"))).drop("n", "t")
+    rows = lines.withColumn("n", F.when(line.rlike(r"^\d"), F.regexp_extract(line, TITLE, 1)))  # few lines have a number
+    rows = rows.withColumn("t", F.when(F.col("n") != "", F.lower(fold(F.regexp_extract(line, TITLE, 2)))))
+    rows = rows.withColumn("pos", F.when(F.col("n") != "", title_position(F.col("n"), F.col("t")))).drop("n", "t")
     seven = NUMBERS.index("7")
     if resets:
         rows = rows.withColumn("run", F.sum(F.when(F.col("pos") == 0, 1).otherwise(0)).over(_order()))

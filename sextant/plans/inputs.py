@@ -52,6 +52,7 @@ INPUTS = {
     "link_chunks": "SELECT concat(conv_id, ':', turn) AS chunk_id, CAST(conv_id AS STRING) AS register, role AS section, turn AS position FROM conversations",
     "catalogue": "SELECT min(p_partkey) AS row, CAST(min(p_partkey) AS STRING) AS register, concat(upper(p_name), ' ', min(p_size), ' mg tablets') AS name, p_name AS searched, CASE WHEN split_part(p_name, ' ', 2) < 'm' THEN concat('salt of ', p_name) ELSE split_part(p_name, ' ', 2) END AS ingredients FROM part GROUP BY p_name",
     "questions": "SELECT p_partkey AS question_id, concat('¿Dose of ', upper(p_name), ', or ', p_type, '?') AS text FROM part",
+    "asked": "SELECT p_partkey AS question_id, CASE WHEN p_size % 9 = 0 THEN ' ' ELSE concat(CASE WHEN p_size % 2 = 0 THEN 'La paciente María García pregunta: ' ELSE '' END, '¿Dose of ', upper(p_name), CASE WHEN p_size % 7 = 0 THEN ' or green' ELSE '' END, ', or ', p_type, '?') END AS text FROM part",
     "audited": "SELECT p_partkey AS row, CAST(p_partkey AS STRING) AS register, p_brand AS name, CASE WHEN p_size % 2 = 0 THEN split_part(p_name, ' ', 1) ELSE split_part(p_name, ' ', 2) END AS searched, CASE WHEN p_size % 3 = 0 THEN concat('Sódico', p_name, ', ', p_type) ELSE concat(p_type, ', ', p_name, ' é') END AS ingredients FROM part",
     "search_results": "SELECT split_part(p_name, ' ', 2) AS searched, p_partkey AS place, CAST(p_partkey AS STRING) AS register, p_size % 2 = 0 AS segmented, p_size % 5 <> 0 AS has_sheet, p_brand AS name, CASE WHEN p_size % 7 = 0 THEN NULL ELSE concat(p_name, 's, ', p_type, ' ', p_name) END AS ingredients FROM part",
     "known_rows": "SELECT p_brand AS searched, CAST(p_partkey % 500 AS STRING) AS register FROM part WHERE p_size < 20",

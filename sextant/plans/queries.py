@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import text as tx
-from sextant.operators import answers, chunking, cleaning, entities, evaluation, index, masking, retrieval, sections
+from sextant.operators import answers, chunking, cleaning, entities, evaluation, index, ingest, masking, retrieval, search, sections
 from sextant.plans.inputs import frame, sql
 from sextant.sources import documents as src
 
@@ -323,9 +323,12 @@ def recursive_chunks(spark, sf_dir):
 
 @query()
 def chunk_documents(spark, sf_dir):
-    lines = frame(spark, sf_dir, "sheet_lines")
-    part = frame(spark, sf_dir, "part")
+    return _sheet_chunks(spark, sf_dir, frame(spark, sf_dir, "sheet_lines"))
+
+
+def _sheet_chunks(spark, sf_dir, lines):
     null = F.lit(None).cast("string")
+    part = frame(spark, sf_dir, "part")
     sheets = part.select(F.col("p_partkey").alias("doc_id"), F.lit(True).alias("is_sheet"), F.lit(False).alias("markdown"), F.col("p_partkey").cast("string").alias("register"), F.lit("aemps").alias("origin"), F.concat(F.lit("FT_"), F.col("p_partkey").cast("string"), F.lit(".pdf")).alias("file_name"), null.alias("name"), F.col("p_type").alias("ingredients"), null.alias("atc"))
     return chunking.chunk_documents(lines, sheets)
 
@@ -583,3 +586,133 @@ def registry_records(spark, sf_dir):
         F.array(doc(F.lit(2), F.lit("http://other"), F.lit(True)), doc(F.when(n % 3 == 0, 1).otherwise(2), F.concat(F.lit("http://x/"), F.col("p_partkey").cast("string")), n % 2 == 0), doc(F.when(n % 3 == 0, 1).otherwise(3), F.lit("http://late"), F.lit(False))).alias("docs"),
     )
     return src.registry_records(made)
+
+
+# Compositions ------------------------------------------------------------------------------
+
+
+def _asked(spark, sf_dir):
+    q = frame(spark, sf_dir, "asked")
+    return q.join(frame(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector")), "question_id")
+
+
+def _shelf(spark, sf_dir):
+    return frame(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), (F.col("vec_id") % 50 + 1).cast("string").alias("register"))
+
+
+_SEARCHED = f"""{_MENTIONS.replace(sql("questions"), sql("asked"))}, v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(vec_id % 50 + 1 AS VARCHAR) AS register FROM embeddings),
+ro AS (SELECT question_id, CASE WHEN count(*) = 1 THEN min(register) END AS own FROM e GROUP BY 1),
+sc AS (SELECT ro.question_id, c.vec_id AS chunk_id, c.register, greatest(0.0, least(1.0, list_inner_product(w.e, c.e))) AS score FROM ro JOIN v w ON w.vec_id = ro.question_id JOIN v c ON ro.own IS NULL OR ro.own = c.register),
+fo AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM sc)"""
+
+
+@query(f"WITH {_SEARCHED} SELECT question_id, chunk_id, register, rank, round(score, 6) AS score FROM fo WHERE rank <= 5 AND score >= 0.1")
+def search_by_entity(spark, sf_dir):
+    return search.search(_asked(spark, sf_dir), frame(spark, sf_dir, "catalogue"), _shelf(spark, sf_dir), 5, 0.1).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_SEARCHED}, b AS (SELECT question_id, count(*) AS found, min(chunk_id) AS least FROM fo WHERE rank <= 3 GROUP BY 1) SELECT q.question_id, contains(q.text, 'paciente') AS masked, coalesce(found, 0) AS found, least FROM ({sql('asked')}) q JOIN embeddings ON vec_id = q.question_id LEFT JOIN b ON b.question_id = q.question_id")
+def evaluation_run(spark, sf_dir):
+    masked, found = search.run_evaluation(_asked(spark, sf_dir), frame(spark, sf_dir, "catalogue"), _shelf(spark, sf_dir), 3)
+    each = found.groupBy("question_id").agg(F.count("*").alias("found"), F.min("chunk_id").alias("least"))
+    return masked.join(each, "question_id", "left").select("question_id", "masked", F.coalesce("found", F.lit(0)).alias("found"), "least")
+
+
+@query(f"""{_BM25.replace("SELECT question_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *,", "SELECT question_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM (SELECT question_id, chunk_id, rank FROM (SELECT *,", 1)[: -len("WHERE rank <= 5")]} WHERE rank <= 8
+UNION ALL SELECT question_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT i.item_id AS question_id, c.vec_id AS chunk_id, greatest(0.0, least(1.0, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])))) AS score FROM benchmark i JOIN embeddings q ON q.vec_id = i.item_id, embeddings c)) WHERE rank <= 8) GROUP BY 1, 2""")
+def hybrid_bm25_cosine(spark, sf_dir):
+    vectors = frame(spark, sf_dir, "embeddings")
+    items = frame(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
+    chunks = frame(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text").filter("text is not null")
+    asked = items.join(vectors.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector")), "question_id").withColumn("only", F.lit(None).cast("string"))
+    return retrieval.fuse([retrieval.bm25(items, chunks, 8), retrieval.retrieve(asked, _chunks(spark, sf_dir), 8)], 16).select("question_id", "chunk_id", "score")
+
+
+@query(f"WITH {_MARKED}, f AS (SELECT CAST(k.doc_id AS VARCHAR) AS register, regexp_extract(trim(l.text), '{_RE}', 1) AS number FROM a k JOIN l USING (doc_id, page, line) WHERE product = 1), o AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS register, '4.' || l_linenumber AS number FROM lineitem), ob AS (SELECT * FROM o WHERE number IN ({_NUMBERS})), r AS (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS register FROM part) SELECT register, (SELECT count(*) FROM ob WHERE ob.register = r.register) AS n_official, (SELECT count(*) FROM f WHERE f.register = r.register) AS n_detected, (SELECT count(*) FROM f JOIN ob USING (register, number) WHERE f.register = r.register) AS hits FROM r WHERE register IN (SELECT register FROM ob)")
+def folder_validation(spark, sf_dir):
+    found = sections.sections(frame(spark, sf_dir, "sheet_lines")).select(F.col("doc_id").cast("string").alias("register"), "product", "number")
+    official = frame(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("register"), F.concat(F.lit("4."), F.col("l_linenumber").cast("string")).alias("number"))
+    compared, _ = evaluation.validate_sheets(found, official, sections.NUMBERS)
+    return evaluation.section_report(compared).select("register", "n_official", "n_detected", "hits")
+
+
+@query(f"SELECT count(DISTINCT p_partkey) - count(DISTINCT CASE WHEN '4.' || l_linenumber IN ({_NUMBERS}) THEN p_partkey END) AS skipped FROM part LEFT JOIN lineitem ON l_partkey = p_partkey")
+def folder_without_official(spark, sf_dir):
+    found = sections.sections(frame(spark, sf_dir, "sheet_lines")).select(F.col("doc_id").cast("string").alias("register"), "product", "number")
+    official = frame(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("register"), F.concat(F.lit("4."), F.col("l_linenumber").cast("string")).alias("number"))
+    return evaluation.validate_sheets(found, official, sections.NUMBERS)[1]
+
+
+_BOXES = "SELECT o_orderkey AS doc_id, 1 AS page, 10.0 AS x0, 20.4 AS y0, 50.0 AS x1, 60.0 AS y1, 'TABLE' AS text FROM orders WHERE o_orderkey % 2 = 0"
+_BLOCKS = "SELECT l_orderkey AS doc_id, 1 AS page, 1.0 * (l_linenumber % 3) * 25 AS x0, 10.0 * l_linenumber + 0.2 * (l_partkey % 3) AS y0, 1.0 * (l_linenumber % 3) * 25 + 8 AS x1, 10.0 * l_linenumber + 8 AS y1, concat(' ', l_linenumber, l_returnflag, ' ') AS text FROM lineitem"
+
+
+@query(f"""WITH b AS ({_BLOCKS}), x AS ({_BOXES}), k AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = b.doc_id AND (b.x0 + b.x1) / 2 >= x.x0 AND (b.x0 + b.x1) / 2 < x.x1 AND (b.y0 + b.y1) / 2 >= x.y0 AND (b.y0 + b.y1) / 2 < x.y1) UNION ALL SELECT * FROM x)
+SELECT doc_id, CAST(page AS INT) AS page, string_agg(trim(text), chr(10) ORDER BY round(y0), x0, trim(text)) AS text FROM k GROUP BY 1, 2""")
+def reading_order(spark, sf_dir):
+    def made(text, table):
+        df = spark.sql(text.replace(f"FROM {table}", "FROM {t}"), t=frame(spark, sf_dir, table))
+        return df.select("doc_id", F.col("page").cast("int").alias("page"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], "text")
+
+    return cleaning.reading_order(made(_BLOCKS, "lineitem"), made(_BOXES, "orders"))
+
+
+@query("SELECT page_id AS doc_id FROM (SELECT page_id, length(trim(substr(html, 1, page_id % 260), ' ')) AS n FROM pages UNION ALL SELECT page_id, 40 FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 0 FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 0 FROM pages WHERE page_id % 2 = 0) GROUP BY 1 HAVING avg(n) < 100")
+def scanned_documents(spark, sf_dir):
+    pages = frame(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.left("html", (F.col("page_id") % 260).cast("int")).alias("text"))
+    short = pages.filter("doc_id % 3 = 0").select("doc_id", F.explode(F.array(F.lit(" " + "x" * 40), F.lit("  "))).alias("text"))
+    return src.unreadable_pages(pages.unionByName(short).unionByName(pages.filter("doc_id % 2 = 0").select("doc_id", F.lit("").alias("text"))))
+
+
+@query("""WITH d AS (SELECT doc_id, regexp_replace(text, '[ .;,\\n]', '_', 'g') AS t FROM documents WHERE text <> ''),
+w AS (SELECT doc_id, t, length(t) AS n, unnest(range(0, greatest(length(t) - 150, 1), 850)) AS i FROM d)
+SELECT doc_id, CAST(i // 850 AS INT) AS part, CAST(i AS INT) AS start, substr(t, CAST(i + 1 AS BIGINT), 1000) AS text FROM w""")
+def recursive_chunks_solid(spark, sf_dir):
+    """The splitter where no separator but the last occurs: plain windows with its overlap."""
+    text = F.translate("text", " .;,\n", "_____")
+    docs = frame(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", F.posexplode(chunking.pieces(text)).alias("part", "piece"))
+    return docs.select("doc_id", "part", "piece.start", "piece.text")
+
+
+@query()
+def strategy_comparison(spark, sf_dir):
+    """The fixed sizes by the recursive splitter and the cut by section, over sheets of which each line is long."""
+    lines = frame(spark, sf_dir, "sheet_lines").withColumn("text", F.when(F.col("text").rlike("^[0-9]"), F.col("text")).otherwise(F.repeat(F.concat("text", F.lit(". ")), 12)))
+    whole = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    fixed = [chunking.fixed_chunks(whole, name, size) for name, size in chunking.FIXED.items()]
+    return chunking.strategy_metrics(fixed[0].unionByName(fixed[1]), sections.section_spans(lines)).unionByName(chunking.section_metrics(_sheet_chunks(spark, sf_dir, lines)))
+
+
+_READ = "SELECT conv_id AS doc_id, turn + 1 AS page, text, CASE WHEN conv_id % 7 = 0 THEN 'blank' END AS error FROM conversations"
+
+
+@query(f"WITH r AS ({_READ}), d AS (SELECT DISTINCT doc_id FROM r WHERE error IS NULL) SELECT (SELECT count(*) FROM d) AS documents, (SELECT count(error) FROM r) AS failures, (SELECT count(*) FROM part WHERE p_partkey % 5 = 0) AS unsectioned, (SELECT count(*) FROM part WHERE p_size % 4 = 0) AS multi_product, count(*) AS chunks, CAST(floor(sum(n) / count(*)) AS BIGINT) AS mean_size, max(CASE WHEN i = c // 2 THEN n END) AS median, min(n) AS least, max(n) AS most FROM (SELECT length(p_name) AS n, row_number() OVER (ORDER BY length(p_name)) - 1 AS i, count(*) OVER () AS c FROM part)")
+def ingest_summary(spark, sf_dir):
+    read = spark.sql(_READ.replace("FROM conversations", "FROM {t}"), t=frame(spark, sf_dir, "conversations"))
+    part = frame(spark, sf_dir, "part")
+    several = F.when(F.col("p_size") % 4 == 0, "::p2::").otherwise("::")
+    chunks = part.select(F.col("p_partkey").alias("doc_id"), F.concat(F.col("p_partkey").cast("string"), several, F.lit("1")).alias("chunk_id"), F.when(F.col("p_partkey") % 5 == 0, "documento").otherwise("ficha_tecnica").alias("kind"), F.col("p_name").alias("text"))
+    return ingest.ingest_summary(read, part.select(F.col("p_partkey").alias("doc_id"), F.lit(True).alias("is_sheet")), chunks)
+
+
+@query(f"WITH {_SECTIONS}, n AS (SELECT doc_id, count(*) AS n FROM se GROUP BY 1) SELECT CASE WHEN n >= 8 THEN number ELSE 'sin sección' END AS section, count(DISTINCT CASE WHEN n >= 8 THEN doc_id || ':' || section_id ELSE CAST(doc_id AS VARCHAR) END) AS chunks FROM se JOIN n USING (doc_id) WHERE n < 8 OR length(text) >= 3 GROUP BY 1")
+def chunks_per_section(spark, sf_dir):
+    return ingest.chunks_per_section(_sheet_chunks(spark, sf_dir, frame(spark, sf_dir, "sheet_lines")))
+
+
+@query(f"WITH {_SECTIONS}, n AS (SELECT doc_id, count(*) AS n FROM se GROUP BY 1) SELECT CAST(doc_id AS VARCHAR) || CASE WHEN product > 1 THEN '::p' || product || '::' ELSE '::' END || number || '::1' AS chunk_id, '[' || coalesce(nullif(max(CASE WHEN number = '1' THEN trim(string_split(text, chr(10))[1]) END) OVER (PARTITION BY doc_id, product), ''), 'FT_' || doc_id || '.pdf') || ' · ' || number || ' ' || title || ']' || chr(10) || trim(text) AS text, number AS section FROM se JOIN n USING (doc_id) WHERE n >= 8 QUALIFY length(se.text) >= 3 UNION ALL SELECT doc_id || '::doc::0', '[FT_' || doc_id || '.pdf]' || chr(10) || string_agg(text, chr(10) ORDER BY page, line), NULL FROM l JOIN n USING (doc_id) WHERE n < 8 GROUP BY doc_id")
+def sheet_chunks(spark, sf_dir):
+    """Identifiers, headers and texts of sheets whose sections all fit a chunk."""
+    return _sheet_chunks(spark, sf_dir, frame(spark, sf_dir, "sheet_lines")).select("chunk_id", "text", "section")
+
+
+@query("""SELECT p_partkey AS doc_id, n AS number, CASE n WHEN 0 THEN concat('[Tabla] Sistema | Frecuentes | Raras', chr(10), p_name, ' — Frecuentes: ', p_brand, '; Raras: ', p_type)
+WHEN 1 THEN concat(p_brand, ' — Raras: ', p_name, chr(10), 'Frecuentes: ', p_type) WHEN 2 THEN concat(p_brand, ' | ', p_name) ELSE CASE WHEN p_size % 2 = 0 THEN concat(p_name, ' — Frecuentes: ', p_type, '; Raras: ', p_brand) ELSE concat(p_name, ' | ', p_type, ' | ', p_brand) END END AS text
+FROM part, (VALUES (0::BIGINT), (1), (2), (3)) v(n) WHERE n <> 2 OR p_size % 2 = 1""")
+def tables_carried_over(spark, sf_dir):
+    """Several tables of a document: a header by frequencies, its carry-over, a table of another width that ends it, one without a header."""
+    cells = lambda *xs: F.array(*[F.lit(x) if x in ("Sistema", "Frecuentes", "Raras", "") else F.col(x) for x in xs])
+    tables = [F.array(cells("Sistema", "Frecuentes", "Raras"), cells("p_name", "p_brand", "p_type")), F.array(cells("p_brand", "", "p_name"), cells("", "p_type", "")), F.array(cells("p_brand", "p_name")), F.array(cells("p_name", "p_type", "p_brand"))]
+    made = F.array(*[F.struct(F.lit(n).cast("long").alias("number"), t.alias("rows")) for n, t in enumerate(tables)])
+    rows = frame(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), "p_size", F.explode(made).alias("t")).filter("t.number <> 2 or p_size % 2 = 1")
+    return cleaning.table_texts(rows.select("doc_id", "t.number", "t.rows"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +45,10 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     Unsupported, empty and blank files are rows with an error instead of a text.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    # Spark's scan leaves out files of no bytes; their names are in the listing, which the driver holds anyway.
+    listed = spark.createDataFrame([(re.sub("^file:///", "file:/", unquote(name)),) for name in files.inputFiles()], "path string")
+    empty = listed.join(files.select("path"), "path", "left_anti").select("path", F.lit(b"").alias("content"), F.lit(0).cast("long").alias("length"))
+    files = files.select("path", "content", "length").unionByName(empty)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
     kind = F.create_map(*[F.lit(x) for kv in FORMATS.items() for x in kv])[suffix]
     text = F.when(kind.isin("txt", "md"), decoded(F.col("content")))
@@ -82,21 +89,50 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").json(path)
 
 
+def read_json_lines(spark: SparkSession, path: str, schema: T.StructType, wrong: Column | None = None, what: str = "row") -> DataFrame:
+    """Rows of JSON lines, blank ones aside. The first row, by file and line, that isn't JSON or is ``wrong`` raises with its place."""
+    corrupt = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    parsed = F.from_json("value", corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = lines.filter(F.trim("value") != "").withColumn("row", parsed)
+    bad = F.col("row._corrupt").isNotNull()
+    flat = rows.select("file", "block", "at", "value", bad.alias("bad"), "row.*")
+    found = flat.filter(F.col("bad") | wrong if wrong is not None else F.col("bad")).orderBy("file", "block", "at").select("file", "block", "at", "value").limit(1).collect()
+    if found:
+        b = found[0]
+        before = lines.filter((F.col("file") == b.file) & ((F.col("block") < b.block) | ((F.col("block") == b.block) & (F.col("at") < b["at"])))).count()
+        raise ValueError(f"{b.file}:{before + 1}: not a valid {what}: {b.value[:200]}")
+    return flat.select(*schema.names)
+
+
 def read_chunks(spark: SparkSession, path: str, validate: bool = True) -> DataFrame:
-    """Chunks of JSON lines; with ``validate`` the first bad row raises with its file and content."""
-    schema = T.StructType([*CHUNK_SCHEMA.fields, T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    if validate:
-        m = F.col("metadata")
-        least = {"pagina_inicio": 1, "pagina_fin": 1, "orden": 0, "parte": 1, "total_partes": 1}
-        wrong = F.col("_corrupt").isNotNull() | ~F.coalesce(F.length("texto") >= 1, F.lit(False)) | m["chunk_id"].isNull()
-        for name, low in least.items():
-            wrong |= F.coalesce(m[name] < low, F.lit(False))
-        bad = rows.select("*", F.input_file_name().alias("file")).cache().filter(wrong).head(1)
-        if bad:
-            raise ValueError(f"{bad[0]['file']}: not a valid chunk: {bad[0]['_corrupt'] or bad[0]['texto']!r}")
-    return rows.drop("_corrupt")
+    """Chunks of JSON lines; with ``validate`` the first bad row raises with its file, line and content."""
+    if not validate:
+        return spark.read.schema(CHUNK_SCHEMA).json(path)
+    m = F.col("metadata")
+    least = {"pagina_inicio": 1, "pagina_fin": 1, "orden": 0, "parte": 1, "total_partes": 1}
+    wrong = ~F.coalesce(F.length("texto") >= 1, F.lit(False)) | m["chunk_id"].isNull()
+    for name, low in least.items():
+        wrong |= F.coalesce(m[name] < low, F.lit(False))
+    return read_json_lines(spark, path, CHUNK_SCHEMA, wrong, "chunk")
+
+
+#: Fields of a golden question. Fixed values.
+GOLDEN_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "question", "categoria", "expected_nregistro", "expected_seccion")] + [T.StructField(n, T.BooleanType()) for n in ("answerable", "expected_pii", "revision_manual", "verificado")])
+
+
+def read_golden(spark: SparkSession, path: str) -> DataFrame:
+    """Golden questions of JSON lines; the first line that isn't JSON raises with its file and line."""
+    rows = read_json_lines(spark, path, GOLDEN_SCHEMA, what="question")
+    return rows.select(F.col("id").alias("question_id"), F.col("question").alias("text"), F.coalesce("categoria", F.lit("")).alias("category"), "answerable", F.col("expected_nregistro").alias("expected_register"), F.col("expected_seccion").alias("expected_section"), F.coalesce("expected_pii", F.lit(False)).alias("expected_pii"))
+
 
+def read_folder(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """``read_texts`` of the supported files of a folder, in name order the first ``limit`` of them."""
+    rows = read_texts(spark, path).filter("format is not null")
+    if limit is None:
+        return rows
+    return rows.join(F.broadcast(rows.select("path").orderBy("path").limit(limit)), "path")
 
 def registry_records(responses: DataFrame) -> DataFrame:
     """Records of registry responses: nregistro, nombre, pactivos, atcs (array of codigo, nivel), docs (array of tipo, url, secc).

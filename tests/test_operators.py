@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sextant.functions import text as tx
-from sextant.operators import answers, chunking, cleaning, index, masking
+from sextant.operators import answers, chunking, cleaning, index, ingest, masking, search, sections
 from sextant.sources import documents as src
+from sextant.sources import reports
 
 
 @pytest.mark.parametrize(
@@ -163,3 +164,107 @@ def test_index_on_disk(spark, tmp_path):
     assert before.count() == len(rows) and {r.text for r in index.open_index(spark, path).filter("doc_id = 'd2'").collect()} == {"newer"}
     with pytest.raises(FileNotFoundError):
         index.open_index(spark, str(tmp_path / "none"))
+
+
+def test_validated_lines_name_file_and_line(spark, tmp_path):
+    good = '{"id": "Q1", "question": "¿Qué?", "answerable": true, "expected_nregistro": "1"}\n'
+    (tmp_path / "golden.jsonl").write_text(good + "\n" + good + "{broken\n" + "{worse\n")
+    with pytest.raises(ValueError, match=r"golden\.jsonl:4: not a valid question: \{broken"):
+        src.read_golden(spark, str(tmp_path / "golden.jsonl"))
+    (tmp_path / "golden.jsonl").write_text(good)
+    assert tuple(src.read_golden(spark, str(tmp_path / "golden.jsonl")).first()) == ("Q1", "¿Qué?", "", True, "1", None, False)
+    (tmp_path / "chunks.jsonl").write_text('{"texto": "a", "metadata": {"chunk_id": "1"}}\n\n{"texto": "b", "metadata": {"chunk_id": "2", "parte": 0}}\n')
+    with pytest.raises(ValueError, match=r"chunks\.jsonl:3: not a valid chunk"):
+        src.read_chunks(spark, str(tmp_path / "chunks.jsonl"))
+    src.write_chunks(src.read_chunks(spark, str(tmp_path / "chunks.jsonl"), validate=False).filter("texto = 'a'"), str(tmp_path / "out"))
+    assert src.read_chunks(spark, str(tmp_path / "out")).select("texto", "metadata.chunk_id").collect() == [("a", "1")]
+
+
+SHEET = """FICHA TÉCNICA
+1. NOMBRE DEL MEDICAMENTO
+Prueba 10 mg
+2. COMPOSICIÓN CUALITATIVA Y CUANTITATIVA
+Contiene algo.
+3. FORMA FARMACÉUTICA
+Comprimido
+4. DATOS CLÍNICOS
+4.1 Indicaciones terapéuticas
+Dolor.
+4.2 Posología y forma de administración
+Una al día.
+4.3 Contraindicaciones
+Alergia.
+5. PROPIEDADES FARMACOLÓGICAS
+Ninguna.
+6. DATOS FARMACÉUTICOS
+Nada.
+7. TITULAR DE LA AUTORIZACIÓN
+Laboratorio
+"""
+
+
+def test_folder_to_chunks_and_summary(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "FT_1.txt").write_text(SHEET)
+    (d / "FT_2.txt").write_text("FICHA TÉCNICA\nNOMBRE DEL MEDICAMENTO\nsin nada más")
+    (d / "nota.md").write_text("# Uno\nTexto.\n\n# Dos\nOtro.")
+    (d / "vacio.txt").write_text("")
+    (d / "zzz.txt").write_text("último")
+    (tmp_path / "cat.csv").write_text("principio_activo_buscado,nregistro,nombre,principios_activos,atc\nA,1,Prueba,Algo,X1\n")
+    read = src.read_folder(spark, str(d), 4)
+    assert read.count() == 4 and read.filter("path like '%zzz%'").isEmpty()
+    documents = ingest.described(read, src.read_catalogue(spark, str(tmp_path / "cat.csv")))
+    chunks = ingest.ingest(read, documents)
+    rows = {r.chunk_id: r for r in chunks.collect()}
+    assert rows["FT_1::4.1::1"].text == "[Prueba 10 mg · 4.1 Indicaciones terapéuticas]\nDolor." and rows["FT_1::4.1::1"].atc == "X1"
+    assert [r.title for r in rows.values() if r.doc_id.startswith("nota")] == ["Uno", "Dos"]
+    assert tuple(ingest.ingest_summary(read, documents, chunks).first())[:5] == (3, 1, 1, 0, len(rows))
+    assert {r.section: r.chunks for r in ingest.chunks_per_section(chunks).collect()}[ingest.NO_SECTION] == 3
+
+
+def test_strategies_against_plain_loops(spark):
+    text = "\n".join([SHEET] + ["Frase larga de relleno. " * 30] * 4)
+    lines = spark.createDataFrame([("a", 1, i, t) for i, t in enumerate(text.split("\n"))], "doc_id string, page int, line int, text string")
+    spans = sections.section_spans(lines)
+    got = chunking.strategy_metrics(chunking.fixed_chunks(spark.createDataFrame([("a", text)], "doc_id string, text string"), "fijo_500", 500), spans).first()
+    found = chunking.located(text, 500, 75)
+    touched = [{s.number for s in spans.collect() if s.start < p["start"] + len(p["text"]) and s.end > p["start"]} for p in found]
+    keys = [sum(k in t for t in touched) for k in ("4.1", "4.2", "4.3", "4.4", "4.5", "4.8")]
+    want = (len(found), sum(len(p["text"]) for p in found) // len(found), round(100 * sum(len(t) > 1 for t in touched) / len(found), 4), round(100 * sum(n <= 1 for n in keys) / 6, 4))
+    assert (got.chunks, got.mean_size, got.mixed_percent, got.whole_key_percent) == want
+    cut = spark.createDataFrame([("a", "4.1", 1, "xx"), ("a", "4.2", 2, "xxxx"), ("a", "4.2", 2, "xx"), ("a", "5", 3, "x")], "doc_id string, section string, parts int, text string")
+    assert tuple(chunking.section_metrics(cut).first()) == ("por_seccion", 4, 2, 0.0, 50.0)
+
+
+def test_search_skips_filters_or_goes_global(spark):
+    catalogue = spark.createDataFrame([(1, "100", "Aspirina 500 mg", "acido acetilsalicilico", "acido acetilsalicilico"), (2, "200", "Nolotil", "metamizol", "metamizol")], "row int, register string, name string, searched string, ingredients string")
+    chunks = spark.createDataFrame([("a", [1.0, 0.0], "100"), ("b", [0.6, 0.8], "200"), ("c", [0.0, 1.0], "300"), ("d", None, "100"), ("e", [1.0], "100")], "chunk_id string, vector array<double>, register string")
+    asked = [("one", "¿Y la aspirina?", [0.0, 1.0]), ("two", "aspirina o nolotil", [0.0, 1.0]), ("none", "¿qué hora es?", [0.0, 1.0]), ("blank", "  ", [0.0, 1.0]), ("pii", "DNI 12345678Z nolotil", [1.0, 0.0])]
+    questions = spark.createDataFrame(asked, "question_id string, text string, vector array<double>")
+    masked, found = search.run_evaluation(questions, catalogue, chunks, 2)
+    got = {}
+    for r in found.orderBy("question_id", "rank").collect():
+        got.setdefault(r.question_id, []).append((r.chunk_id, round(r.score, 6)))
+    assert got == {"one": [("a", 0.0)], "two": [("c", 1.0), ("b", 0.8)], "pii": [("b", 0.6)]}
+    assert {r.question_id for r in masked.filter("masked").collect()} == {"pii"} and masked.count() == 5
+    with pytest.raises(ValueError):
+        search.search(questions, catalogue, chunks, 0)
+
+
+def test_reports(spark, tmp_path):
+    rows = spark.createDataFrame([("2", 3, 3, 3, "", ""), ("1", 3, 2, 2, "4.1", ""), ("3", 3, 4, 1, "4.1 4.2", "5")], "register string, n_official int, n_detected int, hits int, missing string, extra string")
+    reports.write_section_report(rows, str(tmp_path / "csv"))
+    text = next((tmp_path / "csv").glob("*.csv")).read_text().splitlines()
+    assert text == ["nregistro,oficiales,detectadas,aciertos,faltan,sobran", "3,3,4,1,4.1 4.2,5", "1,3,2,2,4.1,", "2,3,3,3,,"]
+    reports.write_summary({"all": rows.agg(F.count("*").alias("n")), "by": rows.groupBy("hits").agg(F.count("*").alias("n"))}, str(tmp_path / "json"))
+    made = spark.read.json(str(tmp_path / "json")).first()
+    assert made["all"][0].n == 3 and {r.hits for r in made["by"]} == {1, 2, 3}
+
+
+def test_reading_order_and_scans(spark):
+    blocks = spark.createDataFrame([(1, 1, 0.0, 10.4, 5.0, 12.0, "b"), (1, 1, 9.0, 10.1, 12.0, 12.0, "c"), (1, 1, 0.0, 2.0, 5.0, 4.0, "a"), (1, 1, 20.0, 20.0, 30.0, 30.0, "in the table")], "doc_id int, page int, x0 double, y0 double, x1 double, y1 double, text string")
+    boxes = spark.createDataFrame([(1, 1, 15.0, 15.0, 40.0, 40.0, "[Tabla] t")], blocks.schema)
+    assert cleaning.reading_order(blocks, boxes).first().text == "a\nb\nc\n[Tabla] t"
+    pages = spark.createDataFrame([(1, "x" * 99), (1, "x" * 101), (2, " " * 300), (2, "x" * 150), (3, None)], "doc_id int, text string")
+    assert sorted(r.doc_id for r in src.unreadable_pages(pages).collect()) == [2]
