@@ -1,8 +1,10 @@
 """Personal data by weak supervision; DataFrame functions only.
 
 Strict patterns give the base spans, wide patterns give further candidates. Four labelers
-vote for, against or not at all on every candidate: the pattern's own check, a shape
-labeler, a gazetteer and a context labeler. The votes of the whole table are counted per
+vote for, against or not at all on every candidate: a structure check, a shape labeler, a
+gazetteer and a context labeler, which knows a few words and learns others from the counts of
+what stands before base spans and before other candidates of their kind. No vote repeats a
+base pattern. The votes of the whole table are counted per
 kind, and expectation-maximisation estimates from the counts how reliable each labeler is
 and how likely each vote pattern is personal data. With these soft labels a naive Bayes span
 classifier is trained on span features, again from counts. Base spans stay; the classifier
@@ -14,7 +16,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.llm.common import durable
@@ -29,16 +31,21 @@ BASE = (
 )
 #: What a text must match for its strict pattern to be tried, for speed alone.
 GUARD = ("@", r"\.[0-9]", "[0-9]", r"\+[0-9]")
-#: Candidates beyond the strict patterns: spelled-out addresses, IPv6, grouped card numbers, national phone numbers.
+#: Candidates beyond the strict patterns: spelled-out addresses, defanged addresses and IPv6, grouped card numbers, national phone numbers.
 WIDE = (
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?: ?(?:[\[(](?:dot|DOT)[\])]|\.) ?[A-Za-z0-9-]++)++",
-    r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?[\[({](?:at|AT|@)[\])}] ?| at | @ )[A-Za-z0-9-]++(?:(?: ?[\[({](?:dot|DOT|\.)[\])}] ?| dot |\.)[A-Za-z0-9-]++)++",
+    r"(?<![0-9A-Fa-f:.])(?:(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,5}:(?:[0-9A-Fa-f]{1,4}:){0,4}[0-9A-Fa-f]{1,4}|[0-9]{1,3}(?: ?[\[(]\.[\])] ?[0-9]{1,3}){3})(?![0-9A-Fa-f:])",
     r"(?<![0-9.])[0-9]{4}[.\x20-][0-9]{4}[.\x20-][0-9]{4}(?:[.\x20-][0-9]{1,7})?(?![0-9])",
-    r"(?<![0-9A-Za-z+.-])(?:00[1-9][0-9]{0,2}[\x20-])?\(?[0-9]{2,4}\)?[\x20-][0-9]{3,4}[\x20-][0-9]{3,4}(?![0-9A-Za-z-])",
+    r"(?<![0-9A-Za-z+./-])(?:00[1-9][0-9]{0,2}[\x20-])?\(?[0-9]{2,5}\)?(?:[\x20-][0-9]{3,4}[\x20-][0-9]{3,4}|\.[0-9]{3}\.[0-9]{4}|[/\x20][0-9]{6,8})(?![0-9A-Za-z/-])",
 )
-WIDE_GUARD = (r"[\[(](?:at|AT)[\])]", r"[0-9A-Fa-f]:[0-9A-Fa-f]", "[0-9]{4}[.\x20-][0-9]{4}", r"[0-9]{2}\)?[\x20-][0-9]{3}")
+WIDE_GUARD = (r"[\[({](?:at|AT|@)[\])}]| dot | @ ", r"[0-9A-Fa-f]:[0-9A-Fa-f:]|[0-9] ?[\[(]\.", "[0-9]{4}[.\x20-][0-9]{4}", r"[0-9]{2}\)?[\x20./-][0-9]{3}")
 #: Gazetteer: domain endings, leading digits of card issuers, calling codes. Fixed values.
-DOMAINS = ("com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "uk", "it", "nl", "eu", "us", "ca", "ch", "at", "be", "mx")
+DOMAINS = """
+com org net edu gov int mil info biz name pro io ai app dev cloud online site tech store shop blog
+ac ad ae ar at au ba be bg bo br by ca ch cl cn co cr cu cy cz de dk do ec ee eg es eu fi fr gr gt hk hr
+hu id ie il in ir is it jp ke kr kz lt lu lv ma me mt mx my ng ni nl no nz pa pe ph pk pl pr pt py ro rs
+ru sa se sg si sk sv th tn tr tv tw ua uk us uy ve vn za
+""".split()
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35|36|38)"
 CALLING = r"^(?:00)?(?:1|7|2[07]|3[0-4]|36|39|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 #: Context words before a span, for and against, in the corpus languages. Fixed values.
@@ -49,6 +56,8 @@ FOR = (
     r"phone|tel|call|fax|mobile|handy|móvil|appel|llama|rufen",
 )
 AGAINST = (r"://[^ ]*$", r"version|\bv\.? ?$|release|section|kapitel", r"token|hash|serial|isbn|order|invoice|\bid\b", r"token|isbn|version|page|date|order|\bid\b")
+#: Words before spans whose votes are learned, for each kind at most; seen so often at least; log odds beyond which one votes.
+CUES, CUE_LEAST, CUE_ODDS = 100, 20, 1.0
 #: Characters of context.
 NEAR = 32
 LABELERS = ("check", "shape", "gazetteer", "context")
@@ -110,14 +119,19 @@ def _votes(c: Column) -> Column:
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
     d = digits(s)
     n = F.length(d)
-    check = by_kind([vote(c["base"], F.lit(False)), vote(c["base"], F.lit(False)), vote(luhn(d), n > 0), vote(c["base"], n < 9)])
+    local = F.regexp_extract(s, r"^([^@\[({ ]*)", 1)
+    tidy = ~local.rlike(r"^[.%+-]|[.%+-]$|\.\.") & s.rlike(r"[A-Za-z]{2,24}$")
+    octet = F.filter(F.split(F.regexp_replace(s, r"[^0-9.]", ""), r"\."), lambda x: x != "")
+    plain = F.when(s.contains(":"), ~s.rlike(":::")).otherwise((F.size(octet) == 4) & F.forall(octet, lambda x: ~x.rlike("^0.") & (F.length(x) <= 3)))
+    kinds = F.size(F.array_distinct(F.split(d, "")))
+    check = by_kind([vote(tidy, s.rlike("(?:^|[.@])[.-]|[0-9]$")), vote(plain, s.rlike(r"(?:^|\.)0[0-9]")), vote(luhn(d), n > 0), vote((kinds >= 4) & n.between(9, 15), kinds <= 2)])
     shape = by_kind([vote(s.rlike("[A-Za-z]{2}.*[A-Za-z]{2}"), ~s.rlike("[A-Za-z]")), vote(s.rlike("^[1-9]") | s.contains(":"), s.rlike(r"^0|\b0[0-9]")), vote(n.between(15, 16), n < 13), vote(n.between(10, 13), (n < 9) | (n > 15))])
     ending = F.lower(F.regexp_extract(s, r"([A-Za-z]+)[^A-Za-z]*$", 1))
     gazetteer = by_kind([vote(ending.isin(*DOMAINS), F.length(ending) < 2), vote(~s.rlike(r"^(?:0|127|255)\."), s.rlike(r"^(?:0|255)\.")), vote(d.rlike(ISSUERS), d.rlike("^[0789]")), vote(d.rlike(CALLING), F.lit(False))])
     pro, contra = by_kind([near.rlike(p) for p in FOR]), by_kind([near.rlike(p) for p in AGAINST])
     context = vote(pro & ~contra, contra & ~pro)
     edge = lambda x: F.when(x == "", "e").when(x.rlike(r"\s"), "s").when(x.rlike(r"[\p{L}\p{N}]"), "w").otherwise("p")
-    return F.struct(c["start"], kind.alias("kind"), c["end"], c["base"], check.alias("check"), shape.alias("shape"), gazetteer.alias("gazetteer"), context.alias("context"), F.least(n, F.lit(20)).alias("digits"), F.least(F.length(F.regexp_replace(s, r"[\p{L}\p{N}]", "")), F.lit(8)).alias("marks"), edge(F.right(c["before"], F.lit(1))).alias("before"), edge(c["after"]).alias("after"))
+    return F.struct(c["start"], kind.alias("kind"), c["end"], c["base"], check.alias("check"), shape.alias("shape"), gazetteer.alias("gazetteer"), context.alias("context"), F.least(n, F.lit(20)).alias("digits"), F.least(F.length(F.regexp_replace(s, r"[\p{L}\p{N}]", "")), F.lit(8)).alias("marks"), edge(F.right(c["before"], F.lit(1))).alias("before"), edge(c["after"]).alias("after"), F.regexp_extract(near, r"(\p{L}{2,20})[^\p{L}]*$", 1).alias("cue"))
 
 
 def candidates(text: Column) -> Column:
@@ -181,18 +195,47 @@ def train(counts: list[dict]) -> dict[str, float]:
     return weights
 
 
-def fit(spans: DataFrame) -> dict[str, float]:
-    """Classifier weights from the ``spans`` column of all rows."""
+def learned_cues(flat: DataFrame) -> dict[str, int]:
+    """Votes of the commonest words before candidates, by "kind|word": +1 where base spans are far more frequent after it than after others, -1 where far less."""
+    base = F.sum(F.col("base").cast("int"))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "cue"))
+    counts = flat.groupBy("kind", "cue").agg(F.count("*").alias("n"), base.alias("yes"))
+    whole = counts.groupBy("kind").agg(F.sum("n").alias("all"), F.sum("yes").alias("all_yes"))
+    often = counts.filter((F.col("cue") != "") & (F.col("n") >= CUE_LEAST)).withColumn("place", place).filter(F.col("place") <= CUES)
+    odds = lambda yes, n: math.log((yes + 1) / (n - yes + 1))
+    out = {}
+    for r in often.join(F.broadcast(whole), "kind").collect():
+        lead = odds(r.yes, r.n) - odds(r.all_yes, r["all"])
+        if abs(lead) > CUE_ODDS:
+            out[f"{r.kind}|{r.cue}"] = 1 if lead > 0 else -1
+    return out
+
+
+def _context(c, cues: dict[str, int]) -> Column:
+    """The context vote: that of the known words, or else of the learned one."""
+    if not cues:
+        return c["context"]
+    table = F.create_map(*[F.lit(x) for kv in sorted(cues.items()) for x in kv])
+    learned = F.try_element_at(table, F.concat_ws("|", c["kind"].cast("string"), c["cue"]))
+    return F.when(c["context"] != 0, c["context"]).otherwise(F.coalesce(learned, F.lit(0)))
+
+
+def fit(spans: DataFrame) -> tuple[dict[str, float], dict[str, int]]:
+    """Classifier weights and learned context words from the ``spans`` column of all rows."""
     keys = ["kind", "base", *LABELERS, "digits", "marks", "before", "after"]
     flat = spans.select(F.explode("spans").alias("c")).select("c.*")
-    return train([r.asDict() for r in flat.groupBy(*keys).agg(F.count("*").alias("n")).collect()])
+    cues = learned_cues(flat)
+    seen = flat.withColumn("context", _context({c: F.col(c) for c in ("context", "kind", "cue")}, cues))
+    return train([r.asDict() for r in seen.groupBy(*keys).agg(F.count("*").alias("n")).collect()]), cues
 
 
-def accepted(spans: Column, weights: dict[str, float]) -> Column:
+def accepted(spans: Column, fitted: tuple[dict[str, float], dict[str, int]]) -> Column:
     """The base spans and those that the classifier accepts."""
+    weights, cues = fitted
     table = F.create_map(*[F.lit(x) for kv in sorted(weights.items()) for x in kv])
     weight = lambda f, c, v: F.coalesce(F.try_element_at(table, F.concat_ws("|", F.lit(f), c["kind"].cast("string"), v)), F.lit(0.0))
-    score = lambda c: sum((weight(f, c, c[f].cast("string")) for f in FEATURES), weight("prior", c, F.lit("")))
+    value = lambda f, c: (_context(c, cues) if f == "context" else c[f]).cast("string")
+    score = lambda c: sum((weight(f, c, value(f, c)) for f in FEATURES), weight("prior", c, F.lit("")))
     return F.filter(spans, lambda c: c["base"] | (score(c) > 0))
 
 

@@ -66,6 +66,54 @@ def test_redaction_covers_the_base_spans_and_nothing_else_of_clean_texts(spark):
     assert by[2] == "mail é😀 [EMAIL], x@y z@.w [EMAIL]."
 
 
+def test_planted_spans_that_no_base_pattern_has(spark):
+    rng = random.Random(5)
+    words = [a + b for a in ("ra", "to", "mi", "lu", "ke") for b in ("son", "ter", "lin", "mo")]
+    filler = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    num = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+
+    def luhn_card(sep):
+        d = "4" + num(14)
+        check = next(c for c in "0123456789" if holds("card", d + c))
+        return sep.join((d + check)[i : i + 4] for i in range(0, 16, 4))
+
+    name = lambda: rng.choice(words) + "." + rng.choice(words)
+    quad = lambda sep: sep.join(str(rng.randrange(1, 250)) for _ in range(4))
+    plain = {
+        "email": lambda: ("zapmail", name() + "@" + rng.choice(words) + rng.choice((".com", ".org", ".de"))),
+        "ip": lambda: ("boxnode", quad(".")),
+        "card": lambda: ("paywith", luhn_card(rng.choice(("", " ", "-")))),
+        "phone": lambda: ("dialup", f"+1 ({num(3)}) {num(3)}-{num(4)}"),
+    }
+    wide = {
+        "email": lambda: ("zapmail", name() + rng.choice((" [at] ", "(at)", " at ")) + rng.choice(words) + rng.choice((" [dot] ", " dot ")) + rng.choice(("com", "org", "de"))),
+        "ip": lambda: ("boxnode", rng.choice((quad("[.]"), ":".join(f"{rng.randrange(4096, 65536):x}" for _ in range(8)), f"2001:db8::{rng.randrange(16, 65536):x}"))),
+        "card": lambda: ("paywith", luhn_card(".")),
+        "phone": lambda: ("dialup", rng.choice((f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"0049 {num(3)} {num(3)} {num(4)}"))),
+    }
+    wrong = [lambda: f"ordered {num(4)}-{num(4)}-{num(4)}-1111 units", lambda: f"parts {num(2)} {num(3)} {num(3)}", lambda: "looked at home dot", lambda: f"at {num(1)}:{num(2)}:{num(2)}"]
+    rows, planted, clean = [], {}, set()
+    for i in range(600):
+        kind = KINDS[i % 4]
+        if i % 5 < 3:
+            cue, span = plain[kind]()
+        elif i % 5 == 3:
+            cue, span = wide[kind]()
+        else:
+            cue, span = rng.choice(wrong)(), ""
+            clean.add(i)
+        text = f"{filler(8)} {cue} {span} {filler(6)}"
+        rows.append((i, text))
+        if i % 5 == 3:
+            planted[i] = f"{kind}:{text.index(span)}:{text.index(span) + len(span)}"
+    out = {r.doc_id: r.spans.split(",") for r in pii_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = {i: (rows[i][1], span, out[i]) for i, span in planted.items() if span not in out[i]}
+    for kind in KINDS:
+        own = [i for i, span in planted.items() if span.startswith(kind)]
+        assert len([i for i in own if i in missed]) <= 0.1 * len(own), (kind, list(missed.values())[:5])
+    assert sum(out[i] != [""] for i in clean) <= 0.05 * len(clean), [(rows[i][1], out[i]) for i in clean if out[i] != [""]][:5]
+
+
 def test_training_separates_what_the_labelers_agree_on():
     cell = lambda base, votes, n: {"kind": 3, "base": base, "n": n, "digits": 10, "marks": 2, "before": "s", "after": "s"} | dict(zip(("check", "shape", "gazetteer", "context"), votes, strict=True))
     counts = [cell(True, (1, 1, 1, 0), 500), cell(False, (0, 1, 1, 1), 60), cell(False, (-1, -1, 0, -1), 300)]
