@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only by local sessions that name no folder, as in tests and benchmarks on one machine.
 LOCAL = "/tmp/checkpoints"
+_open: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,9 +33,24 @@ def durable(df: DataFrame) -> DataFrame:
     files.deleteOnExit(folder)
     out = spark.read.schema(df.schema).parquet(path)
     out._sextant_path = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 
+@contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """Tables that ``durable`` writes meanwhile are removed at the end, but for those put into the list."""
+    kept: list[DataFrame] = []
+    _open.append([])
+    try:
+        yield kept
+    finally:
+        for table in _open.pop():
+            if not any(table is k for k in kept):
+                discard(table)
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table of ``durable`` that nothing will read again."""
     folder, files = file_system(df.sparkSession, df._sextant_path)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sextant.functions import scratch
 from sextant.functions import text as tx
 from sextant.operators import answers, chunking, cleaning, index, ingest, masking, search, sections
 from sextant.sources import documents as src
@@ -268,3 +269,13 @@ def test_reading_order_and_scans(spark):
     assert cleaning.reading_order(blocks, boxes).first().text == "a\nb\nc\n[Tabla] t"
     pages = spark.createDataFrame([(1, "x" * 99), (1, "x" * 101), (2, " " * 300), (2, "x" * 150), (3, None)], "doc_id int, text string")
     assert sorted(r.doc_id for r in src.unreadable_pages(pages).collect()) == [2]
+
+
+def test_passing_tables_go(spark, tmp_path):
+    with scratch.passing() as kept:
+        gone = scratch.durable(spark.range(3))
+        kept.append(scratch.durable(gone.filter("id > 0")))
+    assert kept[0].count() == 2
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|not exist"):
+        spark.read.parquet(gone._sextant_path)
+    scratch.discard(kept[0])
