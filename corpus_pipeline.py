@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm.common import durable
+from sextant.functions.scratch import discard, durable, passing
 from sextant.llm.packing import packing
 from sextant.llm.pii import redact
 from sextant.llm.quality import train
@@ -32,7 +32,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near-duplicates.
 
-    Those have a Jaccard similarity of 0.8 or more by sets of five-word shingles; documents
+    Candidates come from the SimHash trie join and from minimum hashes, as 64 bits can't
+    carry the similarity; all are confirmed. Near-duplicates have a Jaccard similarity of 0.8 or more by sets of five-word shingles; documents
     without a doc_id can't be compared and stay.
     """
     return shingle_dedup(docs, shingle=5, least=0.8)
@@ -57,7 +58,12 @@ STAGES = [("quality", quality), ("near_dedup", near_dedup), ("personal_data", pe
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
+        with passing() as kept:
+            docs = durable(stage(spark, docs, sf_dir))
+            kept.append(docs)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
