@@ -33,8 +33,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near-duplicates.
 
     Candidates come from the SimHash trie join and from minimum hashes, as 64 bits can't
-    carry the similarity; all are confirmed. Near-duplicates have a Jaccard similarity of 0.8 or more by sets of five-word shingles; documents
-    without a doc_id can't be compared and stay.
+    carry the similarity; all are confirmed. Near-duplicates have a Jaccard similarity of 0.8
+    or more by sets of five-word shingles; documents without a doc_id can't be compared and
+    stay.
     """
     return shingle_dedup(docs, shingle=5, least=0.8)
 
