@@ -1,26 +1,34 @@
-"""Near-duplicates by the Jaccard similarity of word shingle sets.
-
-Candidates share one of ``BANDS`` keys of ``ROWS`` minimum hashes each; a pair of similarity
-s shares none with a chance of (1 - s ** ROWS) ** BANDS, 5e-8 at 0.8. Every candidate is
-confirmed by the exact similarity of the two sets. Equal sets are one node. Each node is
-compared with the least node under its keys first, and then only with the nodes under its keys
-that no link connects it with yet, so large groups of copies don't give all their pairs.
+"""SimHash near-duplicates confirmed by the Jaccard similarity of word shingle sets.
+
+Equal sets are one node. Candidates come from the trie self-join of SimHash fingerprints and,
+since a 64-bit fingerprint can't carry a similarity of 0.8, from a second signature: nodes
+that share one of ``BANDS`` keys of ``ROWS`` minimum hashes each; a pair of similarity s
+shares none with a chance of (1 - s ** ROWS) ** BANDS, 5e-6 at 0.8. Under a key, every node
+is compared with the least one only. Where that leaves the nodes of a key unconnected, their
+sets are compared where the key's nodes meet, in blocks of bounded size, and only the links
+that connect something leave the task, so large groups don't give all their pairs. Every
+link is confirmed by the sets themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from sextant.llm.common import components, durable
-from sextant.llm.simhash_dedup import shingle_hashes
-
-BANDS, ROWS = 32, 4
+from pyspark.sql import types as T
+
+from sextant.llm.common import components, durable, trim_memory
+from sextant.llm.simhash_dedup import links, majority, shingle_hashes
+
+BANDS, ROWS = 40, 6
+#: Nodes of one key that meet in one task: those of two blocks.
+BLOCK = 512
+#: Minimum hashes, a byte of each, by which a pair is estimated before its sets are; a pair of the similarity is this many deviations above the bound.
+LANES, DEVIATIONS = 128, 4.5
+#: Shingles that two sets may seem to share, or not to, because of equal short hashes.
+SLACK = 2
 #: Shingles whose hashes are permuted at once.
 PART = 512
 _RNG = np.random.default_rng(11)
@@ -42,86 +50,146 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def with_nodes(docs: DataFrame, shingle: int) -> DataFrame:
-    """``docs`` with near_node (hash of the shingle set), near_size and near_keys as the last columns."""
-    at = docs.columns.index("text")
-    fields = [pa.field("near_node", pa.int64()), pa.field("near_size", pa.int64()), pa.field("near_keys", pa.list_(pa.int64()))]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, sizes, keys = [], [], []
-            for text in batch.column(at):
-                found = np.unique(shingle_hashes(text.as_py(), shingle))
-                nodes.append(_signed(xxhash.xxh64_intdigest(found.tobytes())))
-                sizes.append(len(found))
-                keys.append(band_keys(found))
-            added = [pa.array(x, f.type) for x, f in zip((nodes, sizes, keys), fields, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], schema=pa.schema([*batch.schema, *fields]))
-
-    null = F.lit(None)
-    wide = docs.select("*", null.cast("long").alias("near_node"), null.cast("long").alias("near_size"), null.cast("array<long>").alias("near_keys"))
-    return docs.mapInArrow(work, wide.schema)
-
-
-def confirmed(rows: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose sets have a similarity of ``least`` or more."""
-    ends = pairs.select(F.col("a").alias("near_node")).union(pairs.select("b")).distinct()
-    texts = rows.select("near_node", F.col("text").cast("string").alias("text")).join(ends, "near_node").groupBy("near_node").agg(F.first("text").alias("text"))
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "hashes"])
-
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both >= least * (len(x) + len(y) - both))
-            mask = pa.array(near, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
-
-    sets = durable(texts.mapInArrow(collect, "node long, hashes binary"))
-    x, y = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return durable(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"))
-
-
-def near_components(rows: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(near_node, component) of the nodes of ``rows`` that links of ``least`` or more similarity connect with others."""
-    nodes = rows.groupBy("near_node").agg(F.first("near_size").alias("size"), F.first("near_keys").alias("keys"))
-    keys = durable(nodes.select(F.col("near_node").alias("node"), "size", F.explode("keys").alias("key")))
+SIGNATURE = T.StructType([*(T.StructField(name, T.LongType()) for name in ("node", "size", "fp")), T.StructField("keys", T.ArrayType(T.LongType()))])
+
+
+@F.arrow_udf(SIGNATURE)
+def signature(texts: pa.Array, shingles: pa.Array) -> pa.Array:
+    """Of each text: hash and size of its shingle set, the set's SimHash fingerprint and its keys."""
+    nodes, sizes, prints, keys = [], [], [], []
+    for text, shingle in zip(texts, shingles, strict=True):
+        found = np.unique(shingle_hashes(text.as_py(), shingle.as_py()))
+        nodes.append(_signed(xxhash.xxh64_intdigest(found.tobytes())))
+        sizes.append(len(found))
+        prints.append(_signed(majority(found)) if len(found) else 0)
+        keys.append(band_keys(found))
+    trim_memory()
+    return pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "size", "fp", "keys"])
+
+
+@F.arrow_udf(T.StructType([T.StructField("grams", T.ArrayType(T.LongType())), T.StructField("short", T.BinaryType())]))
+def shingle_set(texts: pa.Array, shingles: pa.Array) -> pa.Array:
+    """The set of each text, as long hashes and as sorted short ones."""
+    sets = [np.unique(shingle_hashes(t.as_py(), n.as_py())) for t, n in zip(texts, shingles, strict=True)]
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+    grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)))
+    short = pa.array([np.unique((x >> np.uint64(32)).astype("<u4")).tobytes() for x in sets], pa.binary())
+    del sets
+    trim_memory()
+    return pa.StructArray.from_arrays([grams, short], names=["grams", "short"])
+
+
+def _alike(a, b, least: float):
+    """Sets of sizes ``a`` and ``b`` can have the similarity."""
+    return F.least(a, b) >= F.lit(least) * F.greatest(a, b)
+
+
+def confirmed(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose ``sets`` (node, grams) have a similarity of ``least`` or more."""
+    x, y = sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
+    return durable(both.filter(F.col("both") >= F.lit(least) * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b"))
+
+
+def lanes(sets: list[np.ndarray]) -> np.ndarray:
+    """A byte of each of ``LANES`` minimum hashes of every set."""
+    out = np.zeros((len(sets), LANES), np.uint8)
+    for i, x in enumerate(sets):
+        if len(x):
+            least = np.full(LANES, np.iinfo(np.uint64).max, np.uint64)
+            for part in range(0, len(x), PART):
+                np.minimum(least, (TIMES[:LANES] * x[part : part + PART].astype(np.uint64) + PLUS[:LANES]).min(1), out=least)
+            out[i] = (least >> np.uint64(40)).astype(np.uint8)
+    return out
+
+
+def connecting_links(sets: list[np.ndarray], components_: np.ndarray, block: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links of the similarity that connect different components; ``block`` is 0 or 1, and two blocks only meet across."""
+    n, sizes, across = len(sets), np.array([len(x) for x in sets]), len(np.unique(block)) > 1
+    _, root = np.unique(components_, return_inverse=True)
+    bytes_, bound = lanes(sets), least - DEVIATIONS * np.sqrt(least * (1 - least) / LANES)
+    first, second, guess = [], [], []
+    for i in range(n - 1):
+        j = np.arange(i + 1, n)
+        fits = (root[j] != root[i]) & (np.minimum(sizes[j], sizes[i]) + SLACK >= least * np.maximum(sizes[j], sizes[i]) - SLACK)
+        j = j[fits & (block[j] != block[i]) if across else fits]
+        share = (bytes_[j] == bytes_[i]).mean(1) if len(j) else np.zeros(0)
+        j, share = j[share >= bound], share[share >= bound]
+        first.append(np.full(len(j), i))
+        second.append(j)
+        guess.append(share)
+    if not first:
+        return []
+    first, second, guess = np.concatenate(first), np.concatenate(second), np.concatenate(guess)
+    out = []
+    for k in np.argsort(-guess, kind="stable"):
+        i, j = int(first[k]), int(second[k])
+        if root[i] != root[j]:
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True)) + SLACK
+            if both >= least * (sizes[i] + sizes[j] - both):
+                out.append((i, j))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def open_links(placed: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that connect components under a key, from ``placed`` (key, node, component)."""
+    open_keys = placed.groupBy("key").agg((F.min("component") < F.max("component")).alias("open"), F.count("*").alias("n")).filter("open").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    met = placed.join(open_keys, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component").join(sets.select("node", "short"), "node")
+
+    def work(table: pa.Table) -> pa.Table:
+        nodes = table.column("node").to_numpy()
+        found = [np.frombuffer(x, "<u4") for x in table.column("short").to_pylist()]
+        pairs = connecting_links(found, table.column("component").to_numpy(), (table.column("own").to_numpy() != table.column("low").to_numpy()).astype(int), least)
+        a, b = nodes[[i for i, _ in pairs]], nodes[[j for _, j in pairs]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return met.groupBy("key", "low", "high").applyInArrow(work, "a long, b long").distinct()
+
+
+def near_components(texts: DataFrame, signed: DataFrame, shingle: int, least: float, budget: int) -> DataFrame:
+    """(node, component) of the nodes of ``signed`` that links of ``least`` or more similarity connect with others.
+
+    ``texts`` (doc_id, mark, text) are what is signed; only those of nodes that share a key are read again.
+    """
+    nodes = durable(signed.groupBy("node").agg(F.first("size").cast("int").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min(F.struct("doc_id", "mark")).alias("row")))
+    keys = nodes.select("node", "size", F.explode("keys").alias("key"))
     hubs = keys.groupBy("key").agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
     shared = durable(keys.join(hubs, "key"))
-    alike = lambda a, b: F.least(a, b) >= F.lit(least) * F.greatest(a, b)
-    first = durable(shared.filter(F.col("node") != F.col("hub.node")).filter(alike(F.col("size"), F.col("hub.size"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct())
-    links = confirmed(rows, first, shingle, least)
-    found = components(links)
-    placed = durable(shared.join(found, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component")))
-    open_ = placed.groupBy("key").agg((F.min("component") < F.max("component")).alias("open")).filter("open").select("key")
-    left = placed.join(open_, "key")
-    a, b = left.alias("a"), left.alias("b")
-    cross = a.join(b, "key").filter((F.col("a.component") != F.col("b.component")) & (F.col("a.node") < F.col("b.node")) & alike(F.col("a.size"), F.col("b.size")))
-    second = durable(cross.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        found = components(links.union(confirmed(rows, second, shingle, least)))
-    return found.select(F.col("node").alias("near_node"), "component")
-
-
-def shingle_dedup(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    star = shared.filter(F.col("node") != F.col("hub.node")).filter(_alike(F.col("size"), F.col("hub.size"), least)).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+    reps = durable(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
+    same = nodes.join(reps, "fp").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    trie = links(reps, budget).union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = durable(star.union(trie).distinct())
+    ends = first.select(F.col("a").alias("node")).union(first.select("b")).union(shared.select("node")).distinct()
+    wanted = nodes.join(ends, "node").select("node", "row.*")
+    found = texts.join(wanted, ["doc_id", "mark"]).groupBy("node").agg(F.first("text").alias("text"))
+    sets = durable(found.select("node", shingle_set(F.col("text"), F.lit(shingle)).alias("s")).select("node", "s.*"))
+    near = confirmed(sets, first, least)
+    linked = components(near)
+    placed = durable(shared.select("key", "node").join(linked, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
+    second = durable(open_links(placed, sets, least))
+    return linked if second.isEmpty() else components(near.union(confirmed(sets, second, least)))
+
+
+def shingle_dedup(docs: DataFrame, shingle: int = 5, least: float = 0.8, budget: int = 3) -> DataFrame:
     """Rows of ``docs`` (doc_id, text and any others) that aren't near copies of a smaller doc_id.
 
     Documents whose sets of ``shingle``-word shingles (A-Z lower-cased; a shorter text is one
     shingle) have a Jaccard similarity of ``least`` or more are linked; of what links connect,
-    the rows of the smallest doc_id stay. Rows are judged one by one, so of two texts with one
-    doc_id the one without a copy of its own stays. Null and word-less texts are copies of each other.
-    Rows without a doc_id can't be compared and stay. An empty table gives an empty table.
+    the rows of the smallest doc_id stay. ``budget`` is the trie's, and decides only which
+    candidates it gives. Rows are judged one by one, so of two texts with one doc_id the one
+    without a copy of its own stays. Null and word-less texts are copies of each other. Rows
+    without a doc_id can't be compared and stay. An empty table gives an empty table.
     """
-    rows = durable(with_nodes(docs, shingle))
-    named = rows.filter("doc_id is not null")
-    found = near_components(named, shingle, least)
-    placed = named.select("doc_id", "near_node").distinct().join(found, "near_node", "left").withColumn("component", F.coalesce("component", "near_node"))
+    text = F.col("text").cast("string")
+    mark = F.xxhash64(text)
+    texts = docs.filter("doc_id is not null").select("doc_id", mark.alias("mark"), text.alias("text"))
+    signed = durable(texts.select("doc_id", "mark", signature(F.col("text"), F.lit(shingle)).alias("s")).select("doc_id", "mark", "s.*"))
+    found = near_components(texts, signed, shingle, least, budget)
+    placed = signed.select("doc_id", "mark", "node").distinct().join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     roots = placed.groupBy("component").agg(F.min("doc_id").alias("root"))
-    gone = placed.join(roots, "component").filter("doc_id <> root").select("doc_id", "near_node")
-    return rows.join(gone, ["doc_id", "near_node"], "left_anti").select(*docs.columns)
+    gone = placed.join(roots, "component").filter("doc_id <> root").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"))
+    return docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["gone_mark"]), "left_anti")
