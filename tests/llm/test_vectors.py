@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from sextant.llm.embedding_dedup import embedding_dedup
 from sextant.llm.vector_topk import Block, vector_topk
@@ -42,6 +43,28 @@ def test_links_and_components_against_brute_force(spark):
         assert out[i].component_id == min(seen) and out[i].kept == (min(seen) == i)
 
 
+def test_rows_without_an_id_carry_links_but_name_nothing(spark):
+    turned = lambda degrees: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees))), 0.0]
+    rows = [(7, turned(0)), (None, turned(15)), (9, turned(30)), (None, turned(100)), (-4, turned(200)), (None, turned(201)), (5, None), (None, None)]
+    out = embedding_dedup(spark.createDataFrame([(i, v, 1, "x", 2) for i, v in rows], SCHEMA)).collect()
+    got = sorted(((r.vec_id is None, r.vec_id or 0, r.n_links, r.component_id is None, r.component_id or 0, r.kept) for r in out), key=str)
+    want = [(7, 1, 7, True), (None, 2, 7, None), (9, 1, 7, False), (None, 0, None, None), (-4, 1, -4, True), (None, 1, -4, None), (5, 0, 5, True), (None, 0, None, None)]
+    assert got == sorted(((i is None, i or 0, n, c is None, c or 0, k) for i, n, c, k in want), key=str)
+
+
+def test_many_intervals_of_several_lengths(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for dim, n in ((3, 500), (9, 400), (2, 1)):
+        rows += [(len(rows) + i, v.tolist(), 1, "x", 2) for i, v in enumerate(rng.normal(size=(n, dim)).astype(np.float32))]
+    out = {r.vec_id: r for r in embedding_dedup(spark.createDataFrame(rows, SCHEMA), interval=16).collect()}
+    for dim in (3, 9, 2):
+        own = [(i, np.array(v)) for i, v, *_ in rows if len(v) == dim]
+        u = np.stack([v / np.linalg.norm(v) for _, v in own])
+        near = (u @ u.T >= 0.95).sum(1) - 1
+        assert [out[i].n_links for i, _ in own] == near.tolist()
+
+
 def test_topk_against_brute_force(spark):
     rows = table()
     got = {}
@@ -64,6 +87,16 @@ def test_bounds_keep_every_pair_above_the_floor():
     assert (block.best_score == -np.sort(-(q @ v.T), 1)[:, :3]).all()
 
 
+def test_scores_beyond_double_precision_are_exact():
+    rng = np.random.default_rng(5)
+    q, v = rng.integers(-(1 << 29), 1 << 29, (6, 8)), rng.integers(-(1 << 29), 1 << 29, (40, 8))
+    block = Block(np.arange(6), q.astype(float), 3)
+    block.add(np.arange(100, 140), v.astype(float))
+    assert (block.best_score == -np.sort(-(q @ v.T), 1)[:, :3]).all()
+    with pytest.raises(ValueError, match="exceed a long"):
+        Block(np.arange(1), np.full((1, 2), 2.0**40), 1).add(np.arange(1), np.full((1, 2), 2.0**40))
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert embedding_dedup(empty).count() == 0 and vector_topk(empty).count() == 0
