@@ -52,9 +52,14 @@ def _by_class(targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int
 
 def _log_softmax_at(logits: np.ndarray, targets: np.ndarray) -> np.ndarray:
     rows = np.arange(len(targets))
-    logits -= logits.max(1, keepdims=True)
+    logits -= logits.max()
     own = logits[rows, targets]
-    return own - np.log(np.exp(logits, out=logits).sum(1))
+    low = own < -60  # where that maximum is far off, the row's own counts
+    far = logits[low] - logits[low].max(1, keepdims=True) if low.any() else None
+    out = own - np.log(np.maximum(np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype), np.finfo(logits.dtype).tiny))
+    if far is not None:
+        out[low] = far[np.arange(len(far)), targets[low]] - np.log(np.exp(far).sum(1))
+    return out
 
 
 def log_probability(p: dict, h: np.ndarray, targets: np.ndarray) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Language-model scores: corpus counts and a gated recurrent network in numpy.
 
-The counts of all training words come from one aggregation by 64-bit word hash. The network
+The counts of all training words come from one aggregation by 64-bit word hash. Then every
+text is hashed once more and written as word ids, which training and scoring read. The network
 knows the most frequent words, the end of a document and one token for all other words; it
 starts as the unigram model of the counts and is trained in rounds: every partition runs
 truncated backpropagation over its share of the training documents, and the parameters are
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,6 +37,8 @@ ROUNDS = 2
 #: Tokens that a task counts, trains on or scores at once.
 BLOCK = 1 << 21
 FOLDS, HELD_OUT = 7, 2
+#: Numbers that are kept of each row.
+NUMBERS = ("row", "doc_id", "held_out", "turn", "n_tokens", "n_frequent", "n_other", "frequent_logs", "other_logs")
 #: Hash of the end of a document; no word is empty.
 END = xxhash.xxh3_64_intdigest(b"")
 
@@ -141,24 +145,72 @@ def lexicon(counts: DataFrame, frequent: int = FREQUENT) -> Lexicon:
     return Lexicon(top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy(), int(whole.n or 0), int(whole.v))
 
 
-def train(docs: DataFrame, lex: Lexicon, share: int = SHARE, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """The network after ``rounds`` rounds of training where the documents lie and averaging."""
+def encoded(rows: DataFrame, lex: Lexicon, share: int) -> DataFrame:
+    """The rows' word ids (two bytes each), sums over their frequent words and hashes of the others, written.
+
+    ``turn`` is the round in which a training document trains.
+    """
+    known = rows.sparkSession.sparkContext.broadcast(lex)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
+        lex, row = known.value, TaskContext.get().partitionId() << 33
+        for ids, held in _blocks(batches, lambda d: True):
+            lengths = np.array([len(h) for h in held])
+            flat = np.concatenate(held)
+            at, frequent = lex.find(flat)
+            owner = np.repeat(np.arange(len(held)), lengths)
+            tokens = np.where(frequent, lex.ids[at] if len(lex.ids) else 0, 0)
+            logs = np.where(frequent, np.log10((lex.counts[at] if len(lex.counts) else np.zeros(len(at))) + 1.0), 0.0)
+            count = lambda mask: pa.array(np.bincount(owner[mask], minlength=len(held)).astype(np.int64))  # noqa: B023, E731
+            total = lambda mask: pa.array(np.bincount(owner[mask], logs[mask], len(held)))  # noqa: B023, E731
+            ends = np.concatenate(([0], np.cumsum(np.bincount(owner[~frequent], minlength=len(held))))).astype(np.int32)
+            rares = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[~frequent].view(np.int64)))
+            packed, cuts = tokens.astype("<u2").tobytes(), (np.concatenate(([0], np.cumsum(lengths))) * 2).tolist()
+            every = np.ones(len(flat), bool)
+            turns = [xxhash.xxh64_intdigest(str(d), 1) % share for d in ids]
+            columns = [row + np.arange(len(held)), pa.array(ids, pa.int64()), [held_out(d) for d in ids], pa.array(turns, pa.int32()), count(every), count(frequent), count(tokens == 0), total(every), total(tokens == 0), [packed[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], rares]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[*NUMBERS, "ids", "rare"])
+            row += len(held)
+
+    kinds = ["long", "long", "boolean", "int", "long", "long", "long", "double", "double"]
+    schema = ", ".join(f"{name} {kind}" for name, kind in zip(NUMBERS, kinds, strict=True))
+    return durable(rows.mapInArrow(work, f"{schema}, ids binary, rare array<long>"))
+
+
+def _id_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of the batches with their documents' ids, a bounded number of tokens at a time but for one longer document."""
+    for batch in batches:
+        lengths = np.asarray(pc.binary_length(batch.column("ids"))) // 2
+        cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // BLOCK)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            part = batch.slice(lo, hi - lo)
+            if hi > lo:
+                yield part, [np.frombuffer(x.as_py(), "<u2").astype(np.int64) for x in part.column("ids")]
+
+
+def train(texts: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """The network after ``rounds`` rounds of training on ``encoded`` rows where they lie, and averaging."""
     params = gru.initial(lex.of_ids)
     names, shapes = list(params), {k: v.shape for k, v in params.items()}
-    sc = docs.sparkSession.sparkContext
-    known = sc.broadcast(lex)
+    sc = texts.sparkSession.sparkContext
     for turn in range(rounds):
         shared = sc.broadcast(params)
 
-        def work(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             keep_memory()
-            mine, total = None, 0
-            wanted = lambda d: not held_out(d) and xxhash.xxh64_intdigest(str(d), 1) % share == turn
-            for _, held in _blocks(batches, wanted):
-                at, frequent = known.value.find(np.concatenate(held))
-                tokens = np.where(frequent, known.value.ids[at], 0)
-                mine = gru.fit(mine or shared.value, tokens, 1)
-                total += len(tokens)
+            mine, total, waiting, size = None, 0, [], 0
+
+            def flush(mine):
+                return gru.fit(mine or shared.value, np.concatenate(waiting), 1)
+
+            for _, docs in _id_blocks(batches):
+                waiting += docs
+                size += sum(map(len, docs))
+                if size >= BLOCK:
+                    mine, total, waiting, size = flush(mine), total + size, [], 0
+            if size:
+                mine, total = flush(mine), total + size
             if mine is not None:
                 flat = np.concatenate([(mine[k] - shared.value[k]).ravel() for k in names]) * total
                 size = 1 << 14
@@ -174,11 +226,12 @@ def train(docs: DataFrame, lex: Lexicon, share: int = SHARE, rounds: int = ROUND
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([x.astype("<f4").tobytes() for _, x in sums.values()], pa.binary())], names=["part", "tokens", "sums"])
 
         kind = "part int, tokens long, sums binary"
-        local = docs.mapInArrow(work, kind)
+        local = texts.filter(~F.col("held_out") & (F.col("turn") == turn)).select("ids").mapInArrow(work, kind)
         means = local.withColumn("salt", F.spark_partition_id() % 16).repartition("part", "salt").drop("salt").mapInArrow(add, kind).repartition("part").mapInArrow(add, kind)
         rows = sorted(means.collect(), key=lambda r: r.part)
+        shared.destroy()
         if not rows:
-            break
+            continue
         flat = np.concatenate([np.frombuffer(r.sums, "<f4") / r.tokens for r in rows])
         at, moved = 0, {}
         for k in names:
@@ -204,35 +257,21 @@ def lm_scores(docs: DataFrame, share: int = SHARE, rounds: int = ROUNDS, frequen
     sc = docs.sparkSession.sparkContext
     counts = durable(word_counts(rows))
     lex = lexicon(counts, frequent)
-    known, params = sc.broadcast(lex), sc.broadcast(train(rows, lex, share, rounds))
     total, seen = lex.total, lex.distinct
+    texts = encoded(rows, lex, share)
+    params = sc.broadcast(train(texts, lex, rounds))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_memory()
-        lex, net = known.value, params.value
-        row = TaskContext.get().partitionId() << 33
-        for ids, held in _blocks(batches, lambda d: True):
-            lengths = np.array([len(h) for h in held])
-            flat = np.concatenate(held)
-            at, frequent = lex.find(flat)
-            owner = np.repeat(np.arange(len(held)), lengths)
-            tokens = np.where(frequent, lex.ids[at] if len(lex.ids) else 0, 0)
-            score = gru.score(net, np.split(tokens, np.cumsum(lengths)[:-1]), 1) / np.log(10)
-            logs = np.where(frequent, np.log10((lex.counts[at] if len(lex.counts) else np.zeros(len(at))) + 1.0), 0.0)
-            count = lambda mask: pa.array(np.bincount(owner[mask], minlength=len(held)).astype(np.int64))  # noqa: B023, E731
-            total = lambda mask: pa.array(np.bincount(owner[mask], logs[mask], len(held)))  # noqa: B023, E731
-            rare = ~frequent
-            ends = np.concatenate(([0], np.cumsum(np.bincount(owner[rare], minlength=len(held))))).astype(np.int32)
-            rares = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[rare].view(np.int64)))
-            names = ["row", "doc_id", "held_out", "n_tokens", "n_frequent", "n_other", "frequent_logs", "other_logs", "net", "rare"]
-            every = np.ones(len(flat), bool)
-            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(held))), pa.array(ids, pa.int64()), pa.array([held_out(d) for d in ids]), count(every), count(frequent), count(tokens == 0), total(every), total(tokens == 0), pa.array(score), rares], names=names)
-            row += len(held)
+        for part, docs in _id_blocks(batches):
+            net = gru.score(params.value, docs, 1) / np.log(10)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in NUMBERS), pa.array(net)], names=[*NUMBERS, "net"])
 
-    scored = durable(rows.mapInArrow(work, "row long, doc_id long, held_out boolean, n_tokens long, n_frequent long, n_other long, frequent_logs double, other_logs double, net double, rare array<long>"))
-    each = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
+    numbers = texts.select(*NUMBERS)
+    scored = texts.select(*NUMBERS, "ids").mapInArrow(work, numbers.withColumn("net", F.lit(0.0)).schema)
+    each = texts.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     rare = each.join(counts.filter(F.col("n") <= (int(lex.counts.min()) if len(lex.counts) else 1 << 62)), "word").groupBy("row").agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_logs"))
-    out = scored.drop("rare").join(rare, "row", "left")
+    out = scored.join(rare, "row", "left")
     logs = F.coalesce("rare_logs", F.lit(0.0))
     base = F.col("frequent_logs") + logs - F.col("n_tokens") * F.lit(float(np.log10(total + seen + 1)))
     score = F.col("net") + F.col("other_logs") + logs - F.col("n_other") * F.lit(float(np.log10(lex.others)))
