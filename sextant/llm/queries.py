@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from sextant.llm import filter_audit as audit
+from sextant.llm import vector_codes as codes
 from sextant.llm.embedding_dedup import embedding_dedup
 from sextant.llm.lm_scoring import lm_scores
 from sextant.llm.packing import packing
@@ -17,7 +19,7 @@ from sextant.llm.token_counts import token_counts
 from sextant.llm.vector_topk import vector_topk
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict = {"op12_filter_audit": audit.ORACLE, "op13_vector_codes": codes.oracle(rounds=4)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +81,16 @@ def op10_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.vector_codes(table(spark, sf_dir, "embeddings"), scale=1024, parts=4, entries=256, rounds=4)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
