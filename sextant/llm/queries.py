@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sextant.llm import filter_audit as audit
@@ -16,6 +17,7 @@ from sextant.llm.simhash_dedup import simhash_dedup
 from sextant.llm.source_mix import source_mix
 from sextant.llm.substring_dedup import substring_dedup
 from sextant.llm.token_counts import token_counts
+from sextant.llm.toxicity import toxicity
 from sextant.llm.vector_topk import vector_topk
 
 QUERIES: dict = {}
@@ -81,6 +83,13 @@ def op10_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+    offsets = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.withColumn("spans", offsets)
+
+
 @query
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
