@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sextant.functions.scratch import discard, durable, passing
 from sextant.llm.packing import packing
 from sextant.llm.pii import redact
-from sextant.llm.quality import train
+from sextant.llm.quality import good_documents
 from sextant.llm.shingle_dedup import shingle_dedup
 from sextant.llm.source_mix import mixed_documents
 
@@ -26,7 +26,7 @@ ORACLE_SQL = None
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the Kneser-Ney quality classifier keeps; trained on the ``labels`` of ``sf_dir``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return train(docs, labels).judge(docs).filter("kept").select(*docs.columns)
+    return good_documents(docs, labels)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
