@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +28,6 @@ BANDS, ROWS = 40, 6
 BLOCK = 512
 #: Minimum hashes, a byte of each, by which a pair is estimated before its sets are; a pair of the similarity is this many deviations above the bound.
 LANES, DEVIATIONS = 128, 4.5
-#: Shingles that two sets may seem to share, or not to, because of equal short hashes.
-SLACK = 2
 #: Shingles whose hashes are permuted at once.
 PART = 512
 _RNG = np.random.default_rng(11)
@@ -67,16 +66,15 @@ def signature(texts: pa.Array, shingles: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "size", "fp", "keys"])
 
 
-@F.arrow_udf(T.StructType([T.StructField("grams", T.ArrayType(T.LongType())), T.StructField("short", T.BinaryType())]))
+@F.arrow_udf(T.ArrayType(T.LongType()))
 def shingle_set(texts: pa.Array, shingles: pa.Array) -> pa.Array:
-    """The set of each text, as long hashes and as sorted short ones."""
+    """The set of each text as sorted hashes."""
     sets = [np.unique(shingle_hashes(t.as_py(), n.as_py())) for t, n in zip(texts, shingles, strict=True)]
     ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
     grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)))
-    short = pa.array([np.unique((x >> np.uint64(32)).astype("<u4")).tobytes() for x in sets], pa.binary())
     del sets
     trim_memory()
-    return pa.StructArray.from_arrays([grams, short], names=["grams", "short"])
+    return grams
 
 
 def _alike(a, b, least: float):
@@ -104,14 +102,18 @@ def lanes(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def connecting_links(sets: list[np.ndarray], components_: np.ndarray, block: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Links of the similarity that connect different components; ``block`` is 0 or 1, and two blocks only meet across."""
+    """Links of the similarity that connect different components; ``block`` is 0 or 1, and two blocks only meet across.
+
+    A link joins its components only once the sets themselves have the similarity, so none
+    that a true one would need is passed over.
+    """
     n, sizes, across = len(sets), np.array([len(x) for x in sets]), len(np.unique(block)) > 1
     _, root = np.unique(components_, return_inverse=True)
     bytes_, bound = lanes(sets), least - DEVIATIONS * np.sqrt(least * (1 - least) / LANES)
     first, second, guess = [], [], []
     for i in range(n - 1):
         j = np.arange(i + 1, n)
-        fits = (root[j] != root[i]) & (np.minimum(sizes[j], sizes[i]) + SLACK >= least * np.maximum(sizes[j], sizes[i]) - SLACK)
+        fits = (root[j] != root[i]) & (np.minimum(sizes[j], sizes[i]) >= least * np.maximum(sizes[j], sizes[i]))
         j = j[fits & (block[j] != block[i]) if across else fits]
         share = (bytes_[j] == bytes_[i]).mean(1) if len(j) else np.zeros(0)
         j, share = j[share >= bound], share[share >= bound]
@@ -125,7 +127,7 @@ def connecting_links(sets: list[np.ndarray], components_: np.ndarray, block: np.
     for k in np.argsort(-guess, kind="stable"):
         i, j = int(first[k]), int(second[k])
         if root[i] != root[j]:
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True)) + SLACK
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if both >= least * (sizes[i] + sizes[j] - both):
                 out.append((i, j))
                 root[root == root[j]] = root[i]
@@ -133,15 +135,16 @@ def connecting_links(sets: list[np.ndarray], components_: np.ndarray, block: np.
 
 
 def open_links(placed: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) that connect components under a key, from ``placed`` (key, node, component)."""
+    """Links (a, b) of the similarity that connect components under a key, from ``placed`` (key, node, component)."""
     open_keys = placed.groupBy("key").agg((F.min("component") < F.max("component")).alias("open"), F.count("*").alias("n")).filter("open").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     met = placed.join(open_keys, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component").join(sets.select("node", "short"), "node")
+    met = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component").join(sets, "node")
 
     def work(table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_numpy()
-        found = [np.frombuffer(x, "<u4") for x in table.column("short").to_pylist()]
+        grams = table.column("grams").combine_chunks()
+        found = np.split(grams.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(pc.list_value_length(grams).to_numpy(zero_copy_only=False))[:-1])
         pairs = connecting_links(found, table.column("component").to_numpy(), (table.column("own").to_numpy() != table.column("low").to_numpy()).astype(int), least)
         a, b = nodes[[i for i, _ in pairs]], nodes[[j for _, j in pairs]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
@@ -166,12 +169,12 @@ def near_components(texts: DataFrame, signed: DataFrame, shingle: int, least: fl
     ends = first.select(F.col("a").alias("node")).union(first.select("b")).union(shared.select("node")).distinct()
     wanted = nodes.join(ends, "node").select("node", "row.*")
     found = texts.join(wanted, ["doc_id", "mark"]).groupBy("node").agg(F.first("text").alias("text"))
-    sets = durable(found.select("node", shingle_set(F.col("text"), F.lit(shingle)).alias("s")).select("node", "s.*"))
+    sets = durable(found.select("node", shingle_set(F.col("text"), F.lit(shingle)).alias("grams")))
     near = confirmed(sets, first, least)
     linked = components(near)
     placed = durable(shared.select("key", "node").join(linked, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
     second = durable(open_links(placed, sets, least))
-    return linked if second.isEmpty() else components(near.union(confirmed(sets, second, least)))
+    return linked if second.isEmpty() else components(near.union(second))
 
 
 def shingle_dedup(docs: DataFrame, shingle: int = 5, least: float = 0.8, budget: int = 3) -> DataFrame:

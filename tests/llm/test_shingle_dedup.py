@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
+from sextant.llm.shingle_dedup import connecting_links
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -57,3 +59,21 @@ def test_rows_that_share_a_doc_id_are_judged_one_by_one(spark):
     rows = [(1, "a b c d e f", "en", "s", 1), (2, "a b c d e f", "en", "s", 1), (2, "no other copy of this text", "en", "s", 1), (None, "a b c d e f", "en", "s", 1)]
     out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, "a b c d e f"), (1, "a b c d e f"), (2, "no other copy of this text")]
+
+
+def test_a_pair_below_the_similarity_hides_no_link():
+    """Two components meet in a pair just below 0.8 that looks nearer by minimum hashes, and in one at 0.8."""
+    rng = np.random.default_rng(12)
+    fresh = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+
+    def pair(common, own):
+        both = fresh(common)
+        return [np.sort(np.concatenate((both, fresh(own)))) for _ in range(2)]
+
+    for _ in range(60):
+        (a1, b1), (a2, b2) = pair(398, 51), pair(400, 50)  # 398 / 500 and 400 / 500
+        links = connecting_links([a1, a2, b1, b2], np.array([0, 0, 1, 1]), np.zeros(4, int), 0.8)
+        assert links == [(1, 3)]
+    a, b = pair(400, 50)
+    assert connecting_links([a, b], np.array([0, 1]), np.array([0, 1]), 0.8) == [(0, 1)]
+    assert connecting_links([a, b], np.array([0, 0]), np.array([0, 1]), 0.8) == []
