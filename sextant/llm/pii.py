@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 from sextant.llm.common import durable
 
 KINDS = ("email", "ip", "card", "phone")
-#: The strict patterns. Possessive where no backtracking can change the match, so that long runs cost linear time.
+#: The strict patterns. Possessive where no backtracking can change the match, so that long runs cost linear time; a card's
+#: has the number of digits that it may have, as longer and shorter runs would be dropped.
 BASE = (
     r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    r"[0-9](?:[\x20-]?[0-9])++",
+    r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])",
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
 #: What a text must match for its strict pattern to be tried, for speed alone.
@@ -60,9 +61,15 @@ AGAINST = (r"://[^ ]*$", r"version|\bv\.? ?$|release|section|kapitel", r"token|h
 CUES, CUE_LEAST, CUE_ODDS = 100, 20, 1.0
 #: Characters of context.
 NEAR = 32
+#: Where a span lies: in code points, and in bytes.
+PLACE = ("start", "kind", "end", "byte", "last")
 LABELERS = ("check", "shape", "gazetteer", "context")
 FEATURES = ("digits", "marks", "before", "after", "gazetteer", "context", "check")
 ROUNDS = 50
+#: Elements that a fold may append one by one; longer arrays are folded by blocks of so many.
+RUN = 512
+#: Digits beyond which no check sum is taken.
+LONGEST_NUMBER = 32
 
 
 def let(value: Column, f) -> Column:
@@ -70,6 +77,34 @@ def let(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+def running(xs: Column, start: Column, add) -> Column:
+    """What ``add`` makes of each element and all before it, from ``start``, its neutral value.
+
+    A fold that appends copies what it has, so the array is folded by blocks, and the
+    blocks' last values once more: in effect linear up to millions of elements.
+    """
+
+    def fold(part):
+        zero = F.struct(start.alias("at"), F.filter(F.array(start), lambda _: F.lit(False)).alias("out"))
+        return F.aggregate(part, zero, lambda a, x: let(add(a["at"], x), lambda v: F.struct(v.alias("at"), F.array_append(a["out"], v).alias("out"))), lambda a: a["out"])
+
+    def joined(blocks):
+        before = fold(F.transform(blocks, lambda b: F.coalesce(F.try_element_at(b, F.lit(-1)), start)))
+        return let(before, lambda ends: F.flatten(F.transform(blocks, lambda b, i: let(F.coalesce(F.get(ends, i - 1), start), lambda e: F.transform(b, lambda x: add(e, x))))))
+
+    def cut(v):
+        last = F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / RUN).cast("int")
+        return let(F.transform(F.sequence(F.lit(0), last), lambda b: fold(F.slice(v, b * RUN + 1, F.lit(RUN)))), joined)
+
+    return let(xs, cut)
+
+
+def sums(xs: Column) -> Column:
+    """Running sums of both numbers of structs (a, b)."""
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    return running(xs, pair(F.lit(0), F.lit(0)), lambda x, y: pair(x["a"] + y["a"], x["b"] + y["b"]))
+
+
 def digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
@@ -82,7 +117,7 @@ def luhn(number: Column) -> Column:
         return F.when(i % 2 == 0, d).otherwise(F.when(d > 4, 2 * d - 9).otherwise(2 * d))
 
     at = F.sequence(F.lit(0), F.greatest(F.length(number) - 1, F.lit(0)))
-    return F.coalesce(F.aggregate(at, F.lit(0), lambda s, i: s + worth(i)) % 10 == 0, F.lit(False))
+    return F.coalesce(F.when(F.length(number) <= LONGEST_NUMBER, F.aggregate(at, F.lit(0), lambda s, i: s + worth(i)) % 10 == 0), F.lit(False))
 
 
 def octets(s: Column) -> Column:
@@ -96,20 +131,26 @@ def valid(kind: int, s: Column) -> Column:
     return (F.lit(True), octets(s), n.between(14, 19) & luhn(digits(s)), n.between(10, 15))[kind]
 
 
-def _found(text: Column, kind: int, pattern: str, guard: str, base: bool) -> Column:
-    """The pattern's matches as spans with what precedes and follows; offsets are in code points."""
+def _found(text: Column) -> Column:
+    """All patterns' matches as one array of spans for each, with what precedes and follows; the strict ones valid."""
 
     def spans(x):
-        sizes = F.transform(x["m"], lambda s, i: F.struct(F.length(F.get(x["g"], i)).alias("gap"), F.length(s).alias("len")))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        starts = F.aggregate(sizes, zero, lambda a, s: F.struct((a["at"] + s["gap"] + s["len"]).alias("at"), F.array_append(a["out"], a["at"] + s["gap"]).alias("out")), lambda a: a["out"])
-        return let(starts, lambda st: F.transform(x["m"], lambda s, i: F.struct(F.get(st, i).alias("start"), F.lit(kind).alias("kind"), (F.get(st, i) + F.length(s)).alias("end"), F.lit(base).alias("base"), s.alias("s"), F.right(F.get(x["g"], i), F.lit(NEAR)).alias("before"), F.left(F.get(x["g"], i + 1), F.lit(1)).alias("after"))))
+        size = lambda s, i: F.struct((F.length(F.get(x["g"], i)) + F.length(s)).alias("a"), (F.octet_length(F.get(x["g"], i)) + F.octet_length(s)).alias("b"))
 
-    matched = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
-    some = let(matched, spans)
-    if base:
-        some = F.filter(some, lambda c: valid(kind, c["s"]))
-    return F.when(text.rlike(guard), some)
+        def placed(s, i, e):
+            place = ((e["a"] - F.length(s)), x["kind"], e["a"], (e["b"] - F.octet_length(s)), e["b"])
+            more = (x["base"].alias("base"), s.alias("s"), F.right(F.get(x["g"], i), F.lit(NEAR)).alias("before"), F.left(F.get(x["g"], i + 1), F.lit(1)).alias("after"))
+            return F.struct(*(p.alias(c) for p, c in zip(place, PLACE, strict=True)), *more)
+
+        every = let(sums(F.transform(x["m"], size)), lambda ends: F.transform(x["m"], lambda s, i: placed(s, i, F.get(ends, i))))
+        holds = lambda c: F.when(~c["base"] | (c["kind"] == 0), True).when(c["kind"] == 1, valid(1, c["s"])).when(c["kind"] == 2, valid(2, c["s"])).otherwise(valid(3, c["s"]))
+        return F.filter(every, holds)
+
+    def matched(kind, pattern, guard, base):
+        return F.when(text.rlike(guard), F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"), F.lit(kind).alias("kind"), F.lit(base).alias("base")))
+
+    tried = [matched(k, p, g, base) for patterns, guards, base in ((BASE, GUARD, True), (WIDE, WIDE_GUARD, False)) for k, (p, g) in enumerate(zip(patterns, guards, strict=True))]
+    return F.transform(F.filter(F.array(*tried), lambda x: x.isNotNull()), spans)
 
 
 def _votes(c: Column) -> Column:
@@ -126,23 +167,36 @@ def _votes(c: Column) -> Column:
     kinds = F.size(F.array_distinct(F.split(d, "")))
     check = by_kind([vote(tidy, s.rlike("(?:^|[.@])[.-]|[0-9]$")), vote(plain, s.rlike(r"(?:^|\.)0[0-9]")), vote(luhn(d), n > 0), vote((kinds >= 4) & n.between(9, 15), kinds <= 2)])
     shape = by_kind([vote(s.rlike("[A-Za-z]{2}.*[A-Za-z]{2}"), ~s.rlike("[A-Za-z]")), vote(s.rlike("^[1-9]") | s.contains(":"), s.rlike(r"^0|\b0[0-9]")), vote(n.between(15, 16), n < 13), vote(n.between(10, 13), (n < 9) | (n > 15))])
-    ending = F.lower(F.regexp_extract(s, r"([A-Za-z]+)[^A-Za-z]*$", 1))
+    ending = F.lower(F.regexp_extract(s, r"(?<![A-Za-z])([A-Za-z]++)[^A-Za-z]*+$", 1))
     gazetteer = by_kind([vote(ending.isin(*DOMAINS), F.length(ending) < 2), vote(~s.rlike(r"^(?:0|127|255)\."), s.rlike(r"^(?:0|255)\.")), vote(d.rlike(ISSUERS), d.rlike("^[0789]")), vote(d.rlike(CALLING), F.lit(False))])
     pro, contra = by_kind([near.rlike(p) for p in FOR]), by_kind([near.rlike(p) for p in AGAINST])
     context = vote(pro & ~contra, contra & ~pro)
     edge = lambda x: F.when(x == "", "e").when(x.rlike(r"\s"), "s").when(x.rlike(r"[\p{L}\p{N}]"), "w").otherwise("p")
-    return F.struct(c["start"], kind.alias("kind"), c["end"], c["base"], check.alias("check"), shape.alias("shape"), gazetteer.alias("gazetteer"), context.alias("context"), F.least(n, F.lit(20)).alias("digits"), F.least(F.length(F.regexp_replace(s, r"[\p{L}\p{N}]", "")), F.lit(8)).alias("marks"), edge(F.right(c["before"], F.lit(1))).alias("before"), edge(c["after"]).alias("after"), F.regexp_extract(near, r"(\p{L}{2,20})[^\p{L}]*$", 1).alias("cue"))
+    return F.struct(*(c[p].alias(p) for p in PLACE), c["base"], check.alias("check"), shape.alias("shape"), gazetteer.alias("gazetteer"), context.alias("context"), F.least(n, F.lit(20)).alias("digits"), F.least(F.length(F.regexp_replace(s, r"[\p{L}\p{N}]", "")), F.lit(8)).alias("marks"), edge(F.right(c["before"], F.lit(1))).alias("before"), edge(c["after"]).alias("after"), F.regexp_extract(near, r"(\p{L}{2,20})[^\p{L}]*$", 1).alias("cue"))
+
+
+def _apart(base: Column, wide: Column) -> Column:
+    """The wide spans that meet no base one: as many of these have begun before such a span's end as have ended before it.
+
+    Both ends of all spans are sorted together and counted along.
+    """
+    event = lambda at, turn, i: F.struct(at.alias("at"), F.lit(turn).alias("turn"), i.alias("i"))
+    none = F.lit(-1)
+    ends = F.concat(F.transform(base, lambda c: event(c["end"], 0, none)), F.transform(wide, lambda c, i: event(c["start"], 1, i)), F.transform(wide, lambda c, i: event(c["end"], 2, i)), F.transform(base, lambda c: event(c["start"], 3, none)))
+
+    def free(events):
+        counts = sums(F.transform(events, lambda e: F.struct((e["turn"] == 0).cast("int").alias("a"), (e["turn"] == 3).cast("int").alias("b"))))
+        seen = F.filter(F.zip_with(events, counts, lambda e, n: F.struct(e["i"].alias("i"), e["turn"].alias("turn"), n["a"].alias("a"), n["b"].alias("b"))), lambda e: e["i"] >= 0)
+        return let(F.array_sort(seen), lambda x: F.filter(wide, lambda c, i: F.get(x, 2 * i)["a"] == F.get(x, 2 * i + 1)["b"]))
+
+    return F.when((F.size(base) == 0) | (F.size(wide) == 0), wide).otherwise(let(F.array_sort(ends), free))
 
 
 def candidates(text: Column) -> Column:
     """All candidate spans of a text, the base ones and the wide ones apart from them, by start and kind."""
-    t = F.coalesce(text, F.lit(""))
-    every = lambda patterns, guards, base: [_found(t, k, p, g, base) for k, (p, g) in enumerate(zip(patterns, guards, strict=True))]
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,base:boolean,s:string,before:string,after:string>>")
-    joined = lambda arrays: F.concat(*[F.coalesce(a, none) for a in arrays])
-    apart = lambda b, w: F.filter(w, lambda c: ~F.exists(b, lambda y: (y["start"] < c["end"]) & (c["start"] < y["end"])))
-    both = F.struct(joined(every(BASE, GUARD, True)).alias("b"), joined(every(WIDE, WIDE_GUARD, False)).alias("w"))
-    return F.array_sort(F.transform(let(both, lambda x: F.concat(x["b"], apart(x["b"], x["w"]))), _votes))
+    of = lambda found, base: F.flatten(F.filter(found, lambda x: F.coalesce(F.get(x, 0)["base"] == base, F.lit(False))))
+    both = let(_found(F.coalesce(text, F.lit(""))), lambda found: F.struct(of(found, True).alias("b"), of(found, False).alias("w")))
+    return F.array_sort(F.transform(let(both, lambda x: F.concat(x["b"], _apart(x["b"], x["w"]))), _votes))
 
 
 def reliabilities(counts: list[dict]) -> dict[tuple, float]:
@@ -272,19 +326,19 @@ def redact(docs: DataFrame) -> DataFrame:
     weights = fit(found)
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
-    def merge(a, c):
-        last = F.get(a, F.size(a) - 1)
-        span = lambda start, end, kind: F.struct(start.alias("start"), end.alias("end"), kind.alias("kind"))
-        grown = F.array_append(F.slice(a, F.lit(1), F.size(a) - 1), span(last["start"], F.greatest(last["end"], c["end"]), last["kind"]))
-        return F.when((F.size(a) > 0) & (last["end"] > c["start"]), grown).otherwise(F.array_append(a, span(c["start"], c["end"], c["kind"])))
+    def merge(spans):
+        reach = running(F.transform(spans, lambda c: c["last"]), F.lit(0), F.greatest)
+        begins = lambda far: F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: F.get(spans, i)["byte"] >= F.coalesce(F.get(far, i - 1), F.lit(0)))
+        groups = lambda far, at: F.transform(at, lambda i, k: F.struct(F.get(spans, i)["byte"].alias("byte"), F.get(far, F.coalesce(F.get(at, k + 1), F.size(spans)) - 1).alias("last"), F.get(spans, i)["kind"].alias("kind")))
+        return let(reach, lambda far: let(begins(far), lambda at: groups(far, at)))
 
     def cover(text, spans):
-        piece = lambda c, i: let(F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0), lambda at: F.concat(F.substring(text, at + 1, c["start"] - at), F.get(labels, c["kind"])))
-        return F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(text, F.element_at(spans, -1)["end"] + 1, F.length(text)))
+        part = lambda b, at, n: F.substring(b, at + 1, n).cast("string")
+        piece = lambda b, c, i: let(F.when(i > 0, F.get(spans, i - 1)["last"]).otherwise(0), lambda at: F.concat(part(b, at, c["byte"] - at), F.get(labels, c["kind"])))
+        return let(text.cast("binary"), lambda b: F.concat(F.array_join(F.transform(spans, lambda c, i: piece(b, c, i)), ""), part(b, F.element_at(spans, -1)["last"], F.octet_length(text))))
 
-    merged = F.aggregate(accepted(F.col("spans"), weights), F.array().cast("array<struct<start:int,end:int,kind:int>>"), merge)
     was = F.col("row.text")
-    text = F.when(was.isNotNull(), let(merged, lambda m: F.when(F.size(m) > 0, cover(was, m)).otherwise(was)))
+    text = F.when(was.isNotNull(), let(accepted(F.col("spans"), weights), lambda m: F.when(F.size(m) > 0, let(merge(m), lambda c: cover(was, c))).otherwise(was)))
     out = found.withColumn("text", text)
     new = {"text": F.col("text"), "n_chars": F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
     return out.select(*[(F.col(f"row.`{c}`") if new.get(c) is None else new[c]).alias(c) for c in docs.columns])
