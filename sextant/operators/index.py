@@ -3,24 +3,30 @@
 On disk it is Parquet in hash buckets of doc_id, so that replacing or deleting a document
 rewrites the buckets it lies in and nothing else. A change is written to a fresh folder; a
 list of each bucket's folder, renamed into place at the end, makes it the index's state in
-one step, so a change that fails halfway leaves the index as it was.
+one step, so a change that fails halfway leaves the index as it was. One writer at a time:
+two changes at once can lose one of them. Beside the chunks of each bucket lie their postings
+(see ``lexical``), which change with them.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.scratch import file_system
+from sextant.operators.lexical import postings
 
 BUCKETS = 64
 #: Name of the lists of buckets; the highest number is the index's state.
 STATE = "state-"
 #: What an index without any chunk reads as.
 CHUNKS = "chunk_id string, doc_id string, position int, text string"
+#: What the folders of postings end with.
+TERMS = ".terms"
 
 
 def upsert(base: DataFrame, new: DataFrame) -> DataFrame:
@@ -87,7 +93,7 @@ def _publish(spark: SparkSession, path: str, number: int, buckets: dict[str, str
         raise RuntimeError(f"the index {path} has been changed meanwhile")
     for status in files.listStatus(target.getParent()):
         name = status.getPath().getName()
-        if status.isDirectory() and name not in before | set(buckets.values()):
+        if status.isDirectory() and name.removesuffix(TERMS) not in before | set(buckets.values()):
             files.delete(status.getPath(), True)
 
 
@@ -95,6 +101,9 @@ def _write(spark: SparkSession, path: str, rows: DataFrame) -> tuple[str, list[i
     """A fresh folder with ``rows`` in buckets, and the buckets that it has."""
     name = f"data-{uuid.uuid4().hex}"
     rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{name}")
+    if "text" in rows.columns:
+        chunks = spark.read.schema(rows.schema).parquet(f"{path}/{name}")
+        postings(chunks).repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/{name}{TERMS}")
     folder, files = file_system(spark, f"{path}/{name}")
     return name, [int(f.getPath().getName().removeprefix("bucket=")) for f in files.listStatus(folder) if f.isDirectory()]
 
@@ -119,14 +128,34 @@ def open_index(spark: SparkSession, path: str, buckets: list[int] | None = None)
     return spark.read.parquet(*folders)
 
 
+def open_terms(spark: SparkSession, path: str) -> DataFrame:
+    """The postings of the index's chunks, sorted by term in each bucket."""
+    _, state = _state(spark, path)
+    if not state:
+        raise FileNotFoundError(f"no chunks in an index at {path}")
+    every = [spark.read.parquet(f"{path}/{name}{TERMS}").filter(F.col("bucket").isin([int(b) for b in state if state[b] == name])) for name in sorted(set(state.values()))]
+    return reduce(DataFrame.unionByName, every)
+
+
+def delete_documents(spark: SparkSession, path: str, gone: DataFrame) -> None:
+    """Remove all chunks of the documents in ``gone`` (doc_id) from the index on disk; only their buckets change."""
+    _, state = _state(spark, path)
+    if state:
+        _change(spark, path, gone, lambda base: base.join(gone.select("doc_id").distinct(), "doc_id", "left_anti"))
+
+
 def replace_documents(spark: SparkSession, path: str, new: DataFrame) -> None:
     """Reindex on disk: only the buckets of the documents in ``new`` are read, and written anew beside the old ones."""
-    fresh = bucketed(new)
-    hit = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most BUCKETS
+    _change(spark, path, new, lambda base: _last(new) if base is None else reindex(base, new.select(base.columns)))
+
+
+def _change(spark: SparkSession, path: str, changed: DataFrame, make) -> None:
+    """The index's next state, in which ``make`` of the old rows are those of the buckets of the documents in ``changed``."""
+    hit = [r.bucket for r in bucketed(changed).select("bucket").distinct().collect()]  # at most BUCKETS
     if not hit:
         return
     number, state = _state(spark, path)
-    base = open_index(spark, path, hit)
-    name, buckets = _write(spark, path, bucketed(reindex(base, new.select(base.columns)) if state else _last(new)))
+    base = open_index(spark, path, hit) if state else None
+    name, buckets = _write(spark, path, bucketed(make(base)))
     kept = {b: folder for b, folder in state.items() if int(b) not in hit}
     _publish(spark, path, number, kept | {str(b): name for b in buckets})

@@ -1,29 +1,13 @@
-"""Ranking chunks for questions: cosine, BM25, rank fusion, sources of an answer."""
+"""Ranking chunks for questions: cosine and rank fusion."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
-from sextant.functions.scratch import durable
-from sextant.functions.text import tokens
+from sextant.operators.cells import Cells
 
-#: BM25 constants of the public library whose ranking is matched. Fixed values.
-K1, B, EPSILON = 1.5, 0.75, 0.25
 FUSION = 60
-#: Components of the questions that are broadcast at once, questions and rows whose scores a task holds at once.
-WAVE_CELLS, QUESTIONS, ROWS = 1 << 22, 1024, 4096
-#: Below this, two ways of adding up the same products differ.
-ROUNDING = 1e-9
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -50,9 +34,9 @@ def retrieve(questions: DataFrame, chunks: DataFrame, k: int = 5, threshold: flo
     """Top chunks by cosine for each question (question_id, vector, only) from chunks (chunk_id, vector, register).
 
     ``only`` is the single entity that the question resolves to, or null for a search over
-    all chunks. The former is an equi-join. The latter are broadcast in waves of bounded size
-    and scored as matrices where the chunks lie, and each task keeps its best ``k`` before
-    anything is shuffled. Vectors that are null, hold nulls or differ in length don't meet.
+    all chunks. The former is an equi-join. The latter open those cells of a metric index
+    (see ``cells``) that can still hold one of their best ``k``. Vectors that are null, hold
+    nulls or differ in length don't meet.
     Blank questions and questions without any entity are left out before. The threshold
     applies after the top k.
     """
@@ -65,93 +49,11 @@ def retrieve(questions: DataFrame, chunks: DataFrame, k: int = 5, threshold: flo
     within = q.filter("only is not null").join(c, (F.col("only") == F.col("register")) & (F.size("q") == F.size("c")))
     scored = within.select("question_id", "chunk_id", "register", relevance(F.col("q"), F.col("c")).alias("score"))
     open_ = q.filter("only is null").select("question_id", "q")
-    found = top(reduce(DataFrame.unionByName, _anywhere(open_, c, k), scored), k)
+    every = scored if open_.isEmpty() else scored.unionByName(Cells(c).nearest(open_, k)[0])
+    found = top(every, k)
     return found if threshold is None else found.filter(F.col("score") >= threshold)
 
 
-def _matrices(table: pa.Table | pa.RecordBatch, vector: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """The rows of each vector length with their vectors."""
-    table = table if isinstance(table, pa.Table) else pa.Table.from_batches([table])
-    sizes = np.asarray(pc.list_value_length(table.column(vector).combine_chunks()))
-    for dim in np.unique(sizes):
-        own = table.filter(pa.array(sizes == dim))
-        flat = own.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        yield own, flat.astype(np.float64).reshape(-1, int(dim))
-
-
-def _anywhere(questions: DataFrame, chunks: DataFrame, k: int) -> Iterator[DataFrame]:
-    """The best of every task for the ``questions`` (question_id, q) among all ``chunks``, ties at the end by chunk_id; a result for each wave."""
-    size = questions.agg(F.count("*").alias("n"), F.sum(F.size("q")).alias("cells")).first()
-    waves = -(-(size.cells or 0) // WAVE_CELLS)
-    schema = T.StructType([questions.schema["question_id"], chunks.schema["chunk_id"], chunks.schema["register"], T.StructField("score", T.DoubleType())])
-    spark = questions.sparkSession
-    for wave in range(waves):
-        own = questions if waves == 1 else questions.filter(F.pmod(F.xxhash64("question_id"), F.lit(waves)) == wave)
-        shared = spark.sparkContext.broadcast([(t.column("question_id").combine_chunks(), m) for t, m in _matrices(own.toArrow(), "q")])
-
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            best = [pd.DataFrame({"at": np.zeros(0, np.int64), "score": np.zeros(0), "chunk_id": pd.Series(dtype=object), "register": pd.Series(dtype=object)}) for _ in shared.value]
-            floors = [np.full(len(m), -np.inf) for _, m in shared.value]
-            for batch in batches:
-                for rows, c in _matrices(batch, "c"):
-                    for b, (_, q) in enumerate(shared.value):
-                        if q.shape[1] != c.shape[1]:
-                            continue
-                        found = [best[b]]
-                        for at in range(0, len(c), ROWS):
-                            for lo in range(0, len(q), QUESTIONS):
-                                i, j = np.nonzero(q[lo : lo + QUESTIONS] @ c[at : at + ROWS].T >= floors[b][lo : lo + QUESTIONS, None] - ROUNDING)
-                                i, j = _leading(q, c, i + lo, j + at, k)
-                                score = np.clip(np.einsum("ij,ij->i", q[i], c[j]), 0.0, 1.0)
-                                found.append(pd.DataFrame({"at": i, "score": score, "chunk_id": rows.column("chunk_id").take(pa.array(j)).to_pandas(), "register": rows.column("register").take(pa.array(j)).to_pandas()}))
-                        every = pd.concat(found).sort_values(["at", "score", "chunk_id"], ascending=[True, False, True])
-                        best[b] = every.groupby("at").head(k)
-                        full = best[b].groupby("at")["score"].agg(["size", "min"])
-                        floors[b][full.index[full["size"] == k]] = full["min"][full["size"] == k]
-            for (names, _), rows in zip(shared.value, best, strict=True):
-                if len(rows):
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(rows["at"].to_numpy(), pa.int64())), *(pa.array(rows[c].tolist(), kind) for c, kind in zip(("chunk_id", "register", "score"), kinds, strict=True))], names=schema.names)
-
-        kinds = [to_arrow_type(f.dataType) for f in schema.fields[1:]]
-        yield chunks.select("chunk_id", "register", "c").mapInArrow(work, schema)
-
-
-def _leading(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs, those that can be among the ``k`` best of their question, ties included."""
-    if len(i) <= k:
-        return i, j
-    score = np.clip(np.einsum("ij,ij->i", q[i], c[j]), 0.0, 1.0)
-    order = np.lexsort((-score, i))
-    i, j, score = i[order], j[order], score[order]
-    first = np.searchsorted(i, i)
-    last = np.minimum(first + k - 1, np.searchsorted(i, i, side="right") - 1)
-    keep = score >= score[last]
-    return i[keep], j[keep]
-
-
-def bm25(questions: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """Top chunks (chunk_id, text) by BM25 for each question (question_id, text); scores above zero only.
-
-    The texts are cut into words once: the counts by chunk and word are written, and all
-    statistics come from them. The questions' words, with their weights, are the small side
-    of the join, which a common word skews on the other side only. A repeated word of a
-    question counts again.
-    """
-    words = chunks.select("chunk_id", tokens(F.col("text")).alias("ts"))
-    counts = durable(words.select("chunk_id", F.size("ts").alias("size"), F.explode("ts").alias("term")).groupBy("chunk_id", "size", "term").agg(F.count("*").alias("tf")))
-    whole = chunks.agg(F.count("*").cast("double").alias("n")).first().n
-    mean = (counts.agg(F.sum("tf").alias("words")).first().words or 0) / whole if whole else 0.0
-    df = F.col("df")
-    raw = durable(counts.groupBy("term").agg(F.count("*").alias("df")).select("term", (F.log(F.lit(whole) - df + 0.5) - F.log(df + 0.5)).alias("raw")))
-    least = EPSILON * (raw.agg(F.avg("raw").alias("mean")).first().mean or 0.0)
-    asked = questions.select("question_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
-    asked = durable(asked.join(raw, "term").select("question_id", "term", "times", F.when(F.col("raw") < 0, F.lit(least)).otherwise(F.col("raw")).alias("idf")))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(mean)))
-    hits = counts.join(asked, "term").select("question_id", "chunk_id", (F.col("idf") * weight * F.col("times")).alias("w"))
-    scored = hits.groupBy("question_id", "chunk_id").agg(F.sum("w").alias("score"))
-    return top(scored.withColumn("score", F.round("score", 8)).filter("score > 0"), k)
-
-
 def fuse(rankings: list[DataFrame], k: int = 5, constant: int = FUSION) -> DataFrame:
     """Reciprocal rank fusion of rankings (question_id, chunk_id, rank)."""
     every = rankings[0].select("question_id", "chunk_id", "rank")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import text as tx
-from sextant.operators import answers, chunking, cleaning, entities, evaluation, index, ingest, masking, retrieval, search, sections
+from sextant.operators import answers, chunking, cleaning, entities, evaluation, index, ingest, lexical, masking, retrieval, search, sections
 from sextant.plans.inputs import frame, sql
 from sextant.sources import documents as src
 
@@ -77,7 +77,7 @@ SELECT question_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row
 def bm25_topk(spark, sf_dir):
     asked = frame(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
     chunks = frame(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text").filter("text is not null")
-    return retrieval.bm25(asked, chunks).select("question_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return lexical.bm25(asked, chunks).select("question_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH r AS (SELECT question_id, chunk_id, rank FROM ({_ranked(8)}) UNION ALL SELECT question_id, chunk_id, rank FROM ({_ranked(8, "q.label = c.label")})),
@@ -650,7 +650,7 @@ def hybrid_bm25_cosine(spark, sf_dir):
     items = frame(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
     chunks = frame(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text").filter("text is not null")
     asked = items.join(vectors.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector")), "question_id").withColumn("only", F.lit(None).cast("string"))
-    return retrieval.fuse([retrieval.bm25(items, chunks, 8), retrieval.retrieve(asked, _chunks(spark, sf_dir), 8)], 16).select("question_id", "chunk_id", "score")
+    return retrieval.fuse([lexical.bm25(items, chunks, 8), retrieval.retrieve(asked, _chunks(spark, sf_dir), 8)], 16).select("question_id", "chunk_id", "score")
 
 
 @query(f"WITH {_MARKED}, f AS (SELECT CAST(k.doc_id AS VARCHAR) AS register, regexp_extract(trim(l.text), '{_RE}', 1) AS number FROM a k JOIN l USING (doc_id, page, line) WHERE product = 1), o AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS register, '4.' || l_linenumber AS number FROM lineitem), ob AS (SELECT * FROM o WHERE number IN ({_NUMBERS})), r AS (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS register FROM part) SELECT register, (SELECT count(*) FROM ob WHERE ob.register = r.register) AS n_official, (SELECT count(*) FROM f WHERE f.register = r.register) AS n_detected, (SELECT count(*) FROM f JOIN ob USING (register, number) WHERE f.register = r.register) AS hits FROM r WHERE register IN (SELECT register FROM ob)")
