@@ -748,4 +748,4 @@ def pages_cleaned(spark, sf_dir):
     """Lone markers, open references, wrapped lines, hyphens and cut titles, where SQL can state the result."""
     lines = ["4.2.", "", F.concat(F.lit("Dosis  "), "p_brand"), "•", F.col("p_name"), "según la sección", "4.3.", F.concat(F.lit("Texto "), F.repeat(F.lit("x"), F.col("p_size") + 40)), "48 horas", "exten-", "sa", ", (y más)", "9. FECHA DE LA", "AUTORIZACIÓN", "7. TITULAR", F.upper("p_name"), "", "", "", "Fin —"]
     text = F.array_join(F.array(*[F.lit(x) if isinstance(x, str) else x for x in lines]), "\n")
-    return frame(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), cleaning.clean_page(text).alias("text"))
+    return cleaning.clean_pages(frame(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")))

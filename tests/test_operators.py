@@ -33,7 +33,7 @@ from sextant.sources import reports
     ],
 )
 def test_clean_page(spark, text, want):
-    assert spark.createDataFrame([(text,)], "text string").select(cleaning.clean_page(F.col("text"))).first()[0] == want
+    assert cleaning.clean_pages(spark.createDataFrame([(1, text, "x")], "doc_id long, text string, at string")).first() == (1, want, "x")
 
 
 def test_table_text(spark):
