@@ -55,13 +55,9 @@ SHEET_URL = "https://cima.aemps.es/cima/dochtml/ft/"
 
 def title_position(number: Column, title: Column) -> Column:
     """Position in the template, from 0, of the section that a number and a folded lower-case title open; else null."""
-    out = F.lit(None).cast("int")
-    for at, (n, words) in reversed(list(enumerate(TEMPLATE))):
-        has = title.contains(words[0])
-        for w in words[1:]:
-            has |= title.contains(w)
-        out = F.when((number == n) & has, F.lit(at)).otherwise(out)
-    return out
+    words = F.create_map(*(x for n, ws in TEMPLATE for x in (F.lit(n), F.array(*map(F.lit, ws)))))
+    places = F.create_map(*(F.lit(x) for at, (n, _) in enumerate(TEMPLATE) for x in (n, at)))
+    return F.when(F.exists(F.try_element_at(words, number), lambda w: title.contains(w)), F.try_element_at(places, number))
 
 
 def pretty_title(title: Column) -> Column:

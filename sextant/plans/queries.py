@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import text as tx
 from sextant.operators import answers, chunking, cleaning, entities, evaluation, index, ingest, lexical, masking, retrieval, search, sections
+from sextant.plans import splitting
 from sextant.plans.inputs import frame, sql
 from sextant.sources import documents as src
 
@@ -272,11 +273,18 @@ def generic_sections(spark, sf_dir):
     return sections.generic_sections(lines).select("doc_id", "section_id", "title", "text")
 
 
-_SPANS = f"""l AS ({sql("sheet_lines")}), t(number, pos, word) AS (VALUES {_TEMPLATE}),
-o AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY page, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS beg, sum(length(text) + 1) OVER (PARTITION BY doc_id) AS total FROM l),
-c AS (SELECT doc_id, page, line, beg, total, max(t.number) AS number, max(pos) AS pos FROM o JOIN t ON t.number = regexp_extract(trim(text), '{_RE}', 1) AND contains(lower(strip_accents(regexp_extract(trim(text), '{_RE}', 2))), word) GROUP BY 1, 2, 3, 4, 5),
-a AS (SELECT * FROM (SELECT *, max(pos) OVER (PARTITION BY doc_id ORDER BY page, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c) WHERE before IS NULL OR pos > before),
-sp AS (SELECT doc_id, CAST(beg AS BIGINT) AS start, CAST(coalesce(lead(beg) OVER (PARTITION BY doc_id ORDER BY page, line), total) AS BIGINT) AS "end", number FROM a)"""
+
+
+def _spans_of(lines: str, x: str = "") -> str:
+    """CTEs that end with sp (doc_id, start, end, number) of ``lines``; ``x`` ends their names."""
+    return f"""l{x} AS ({lines}), t{x}(number, pos, word) AS (VALUES {_TEMPLATE}),
+o{x} AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY page, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS beg, sum(length(text) + 1) OVER (PARTITION BY doc_id) AS total FROM l{x}),
+c{x} AS (SELECT doc_id, page, line, beg, total, max(t{x}.number) AS number, max(pos) AS pos FROM o{x} JOIN t{x} ON t{x}.number = regexp_extract(trim(text), '{_RE}', 1) AND contains(lower(strip_accents(regexp_extract(trim(text), '{_RE}', 2))), word) GROUP BY 1, 2, 3, 4, 5),
+a{x} AS (SELECT * FROM (SELECT *, max(pos) OVER (PARTITION BY doc_id ORDER BY page, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c{x}) WHERE before IS NULL OR pos > before),
+sp{x} AS (SELECT doc_id, CAST(beg AS BIGINT) AS start, CAST(coalesce(lead(beg) OVER (PARTITION BY doc_id ORDER BY page, line), total) AS BIGINT) AS "end", number FROM a{x})"""
+
+
+_SPANS = _spans_of(sql("sheet_lines"))
 
 
 @query(f'WITH {_SPANS} SELECT doc_id, start, "end", number FROM sp')
@@ -315,7 +323,7 @@ def strategy_mix(spark, sf_dir):
     return chunking.strategy_metrics(*_strategy(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE d AS (SELECT doc_id AS key, text FROM documents), {splitting.pieces('d', 1000, 150, 'p')} SELECT key AS doc_id, part, start, text FROM p")
 def recursive_chunks(spark, sf_dir):
     docs = frame(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.pieces(F.col("text"))).alias("part", "piece"))
     return docs.select("doc_id", "part", "piece.start", "piece.text")
@@ -699,10 +707,45 @@ def recursive_chunks_solid(spark, sf_dir):
     return docs.select("doc_id", "part", "piece.start", "piece.text")
 
 
-@query()
+_LONG = f"SELECT doc_id, page, line, CASE WHEN regexp_matches(text, '^[0-9]') THEN text ELSE repeat(text || '. ', 12 + CASE WHEN doc_id % 3 = 0 THEN 60 ELSE 0 END) END AS text FROM ({sql('sheet_lines')})"
+_LONG_SECTIONS = _SECTIONS.replace(f"l AS ({sql('sheet_lines')})", f"l AS ({_LONG})")
+#: The sheets' sections cut where they are longer than a chunk, with what their chunks show; documents with few sections as a whole.
+_PARTS = f"""{_LONG_SECTIONS}, n AS (SELECT doc_id, count(*) AS n FROM se GROUP BY 1),
+names AS (SELECT doc_id, product, max(CASE WHEN number = '1' AND text <> '' THEN trim(string_split(text, chr(10))[1]) END) AS name FROM se GROUP BY 1, 2),
+sec AS (SELECT doc_id, section_id, product, number, title, text FROM se JOIN n USING (doc_id) WHERE n >= 8 AND length(text) >= 3
+  UNION ALL SELECT doc_id, 0, 1, NULL, NULL, regexp_replace(string_agg(text, chr(10) ORDER BY page, line), '^\\n+|\\n+$', '', 'g') FROM l LEFT JOIN n USING (doc_id) WHERE coalesce(n, 0) < 8 GROUP BY doc_id),
+keyed AS (SELECT *, doc_id || '/' || section_id AS key FROM sec), longs AS (SELECT key, text FROM keyed WHERE length(text) > 1500), {splitting.pieces("longs", 1000, 150, "pc")},
+cut AS (SELECT key, part, text FROM pc UNION ALL SELECT key, 0, text FROM keyed WHERE length(text) <= 1500),
+placed AS (SELECT k.* EXCLUDE (text), part, c.text AS piece, count(*) OVER (PARTITION BY key) AS parts, row_number() OVER (PARTITION BY k.doc_id ORDER BY section_id, part) - 1 AS position FROM cut c JOIN keyed k USING (key)),
+chunks AS (SELECT CAST(doc_id AS VARCHAR) || CASE WHEN product > 1 THEN '::p' || product || '::' ELSE '::' END || coalesce(number, 'doc') || '::' || CASE WHEN number IS NULL THEN position ELSE part + 1 END AS chunk_id, doc_id, number AS section, part + 1 AS part, CAST(parts AS INT) AS parts,
+  'https://cima.aemps.es/cima/dochtml/ft/' || doc_id || CASE WHEN number IS NULL THEN NULL ELSE '/' || number END || '/FichaTecnica.html' AS url,
+  '[' || coalesce(nullif(CASE WHEN number IS NULL THEN NULL ELSE names.name END, ''), 'FT_' || doc_id || '.pdf') || CASE WHEN number IS NULL THEN '' ELSE ' · ' || number || ' ' || title END || CASE WHEN parts > 1 THEN ' · parte ' || (part + 1) || '/' || parts ELSE '' END || ']' || chr(10) || trim(piece, ' ') AS text
+  FROM placed LEFT JOIN names USING (doc_id, product))"""
+
+
+def _long_lines(spark, sf_dir):
+    times = F.when(F.col("doc_id") % 3 == 0, 72).otherwise(12)
+    return frame(spark, sf_dir, "sheet_lines").withColumn("text", F.when(F.col("text").rlike("^[0-9]"), F.col("text")).otherwise(F.repeat(F.concat("text", F.lit(". ")), times)))
+
+
+@query(f"WITH RECURSIVE {_PARTS} SELECT chunk_id, doc_id, section, part, parts, url, text FROM chunks")
+def sheet_parts(spark, sf_dir):
+    """Chunks of sheets of which many sections are longer than a chunk: their parts, headers and addresses."""
+    return _sheet_chunks(spark, sf_dir, _long_lines(spark, sf_dir)).select("chunk_id", "doc_id", "section", "part", "parts", "url", "text")
+
+
+@query(f"""WITH RECURSIVE {_PARTS}, {_spans_of(_LONG, "_of")},
+w AS (SELECT doc_id AS key, string_agg(text, chr(10) ORDER BY page, line) AS text FROM l GROUP BY 1), {splitting.pieces("w", 500, 75, "f5")}, {splitting.pieces("w", 1000, 150, "f10")},
+ch AS (SELECT 'fijo_500' AS strategy, key AS doc_id, part, start AS s, start + length(text) AS e FROM f5 UNION ALL SELECT 'fijo_1000', key, part, start, start + length(text) FROM f10),
+x AS (SELECT strategy, ch.doc_id, part, number FROM ch JOIN sp_of sp ON sp.doc_id = ch.doc_id AND sp.start < e AND "end" > s),
+y AS (SELECT strategy, count(*) FILTER (WHERE n > 1) AS mixed FROM (SELECT strategy, doc_id, part, count(DISTINCT number) AS n FROM x GROUP BY ALL) GROUP BY 1),
+z AS (SELECT strategy, count(*) FILTER (WHERE n > 1) AS broken FROM (SELECT strategy, doc_id, number, count(DISTINCT part) AS n FROM x WHERE number IN ({_KEYS}) GROUP BY ALL) GROUP BY 1),
+whole AS (SELECT count(*) AS keys, count(*) FILTER (WHERE parts = 1) AS kept FROM (SELECT doc_id, section, max(parts) AS parts FROM chunks WHERE section IN ({_KEYS}) GROUP BY 1, 2))
+SELECT strategy, count(*) AS chunks, CAST(floor(sum(e - s) / count(*)) AS BIGINT) AS mean_size, round(100 * coalesce(max(mixed), 0) / count(*)::DOUBLE, 4) AS mixed_percent, round(100 * (6 * count(DISTINCT doc_id) - coalesce(max(broken), 0)) / (6 * count(DISTINCT doc_id))::DOUBLE, 4) AS whole_key_percent FROM ch LEFT JOIN y USING (strategy) LEFT JOIN z USING (strategy) GROUP BY 1
+UNION ALL SELECT 'por_seccion', count(*), CAST(floor(sum(length(text)) / count(*)) AS BIGINT), 0.0, (SELECT coalesce(round(100 * kept / nullif(keys, 0)::DOUBLE, 4), 0) FROM whole) FROM chunks""")
 def strategy_comparison(spark, sf_dir):
     """The fixed sizes by the recursive splitter and the cut by section, over sheets of which each line is long."""
-    lines = frame(spark, sf_dir, "sheet_lines").withColumn("text", F.when(F.col("text").rlike("^[0-9]"), F.col("text")).otherwise(F.repeat(F.concat("text", F.lit(". ")), 12)))
+    lines = _long_lines(spark, sf_dir)
     whole = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line", "text"))), lambda x: x["text"]), "\n").alias("text"))
     fixed = [chunking.fixed_chunks(whole, name, size) for name, size in chunking.FIXED.items()]
     return chunking.strategy_metrics(fixed[0].unionByName(fixed[1]), sections.section_spans(lines)).unionByName(chunking.section_metrics(_sheet_chunks(spark, sf_dir, lines)))
