@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,6 +32,7 @@ REPLACED = {
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 #: Words that the lexical ranking leaves out. Fixed values.
 STOP_WORDS = ("de", "la", "el", "en", "y", "a", "los", "las", "un", "una", "por", "con", "para", "se", "que", "es", "del", "al", "lo", "su", "o", "como")
+TOKEN, _STOPS = re.compile("[a-z0-9]+"), frozenset(STOP_WORDS)
 CONTROL_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 
 # Latin letters and compatibility forms whose decomposition has one base character, from the Unicode data; longer ones are replaced one by one.
@@ -63,6 +67,20 @@ def tokens(text: Column) -> Column:
     return F.filter(found, lambda t: ~t.isin(*STOP_WORDS))
 
 
+@cache
+def _folding() -> dict[int, str | None]:
+    """``fold`` as a table of code points."""
+    marks = {c: None for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M"}
+    return marks | {ord(c): b for c, b in (_ONE | _MORE).items()}
+
+
+def tokens_of(text: str) -> list[str]:
+    """The same as ``tokens``, for text that is in a Python task anyway."""
+    lower = text.lower()
+    folded = lower if lower.isascii() else lower.translate(_folding())
+    return [t for t in TOKEN.findall(folded) if t not in _STOPS]
+
+
 def let(value: Column, f) -> Column:
     """``f`` of ``value``, which is computed once even where ``f`` uses it often or within lambdas."""
     return F.element_at(F.transform(F.array(value), f), 1)

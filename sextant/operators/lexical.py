@@ -17,13 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sextant.functions.scratch import durable
-from sextant.functions.text import tokens
+from sextant.functions.text import tokens, tokens_of
 
 #: BM25 constants of the public library whose ranking is matched. Fixed values.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -35,43 +35,50 @@ ROUNDING = 1e-7
 ALL = ""
 
 
-def counted_words(chunks: DataFrame) -> DataFrame:
-    """chunk_id, bucket, size, term, tf of chunks (chunk_id, bucket, text); a row of term "" for every chunk.
-
-    A chunk's words meet in one Arrow batch, so nothing is shuffled.
-    """
-    rows = chunks.filter("text is not null").select("chunk_id", "bucket", tokens(F.col("text")).alias("words"))
-    schema = T.StructType([rows.schema["chunk_id"], rows.schema["bucket"], *(T.StructField(n, k) for n, k in (("size", T.IntegerType()), ("term", T.StringType()), ("tf", T.IntegerType())))])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = batch.column("words")
-            sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-            coded = words.flatten().dictionary_encode()
-            n = max(1, len(coded.dictionary))
-            pair = pc.list_parent_indices(words).to_numpy(zero_copy_only=False).astype(np.int64) * n + coded.indices.to_numpy(zero_copy_only=False)
-            found, tf = np.unique(pair, return_counts=True)
-            row = np.concatenate((np.arange(batch.num_rows), found // n))
-            terms = pa.concat_arrays([pa.array([ALL] * batch.num_rows, pa.string()), coded.dictionary.cast(pa.string()).take(pa.array(found % n))])
-            counts = np.concatenate((np.ones(batch.num_rows, np.int32), tf.astype(np.int32)))
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(at), batch.column("bucket").take(at), pa.array(sizes[row].astype(np.int32)), terms, pa.array(counts)], names=schema.names)
-
-    return rows.mapInArrow(work, schema)
-
-
 def postings(chunks: DataFrame, block_chunks: int = BLOCK_CHUNKS) -> DataFrame:
     """The index's rows of ``chunks`` (chunk_id, bucket, text): bucket, block, term, df, most, least, words, entries (chunk_id, tf, size).
 
     Chunks without text have none. ``most`` is the largest tf of the entries, ``least`` their
     smallest size, ``words`` the sum of their sizes. The row of term "" has all chunks of the
-    block, but no entries.
+    block, but no entries. The texts are shuffled once, by block; a block is put together
+    where its chunks arrive.
     """
-    sizes = chunks.filter("text is not null").groupBy("bucket").agg(F.ceil(F.count("*") / block_chunks).alias("blocks"))
-    rows = counted_words(chunks).join(F.broadcast(sizes), "bucket")  # as many rows as there are buckets
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int"))
-    entry = F.when(F.col("term") != ALL, F.struct("chunk_id", "tf", "size"))
-    return rows.groupBy("bucket", "block", "term").agg(F.count("*").alias("df"), F.max("tf").alias("most"), F.min("size").alias("least"), F.sum("size").alias("words"), F.collect_list(entry).alias("entries"))
+    chunks = chunks.filter("text is not null").select("chunk_id", F.col("bucket").cast("int").alias("bucket"), "text")
+    sizes = chunks.groupBy("bucket").agg(F.ceil(F.count("*") / block_chunks).alias("blocks"))
+    placed = chunks.join(F.broadcast(sizes), "bucket")  # as many rows as there are buckets
+    placed = placed.select("bucket", F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int").alias("block"), "chunk_id", "text")
+    kind = to_arrow_type(chunks.schema["chunk_id"].dataType)
+    schema = T._parse_datatype_string(f"bucket int, block int, term string, df long, most int, least int, words long, entries array<struct<chunk_id: {chunks.schema['chunk_id'].dataType.simpleString()}, tf: int, size: int>>")
+
+    def block_rows(key: tuple[int, int], ids: list, words: list[list[str]]) -> pa.RecordBatch:
+        size = np.array([len(w) for w in words], np.int64)
+        coded = pa.array([t for w in words for t in w], pa.string()).dictionary_encode()
+        pair, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(ids) + np.repeat(np.arange(len(ids)), size), return_counts=True)
+        term, row = pair // len(ids), pair % len(ids)
+        begins = np.flatnonzero(np.diff(term, prepend=-1))
+        over = lambda f, x, whole: np.append(f.reduceat(x, begins) if len(begins) else x[:0], whole)
+        entries = pa.StructArray.from_arrays([pa.array(ids, kind).take(pa.array(row)), pa.array(tf, pa.int32()), pa.array(size[row], pa.int32())], names=["chunk_id", "tf", "size"])
+        ends = np.concatenate((begins, [len(pair), len(pair)])).astype(np.int32)
+        terms = [*coded.dictionary.to_pylist(), ALL]
+        n = len(terms)
+        columns = [pa.array([key[0]] * n, pa.int32()), pa.array([key[1]] * n, pa.int32()), pa.array(terms, pa.string()), pa.array(np.append(np.diff(ends)[:-1], len(ids)), pa.int64())]
+        columns += [pa.array(over(np.maximum, tf, 1), pa.int32()), pa.array(over(np.minimum, size[row], size.min()), pa.int32()), pa.array(over(np.add, size[row], size.sum()), pa.int64())]
+        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), entries)], names=schema.names)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids, words = None, [], []
+        for batch in batches:
+            for bucket, block, chunk_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (bucket, block) != last and ids:
+                    yield block_rows(last, ids, words)
+                    ids, words = [], []
+                last = (bucket, block)
+                ids.append(chunk_id)
+                words.append(tokens_of(text))
+        if ids:
+            yield block_rows(last, ids, words)
+
+    return placed.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(work, schema)
 
 
 def _weight(tf: Column, size: Column, mean: float) -> Column:
