@@ -21,6 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named or LOCAL
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The name of a fresh folder in the shared one, which goes when the application ends."""
+    path = f"{shared_dir(spark)}/sextant-{uuid.uuid4().hex}"
+    folder, files = file_system(spark, path)
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends there.
 

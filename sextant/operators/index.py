@@ -72,20 +72,30 @@ def bucketed(chunks: DataFrame) -> DataFrame:
 
 def _state(spark: SparkSession, path: str) -> tuple[int, dict[str, str]]:
     """The number of the index's state and the folder of each bucket."""
+    number, state = _read_state(spark, path)
+    return number, state["buckets"]
+
+
+def applied(spark: SparkSession, path: str) -> dict[str, int]:
+    """The last batch of each stream that the index has had."""
+    return _read_state(spark, path)[1]["applied"]
+
+
+def _read_state(spark: SparkSession, path: str) -> tuple[int, dict]:
     folder, files = file_system(spark, path)
     names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
     number = max((int(n.removeprefix(STATE)) for n in names if n.startswith(STATE)), default=0)
     if not number:
-        return 0, {}
+        return 0, {"buckets": {}, "applied": {}}
     return number, json.loads(spark.read.text(f"{path}/{STATE}{number}", wholetext=True).first()[0])
 
 
-def _publish(spark: SparkSession, path: str, number: int, buckets: dict[str, str]) -> None:
-    """Make ``buckets`` the state after ``number``; folders that neither it nor the one before names are removed."""
+def _publish(spark: SparkSession, path: str, number: int, buckets: dict[str, str], batch: tuple[str, int] | None = None) -> None:
+    """Make ``buckets`` the state after ``number``, with a stream's ``batch``; folders that neither it nor the one before names are removed."""
     target, files = file_system(spark, f"{path}/{STATE}{number + 1}")
     fresh, _ = file_system(spark, f"{path}/_new-{uuid.uuid4().hex}")
     out = files.create(fresh)
-    out.write(bytearray(json.dumps(buckets).encode()))
+    out.write(bytearray(json.dumps({"buckets": buckets, "applied": applied(spark, path) | dict([batch] if batch else [])}).encode()))
     out.close()
     before = set(_state(spark, path)[1].values()) if number else set()
     if not files.rename(fresh, target):
@@ -139,23 +149,28 @@ def open_terms(spark: SparkSession, path: str) -> DataFrame:
 
 def delete_documents(spark: SparkSession, path: str, gone: DataFrame) -> None:
     """Remove all chunks of the documents in ``gone`` (doc_id) from the index on disk; only their buckets change."""
-    _, state = _state(spark, path)
-    if state:
-        _change(spark, path, gone, lambda base: base.join(gone.select("doc_id").distinct(), "doc_id", "left_anti"))
-
+    number, state = _state(spark, path)
+    if number:
+        replace_documents(spark, path, open_index(spark, path).limit(0), changed=gone)
 
-def replace_documents(spark: SparkSession, path: str, new: DataFrame) -> None:
-    """Reindex on disk: only the buckets of the documents in ``new`` are read, and written anew beside the old ones."""
-    _change(spark, path, new, lambda base: _last(new) if base is None else reindex(base, new.select(base.columns)))
 
+def replace_documents(spark: SparkSession, path: str, new: DataFrame, changed: DataFrame | None = None, batch: tuple[str, int] | None = None) -> None:
+    """Reindex on disk: all chunks of the documents in ``changed`` (doc_id), or else of those in ``new``, give way to those of ``new``.
 
-def _change(spark: SparkSession, path: str, changed: DataFrame, make) -> None:
-    """The index's next state, in which ``make`` of the old rows are those of the buckets of the documents in ``changed``."""
+    Only the buckets of these documents are read, and written anew beside the old ones. The
+    state names ``batch``, a stream and its batch, if there is one.
+    """
+    changed = (new if changed is None else changed).select("doc_id").distinct()
     hit = [r.bucket for r in bucketed(changed).select("bucket").distinct().collect()]  # at most BUCKETS
+    number, state = _state(spark, path)
     if not hit:
+        if batch:
+            _publish(spark, path, number, state, batch)
         return
-    number, state = _state(spark, path)
-    base = open_index(spark, path, hit) if state else None
-    name, buckets = _write(spark, path, bucketed(make(base)))
+    rows = _last(new)
+    if state:
+        base = open_index(spark, path, hit)
+        rows = base.join(changed, "doc_id", "left_anti").select(base.columns).unionByName(rows.select(base.columns))
+    name, buckets = _write(spark, path, bucketed(rows))
     kept = {b: folder for b, folder in state.items() if int(b) not in hit}
-    _publish(spark, path, number, kept | {str(b): name for b in buckets})
+    _publish(spark, path, number, kept | {str(b): name for b in buckets}, batch)

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import text as tx
-from sextant.operators import answers, chunking, cleaning, entities, evaluation, index, ingest, lexical, masking, retrieval, search, sections
+from sextant.functions.scratch import durable, scratch_folder
+from sextant.operators import answers, chunking, cleaning, embedding, entities, evaluation, index, ingest, lexical, masking, retrieval, search, sections
 from sextant.plans import splitting
 from sextant.plans.inputs import frame, sql
 from sextant.sources import documents as src
+from sextant.streaming import events
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -533,9 +535,12 @@ def citations_clean(spark, sf_dir):
 
 
 def _answers(spark, sf_dir):
-    a = frame(spark, sf_dir, "answers")
+    return evaluation.check_answers(_with_sources(frame(spark, sf_dir, "answers")).withColumn("forbidden", F.array("forbidden")))
+
+
+def _with_sources(a: DataFrame) -> DataFrame:
     source = lambda i, d, s: F.struct(F.lit(i).alias("index"), F.concat(F.lit("FT_"), d.cast("string")).alias("doc_id"), s.cast("string").alias("section"))
-    return evaluation.check_answers(a.withColumn("sources", F.array(source(1, F.col("s_doc"), F.col("s_turn")), source(2, F.col("s_doc"), F.col("s_turn") + 1))).withColumn("forbidden", F.array("forbidden")))
+    return a.withColumn("sources", F.array(source(1, F.col("s_doc"), F.col("s_turn")), source(2, F.col("s_doc"), F.col("s_turn") + 1)))
 
 
 _CHECKS = f"""a AS ({sql("answers")}), k AS (SELECT *, CAST(regexp_extract_all(answer, '\\[(\\d+)\\]', 1) AS BIGINT[]) AS c, s_turn = CAST(expected_section AS INT) AS one, s_turn + 1 = CAST(expected_section AS INT) AS two FROM a),
@@ -579,6 +584,20 @@ def review_sheet(spark, sf_dir):
     return evaluation.review_sheet(checked, checked.filter(F.col("question_id").endswith(":1")))
 
 
+@query(f"WITH {_CHECKS} SELECT question_id, category, n_citations, citations_valid, source_cited, pii_notice_right, no_leak, error IS NULL AND ((answerable AND found) OR ends_with(question_id, ':1')) AS to_review FROM ch")
+def golden_file_checks(spark, sf_dir):
+    """Answers held against a golden file that is written and read with all its fields: the checks, and what to look over by hand."""
+    a = frame(spark, sf_dir, "answers")
+    folder = scratch_folder(spark)
+    fields = {"id": "question_id", "question": "question_id", "categoria": "category", "answerable": "answerable", "expected_nregistro": "expected_register", "expected_seccion": "expected_section", "expected_pii": "expected_pii"}
+    a.select(*(F.col(c).alias(n) for n, c in fields.items()), F.array("forbidden").alias("no_debe_contener"), F.col("question_id").endswith(":1").alias("revision_manual")).write.json(f"{folder}/golden")
+    golden = src.read_golden(spark, f"{folder}/golden")
+    given = _with_sources(a).select("question_id", "answer", "found", "pii_notice", "sources", "error")
+    checked = evaluation.check_answers(golden.join(given, "question_id"))
+    review = evaluation.review_sheet(checked, golden.filter("manual")).select("question_id", F.lit(True).alias("to_review"))
+    return checked.join(review, "question_id", "left").select("question_id", "category", "n_citations", "citations_valid", "source_cited", "pii_notice_right", "no_leak", F.coalesce("to_review", F.lit(False)).alias("to_review"))
+
+
 @query(f"""WITH r AS ({_ranked(5)}), x AS (SELECT question_id, rank, 'doc ' || chunk_id AS name, CASE WHEN CAST(register AS INT) % 3 > 0 THEN register END AS section, 'Label ' || register AS title, d.text FROM r JOIN documents d ON d.doc_id = chunk_id)
 SELECT question_id, count(*) AS n_sources, string_agg('[' || rank || '] ' || name || CASE WHEN section IS NOT NULL THEN ' (Sección ' || section || ': ' || title || ')' ELSE '' END || chr(10) || 'Texto: ' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM x GROUP BY 1""")
 def sources_context(spark, sf_dir):
@@ -792,3 +811,42 @@ def pages_cleaned(spark, sf_dir):
     lines = ["4.2.", "", F.concat(F.lit("Dosis  "), "p_brand"), "•", F.col("p_name"), "según la sección", "4.3.", F.concat(F.lit("Texto "), F.repeat(F.lit("x"), F.col("p_size") + 40)), "48 horas", "exten-", "sa", ", (y más)", "9. FECHA DE LA", "AUTORIZACIÓN", "7. TITULAR", F.upper("p_name"), "", "", "", "Fin —"]
     text = F.array_join(F.array(*[F.lit(x) if isinstance(x, str) else x for x in lines]), "\n")
     return cleaning.clean_pages(frame(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
+
+
+_VECTOR = """SELECT {id} AS id, list_transform(range(64), lambda d: coalesce(len(list_filter(hit, lambda x: x = d)), 0)) AS v FROM (SELECT {id}, list_transform(regexp_extract_all(lower(text), '[\\pL\\pN_]+'), lambda w: ('0x' || right(md5(w), 7))::BIGINT % 64) AS hit FROM {table})"""
+
+
+@query(f"""WITH d AS ({_VECTOR.format(id="doc_id", table="documents WHERE text IS NOT NULL")}), b AS ({_VECTOR.format(id="item_id", table="benchmark")}),
+u AS (SELECT id, list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1.0)) AS v FROM d), q AS (SELECT id, list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1.0)) AS v FROM b),
+s AS (SELECT q.id AS question_id, u.id AS chunk_id, round(least(1.0, list_inner_product(q.v::DOUBLE[], u.v::DOUBLE[])), 9) AS score FROM q, u)
+SELECT question_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 5""")
+def hashed_text_search(spark, sf_dir):
+    """Texts to search without a given vector: hashed bags of words, then cosine over more than the five to return, as equal ones differ in the last bit."""
+    texts = frame(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("chunk_id"), "text")
+    asked = frame(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
+    chunks = durable(embedding.hashed_vectors(texts, "chunk_id").withColumn("register", F.lit(None).cast("string")))
+    found = retrieval.retrieve(embedding.hashed_vectors(asked, "question_id").withColumn("only", F.lit(None).cast("string")), chunks, 40)
+    best = retrieval.top(found.select("question_id", "chunk_id", F.round("score", 9).alias("score")), 5)
+    return best.select("question_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+#: Uploads of all pages, new versions of some, deletions, and uploads once more, by turns.
+_EVENT = "SELECT {} AS seq, '{}' AS kind, CAST(page_id AS STRING) AS doc_id, {} AS text FROM {{t}} WHERE page_id % {} = 0"
+_TURNS = (
+    _EVENT.format(1, "upload", "html", 1),
+    _EVENT.format(2, "upload", "concat('v2. ', substr(html, 1, 1200))", 3),
+    _EVENT.format(3, "delete", "CAST(NULL AS STRING)", 5),
+    _EVENT.format(4, "upload", "substr(html, 1, 900)", 10) + " UNION ALL " + _EVENT.format(5, "delete", "html", 20),
+)
+
+
+@query(f"""WITH RECURSIVE e(seq, kind, doc_id, text) AS ({" UNION ALL ".join(x.format(t="pages") for x in _TURNS)}), last AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) = 1),
+d AS (SELECT doc_id AS key, text FROM last WHERE kind = 'upload'), {splitting.pieces("d", 1000, 150, "p")} SELECT key || '::' || part AS chunk_id, key AS doc_id, part AS position, text FROM p""")
+def document_events(spark, sf_dir):
+    """The index after a stream of uploads and deletions, each turn in files of its own."""
+    folder = scratch_folder(spark)
+    pages = frame(spark, sf_dir, "pages")
+    for k, turn in enumerate(_TURNS):
+        spark.sql(turn, t=pages).write.mode("append").json(f"{folder}/events")
+        events.follow(events.read_events(spark, f"{folder}/events"), f"{folder}/index", f"{folder}/checkpoint").awaitTermination()
+    return index.open_index(spark, f"{folder}/index").select("chunk_id", "doc_id", "position", "text")

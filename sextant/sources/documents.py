@@ -118,13 +118,17 @@ def read_chunks(spark: SparkSession, path: str, validate: bool = True) -> DataFr
 
 
 #: Fields of a golden question. Fixed values.
-GOLDEN_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "question", "categoria", "expected_nregistro", "expected_seccion")] + [T.StructField(n, T.BooleanType()) for n in ("answerable", "expected_pii", "revision_manual", "verificado")])
+GOLDEN_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "question", "categoria", "expected_nregistro", "expected_seccion")] + [T.StructField(n, T.BooleanType()) for n in ("answerable", "expected_pii", "revision_manual", "verificado")] + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("no_debe_contener", "expected_chunk_ids")])
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    """Golden questions of JSON lines; the first line that isn't JSON raises with its file and line."""
+    """Golden questions of JSON lines, with all their fields; the first line that isn't JSON raises with its file and line.
+
+    Answers may not hold any of ``forbidden``; ``manual`` are to be looked over by hand.
+    """
+    none, no = F.array().cast("array<string>"), F.lit(False)
     rows = read_json_lines(spark, path, GOLDEN_SCHEMA, what="question")
-    return rows.select(F.col("id").alias("question_id"), F.col("question").alias("text"), F.coalesce("categoria", F.lit("")).alias("category"), "answerable", F.col("expected_nregistro").alias("expected_register"), F.col("expected_seccion").alias("expected_section"), F.coalesce("expected_pii", F.lit(False)).alias("expected_pii"))
+    return rows.select(F.col("id").alias("question_id"), F.col("question").alias("text"), F.coalesce("categoria", F.lit("")).alias("category"), "answerable", F.col("expected_nregistro").alias("expected_register"), F.col("expected_seccion").alias("expected_section"), F.coalesce("expected_pii", no).alias("expected_pii"), F.coalesce("no_debe_contener", none).alias("forbidden"), F.coalesce("expected_chunk_ids", none).alias("expected_chunk_ids"), F.coalesce("revision_manual", no).alias("manual"), F.coalesce("verificado", no).alias("verified"))
 
 
 def read_folder(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:

@@ -173,7 +173,7 @@ def test_validated_lines_name_file_and_line(spark, tmp_path):
     with pytest.raises(ValueError, match=r"golden\.jsonl:4: not a valid question: \{broken"):
         src.read_golden(spark, str(tmp_path / "golden.jsonl"))
     (tmp_path / "golden.jsonl").write_text(good)
-    assert tuple(src.read_golden(spark, str(tmp_path / "golden.jsonl")).first()) == ("Q1", "¿Qué?", "", True, "1", None, False)
+    assert tuple(src.read_golden(spark, str(tmp_path / "golden.jsonl")).first()) == ("Q1", "¿Qué?", "", True, "1", None, False, [], [], False, False)
     (tmp_path / "chunks.jsonl").write_text('{"texto": "a", "metadata": {"chunk_id": "1"}}\n\n{"texto": "b", "metadata": {"chunk_id": "2", "parte": 0}}\n')
     with pytest.raises(ValueError, match=r"chunks\.jsonl:3: not a valid chunk"):
         src.read_chunks(spark, str(tmp_path / "chunks.jsonl"))
