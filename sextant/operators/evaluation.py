@@ -63,24 +63,44 @@ def failed_questions(hits: DataFrame, k_max: int = 5) -> DataFrame:
     return hits.filter(F.col("answerable") & ~F.coalesce(F.col("hit_rank") <= k_max, F.lit(False))).select("question_id")
 
 
-def threshold_sweep(golden: DataFrame, retrieved: DataFrame, steps: int = 19, k_max: int = 5) -> DataFrame:
-    """Rates at thresholds 0, 0.05, ...; the retrieval isn't repeated.
+def _last_step(score, width: float, digits: int):
+    """The last threshold, by its number from 0, that ``score`` reaches; -1 if none."""
+    reached = lambda i: F.round(i * F.lit(width), digits) <= score
+    about = F.floor(score / width).cast("int")
+    return F.greatest(F.when(reached(about + 1), about + 1).when(reached(about), about).otherwise(about - 1), F.lit(-1))
 
-    A row above a threshold keeps its rank order, so the rank within it is the number of
-    rows above the threshold so far, and one pass over all thresholds is enough.
+
+def threshold_sweep(golden: DataFrame, retrieved: DataFrame, steps: int = 19, k_max: int = 5, width: float = 0.05, digits: int = 2) -> DataFrame:
+    """Rates at ``steps`` thresholds 0, ``width``, ...; the retrieval isn't repeated.
+
+    A row above a threshold keeps its rank order, so its place is the number of rows above
+    the threshold so far. It is a hit from where so many rows before it have gone that its
+    place is ``k_max`` up to its own score. A question marks where its hits begin and end and
+    where nothing is left; sums of the marks along the thresholds give the rates. Neither
+    questions nor rows meet the thresholds.
     """
-    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.round(i * 0.05, 2))).alias("threshold")
-    grid = golden.select("*", at)
-    left = retrieved.select("question_id", "rank", "register", "section", "score")
-    rows = grid.join(left, "question_id", "left").withColumn("in", F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)))
-    place = F.sum(F.col("in").cast("int")).over(Window.partitionBy("question_id", "threshold").orderBy("rank"))
-    rows = rows.withColumn("place", F.when(F.col("in"), place))
-    both = F.col("in") & F.col("register").eqNullSafe(F.col("expected_register")) & F.col("section").eqNullSafe(F.col("expected_section"))
-    hits = rows.groupBy("threshold", "question_id", "category", "answerable").agg(F.min(F.when(both, F.col("place"))).alias("hit_rank"), (_count(F.col("in")) == 0).alias("nothing"))
-    answerable, rejected = F.col("answerable"), F.col("category").isin(*REJECTED)
-    hit = F.coalesce(rate(_count(answerable & (F.col("hit_rank") <= k_max)), _count(answerable)), F.lit(0.0)) if k_max in KS else F.lit(0.0)
-    right = F.coalesce(rate(_count(rejected & F.col("nothing")), _count(rejected)), F.lit(0.0))
-    out = hits.groupBy("threshold").agg(hit.alias("hit_rate"), right.alias("right_rejections"), rate(_count(answerable & F.col("nothing")), _count(answerable)).alias("false_rejections"))
+    order = Window.partitionBy("question_id").orderBy("rank")
+    left = retrieved.select("question_id", "rank", "register", "section", "score").join(golden.select("question_id", "expected_register", "expected_section"), "question_id")
+    above = F.get(F.reverse(F.array_sort(F.collect_list("score").over(order))), F.lit(k_max))  # the first score that has to go
+    step = lambda c: _last_step(c, width, digits)
+    rows = left.withColumn("begin", F.coalesce(step(above) + 1, F.lit(0))).withColumn("end", F.least(step(F.col("score")), F.lit(steps - 1)))
+    both = F.col("register").eqNullSafe(F.col("expected_register")) & F.col("section").eqNullSafe(F.col("expected_section"))
+    spans = rows.filter(both & (F.col("begin") <= F.col("end")) & F.lit(k_max in KS))
+    # Where a question's spans overlap, only what goes beyond the ones before counts.
+    beyond = F.max("end").over(Window.partitionBy("question_id").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("begin", F.greatest("begin", F.coalesce(beyond + 1, F.lit(0)))).filter("begin <= end").join(golden.filter("answerable").select("question_id"), "question_id")
+    mark = lambda at, hit, right, wrong: F.struct(at.alias("step"), hit.alias("hit"), right.alias("right"), wrong.alias("wrong"))
+    zero, one = F.lit(0), F.lit(1)
+    hits = spans.select(F.explode(F.array(mark(F.col("begin"), one, zero, zero), mark(F.col("end") + 1, -one, zero, zero))).alias("m")).select("m.*")
+    top = golden.join(retrieved.groupBy("question_id").agg(F.max("score").alias("top")), "question_id", "left")
+    gone = F.coalesce(step(F.col("top")) + 1, F.lit(0))
+    nothing = top.select(mark(gone, zero, F.col("category").isin(*REJECTED).cast("int"), F.col("answerable").cast("int")).alias("m")).select("m.*")
+    marks = hits.union(nothing).groupBy("step").agg(*[F.sum(F.coalesce(c, zero)).alias(c) for c in ("hit", "right", "wrong")])
+    whole = golden.agg(_count(F.col("answerable")).alias("answerable"), _count(F.col("category").isin(*REJECTED)).alias("rejected"), F.count("*").alias("n")).filter("n > 0")
+    grid = golden.sparkSession.range(steps).select(F.col("id").cast("int").alias("step")).join(marks, "step", "left")
+    sums = grid.select("step", *[F.sum(F.coalesce(c, zero)).over(Window.orderBy("step")).alias(c) for c in ("hit", "right", "wrong")]).join(F.broadcast(whole))
+    share = lambda c, of: F.coalesce(rate(F.col(c), F.col(of)), F.lit(0.0))
+    out = sums.select(F.round(F.col("step") * F.lit(width), digits).alias("threshold"), share("hit", "answerable").alias("hit_rate"), share("right", "rejected").alias("right_rejections"), rate(F.col("wrong"), F.col("answerable")).alias("false_rejections"))
     return out.withColumn("score", F.round((F.col("hit_rate") + F.col("right_rejections")) / 2, 4))
 
 
