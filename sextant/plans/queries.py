@@ -485,6 +485,9 @@ def pii_email_mask(spark, sf_dir):
     return frame(spark, sf_dir, "documents").select("doc_id", masking.mask_emails(F.col("text")).alias("text"))
 
 
+_HAS_MAIL = r"regexp_matches(coalesce(text, ''), '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(\.[\p{L}\p{N}_-]+)+')"
+
+
 def _masked_in_turn(text: str) -> str:
     """The rules one after the other, as DuckDB knows no look-around: what bounds a match is put back, and every rule runs twice."""
     word, end = r"[\p{L}\p{N}_]", r"($|[^\p{L}\p{N}_])"
@@ -502,12 +505,12 @@ def _masked_in_turn(text: str) -> str:
     return text
 
 
-@query(f"SELECT doc_id, TRUE AS has_pii, {_masked_in_turn("concat('El paciente Juan Pérez, DNI ', lpad(CAST(doc_id AS VARCHAR), 8, '0'), substr('TRWAGMYFPDXBNJZSQVHLCKE', CAST(doc_id % 23 + 1 AS BIGINT), 1), ', tel. 612 345 678. ', coalesce(text, ''), ' NHC: A-', doc_id + 100, ', nacida el 1/2/1950, cip ABCD', doc_id + 10000, ' y X1234567', substr('TRWAGMYFPDXBNJZSQVHLCKE', CAST(doc_id % 23 + 1 AS BIGINT), 1), '; Carmen Ruiz de la Torre, t@u.es')")} AS masked FROM documents")
+@query(f"SELECT doc_id, TRUE AS has_pii, {_masked_in_turn("concat('El paciente Juan Pérez, DNI ', lpad(CAST(doc_id AS VARCHAR), 8, '0'), substr('TRWAGMYFPDXBNJZSQVHLCKE', CAST(doc_id % 23 + 1 AS BIGINT), 1), ', tel. 612 345 678. ', coalesce(text, ''), ' NHC: A-', doc_id + 100, ', nacida el 1/2/1950, cip ABCD', doc_id + 10000, ' y X1234567', substr('TRWAGMYFPDXBNJZSQVHLCKE', CAST(doc_id % 23 + 1 AS BIGINT), 1), '; Carmen Ruiz de la Torre, t@u.es')")} AS masked, concat('nombre,dni,telefono,', CASE WHEN {_HAS_MAIL} THEN 'email,' ELSE '' END, 'historia_clinica,fecha_nacimiento,tarjeta_sanitaria,nie', CASE WHEN doc_id % 23 = 1234567 % 23 THEN '' ELSE '_posible' END, CASE WHEN {_HAS_MAIL} THEN '' ELSE ',email' END) AS kinds FROM documents")
 def pii_masked(spark, sf_dir):
     docs = frame(spark, sf_dir, "documents")
     number, letter = F.col("doc_id").cast("string"), tx.control_letter(F.col("doc_id"))
     parts = [F.lit("El paciente Juan Pérez, DNI "), F.lpad(number, 8, "0"), letter, F.lit(", tel. 612 345 678. "), F.coalesce("text", F.lit("")), F.lit(" NHC: A-"), (F.col("doc_id") + 100).cast("string"), F.lit(", nacida el 1/2/1950, cip ABCD"), (F.col("doc_id") + 10000).cast("string"), F.lit(" y X1234567"), letter, F.lit("; Carmen Ruiz de la Torre, t@u.es")]
-    return docs.select("doc_id", masking.mask_pii(F.concat(*parts)).alias("r")).select("doc_id", "r.has_pii", "r.masked")
+    return docs.select("doc_id", masking.mask_pii(F.concat(*parts)).alias("r")).select("doc_id", "r.has_pii", "r.masked", F.array_join("r.kinds", ",").alias("kinds"))
 
 
 @query()
