@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sextant.functions.scratch import durable
 from sextant.operators.chunking import chunk_documents, run_summary
 from sextant.operators.cleaning import classify_sheets, clean_documents, page_lines, trim_annexes
 
@@ -31,7 +32,7 @@ def ingest(read: DataFrame, documents: DataFrame) -> DataFrame:
     cut = trim_annexes(page_lines(pages.join(european, "doc_id", "left_semi")))
     whole = page_lines(pages.join(european, "doc_id", "left_anti"))
     joined = cut.unionByName(whole).groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return chunk_documents(page_lines(clean_documents(joined)), documents)
+    return chunk_documents(page_lines(durable(clean_documents(joined))), documents)  # read more than once
 
 
 def ingest_summary(read: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
