@@ -14,7 +14,7 @@ import json
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.scratch import file_system
@@ -25,6 +25,8 @@ BUCKETS = 64
 STATE = "state-"
 #: What an index without any chunk reads as.
 CHUNKS = "chunk_id string, doc_id string, position int, text string"
+#: Chunks of a file at most.
+BATCH = 1 << 20
 #: What the folders of postings end with.
 TERMS = ".terms"
 
@@ -107,23 +109,27 @@ def _publish(spark: SparkSession, path: str, number: int, buckets: dict[str, str
             files.delete(status.getPath(), True)
 
 
-def _write(spark: SparkSession, path: str, rows: DataFrame) -> tuple[str, list[int]]:
-    """A fresh folder with ``rows`` in buckets, and the buckets that it has."""
-    name = f"data-{uuid.uuid4().hex}"
-    rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{name}")
+def _write(spark: SparkSession, path: str, rows: DataFrame, batch: int = BATCH) -> tuple[str, list[int], int]:
+    """A fresh folder with ``rows`` in buckets, the buckets that it has, and how many rows; these are counted as they are written."""
+    name, seen = f"data-{uuid.uuid4().hex}", Observation()
+    counted = rows.repartition("bucket").observe(seen, F.count(F.lit(1)).alias("rows"))
+    counted.write.option("maxRecordsPerFile", batch).partitionBy("bucket").parquet(f"{path}/{name}")
     if "text" in rows.columns:
         chunks = spark.read.schema(rows.schema).parquet(f"{path}/{name}")
         postings(chunks).repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/{name}{TERMS}")
     folder, files = file_system(spark, f"{path}/{name}")
-    return name, [int(f.getPath().getName().removeprefix("bucket=")) for f in files.listStatus(folder) if f.isDirectory()]
+    return name, [int(f.getPath().getName().removeprefix("bucket=")) for f in files.listStatus(folder) if f.isDirectory()], seen.get["rows"]
 
 
-def write_index(chunks: DataFrame, path: str) -> None:
-    """A new index, or a new state of an old one."""
+def write_index(chunks: DataFrame, path: str, batch: int = BATCH) -> int:
+    """A new index, or a new state of an old one, in files of ``batch`` chunks at most; how many chunks it has."""
+    if batch < 1:
+        raise ValueError("batch must be at least 1")
     spark = chunks.sparkSession
     number, _ = _state(spark, path)
-    name, buckets = _write(spark, path, bucketed(chunks))
+    name, buckets, written = _write(spark, path, bucketed(chunks), batch)
     _publish(spark, path, number, {str(b): name for b in buckets})
+    return written
 
 
 def open_index(spark: SparkSession, path: str, buckets: list[int] | None = None) -> DataFrame:
@@ -171,6 +177,6 @@ def replace_documents(spark: SparkSession, path: str, new: DataFrame, changed: D
     if state:
         base = open_index(spark, path, hit)
         rows = base.join(changed, "doc_id", "left_anti").select(base.columns).unionByName(rows.select(base.columns))
-    name, buckets = _write(spark, path, bucketed(rows))
+    name, buckets, _ = _write(spark, path, bucketed(rows))
     kept = {b: folder for b, folder in state.items() if int(b) not in hit}
     _publish(spark, path, number, kept | {str(b): name for b in buckets}, batch)

@@ -83,8 +83,12 @@ def test_postings_follow_the_index_on_disk(spark, tmp_path):
         assert {q: [c for c, _ in x] for q, x in got.items()} == {q: [c for c, _ in x] for q, x in want.items()}
         assert sorted(r.chunk_id for r in index.open_index(spark, path).collect()) == sorted(r[0] for r in rows)
 
-    index.write_index(frame(rows), path)
+    assert index.write_index(frame(rows), path, 5) == len(rows)
+    assert max(spark.read.parquet(f).count() for f in index.open_index(spark, path).inputFiles()[:20]) <= 5
     agrees(rows)
+    with pytest.raises(ValueError, match="at least 1"):
+        index.write_index(frame(rows), path, 0)
+    assert index.write_index(frame([]), f"{tmp_path}/none") == 0
     new = [("n1", "doc3", 0, "rare1 rare1 w1"), ("n2", "doc99", 0, "rare0 común")]
     index.replace_documents(spark, path, frame(new))
     rows = [r for r in rows if r[1] != "doc3"] + new
