@@ -29,6 +29,8 @@ from sextant.llm.common import discard, durable, keep_memory, trim_memory
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 #: Bytes of text that are learned from at most, in expectation over the hash, half of them toxic; tokens that train the field; stems that it has.
 TRAIN_BYTES, TRAIN_TOKENS, STEMS = 1 << 24, 1 << 20, 4096
+#: Bytes that a row counts for besides its text, so that short texts are bounded too.
+ROW_BYTES = 64
 #: Letters of a word's beginnings. Times as often that a stem occurs among the words of toxic documents as among others.
 BEGINNINGS, OFTEN = (8, 7, 6, 5, 4, 3), 4.0
 LEAST_DOCUMENTS = 3
@@ -166,11 +168,11 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most and toxic in (0, 1)")
     known = durable(known.filter(~held_out_fold(F.col("_id"))).select("_id", "toxic", (F.shiftrightunsigned(F.xxhash64("_id"), 1) / F.lit(2.0**63)).alias("place")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sizes = rows.select("doc_id", F.octet_length("text").alias("bytes")).join(known, F.col("doc_id") == F.col("_id")).groupBy("toxic").agg(F.sum("bytes").alias("bytes")).collect()
+    sizes = rows.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).alias("bytes")).join(known, F.col("doc_id") == F.col("_id")).groupBy("toxic").agg(F.sum("bytes").alias("bytes")).collect()
     shares = {r.toxic: min(1.0, TRAIN_BYTES / 2 / max(1, r.bytes or 0)) for r in sizes}
     share = F.when(F.col("toxic") == 1, shares.get(1, 1.0)).otherwise(shares.get(0, 1.0))
     wanted = known.withColumn("share", share).filter("place < share")
-    few = rows.join(F.broadcast(wanted) if wanted.limit(TRAIN_BYTES // 64).count() < TRAIN_BYTES // 64 else wanted, F.col("doc_id") == F.col("_id"))
+    few = rows.join(F.broadcast(wanted) if wanted.limit(TRAIN_BYTES // ROW_BYTES).count() < TRAIN_BYTES // ROW_BYTES else wanted, F.col("doc_id") == F.col("_id"))
     few = durable(few.select("doc_id", F.col("toxic").cast("int").alias("toxic"), (1 / F.col("share")).alias("weight"), "text"))
     one = few.withColumn("sketch", sketch(F.col("text"))).groupBy("sketch").agg(F.min(F.struct("doc_id", "toxic", "weight", "text")).alias("row"))
     out = durable(one.select("row.*"))
