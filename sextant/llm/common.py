@@ -5,11 +5,11 @@ from __future__ import annotations
 import ctypes
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.functions.scratch import discard, durable
+from sextant.functions.text import trim_memory
 
 __all__ = ["components", "discard", "durable", "join_roots", "keep_memory", "trim_memory"]
 #: Names of mallopt's parameters. Fixed values.
@@ -28,14 +28,6 @@ def keep_memory() -> None:
         library.mallopt(M_TRIM_THRESHOLD, 1 << 28)
 
 
-def trim_memory() -> None:
-    """Give what a worker has freed back to the system: workers are kept, and so would be their largest batch."""
-    pa.default_memory_pool().release_unused()
-    library = ctypes.CDLL(None)
-    if hasattr(library, "malloc_trim"):
-        library.malloc_trim(0)
-
-
 def join_roots(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Join the trees of i and j, pairwise; roots are the smallest members."""
     while len(i):

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sextant.functions.text import trim_memory
 from sextant.operators.evaluation import KEY_SECTIONS
-from sextant.operators.sections import LEAST_TEXT, fall_back, generic_sections, names_and_dates, page_at, section_url, sections
+from sextant.operators.sections import LEAST_TEXT, all_sections, by_document, page_at, section_url
 
 #: Sections up to LONGEST stay whole, others are split to SIZE with OVERLAP.
 LONGEST, SIZE, OVERLAP = 1500, 1000, 150
 SEPARATORS = ("\n\n", "\n", ". ", "; ", ", ", " ", "")
+#: Texts of which Python objects are made at once.
+ROWS = 128
 PIECES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType())]))
 
 
@@ -66,14 +70,51 @@ def located(text: str, size: int, overlap: int) -> list[dict]:
     return out
 
 
+def _cut(texts: pa.Array, size: int, overlap: int, longest: int | None) -> pa.Array:
+    """The pieces of each text as a list. Python objects are made for a few texts at once, as those of a batch take many times its bytes."""
+    out = []
+    for at in range(0, len(texts), ROWS):
+        some = texts.slice(at, ROWS)
+        starts, cuts, ends = [], [], [0]
+        for t in some.to_pylist():
+            if t is not None:
+                for p in [{"start": 0, "text": t}] if longest is not None and len(t) <= longest else located(t, size, overlap):
+                    starts.append(p["start"])
+                    cuts.append(p["text"])
+            ends.append(len(starts))
+        rows = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(cuts, pa.string())], names=["start", "text"])
+        out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows, mask=some.is_null()))
+    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.struct([("start", pa.int32()), ("text", pa.string())])))
+
+
 def pieces(text: Column, size: int = SIZE, overlap: int = OVERLAP, longest: int | None = None) -> Column:
-    """Array of (start, text); texts up to ``longest`` stay whole. An Arrow UDF: the merge is sequential."""
+    """Array of (start, text); texts up to ``longest`` stay whole. An Arrow UDF: the merge is sequential.
+
+    It is declared nondeterministic so that no filter that Spark derives computes it once more.
+    """
+
+    @F.arrow_udf(PIECES)
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield _cut(texts, size, overlap, longest)
+            trim_memory()
+
+    return cut.asNondeterministic()(text)
+
 
-    @F.pandas_udf(PIECES)
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else [{"start": 0, "text": t}] if longest is not None and len(t) <= longest else located(t, size, overlap))
+def pieces_of_all(texts: Column, size: int = SIZE, overlap: int = OVERLAP, longest: int | None = None) -> Column:
+    """The same for arrays of texts."""
 
-    return cut(text)
+    @F.arrow_udf(T.ArrayType(PIECES))
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            lists = lists.cast(pa.list_(pa.string()))
+            first = lists.offsets[0].as_py()
+            ends = pc.subtract(lists.offsets, first).cast(pa.int32())
+            yield pa.ListArray.from_arrays(ends, _cut(lists.flatten(), size, overlap, longest))
+            trim_memory()
+
+    return cut.asNondeterministic()(texts)
 
 
 def chunk_documents(lines: DataFrame, documents: DataFrame) -> DataFrame:
@@ -83,17 +124,19 @@ def chunk_documents(lines: DataFrame, documents: DataFrame) -> DataFrame:
     origin, file_name, name, ingredients, atc (the last three from the catalogue, or null).
     Sheets are cut by their sections, those with too few and other documents generically.
     """
-    typed = lines.join(documents.select("doc_id", "is_sheet", "markdown"), "doc_id")
-    numbered = fall_back(sections(typed.filter("is_sheet").select(lines.columns))).filter("is_sheet")
-    dated = names_and_dates(numbered).withColumnRenamed("name", "own_name")
-    cut = numbered.select("doc_id").distinct()
-    generic = generic_sections(typed.join(cut, "doc_id", "left_anti").select("doc_id", "page", "line", "text", "markdown"))
-    generic = generic.select("doc_id", "section_id", F.lit(1).cast("long").alias("product"), F.lit(None).cast("string").alias("number"), "title", "text", "first_page", F.array().cast("array<struct<start:int,page:int>>").alias("offsets"), F.lit(False).alias("sheet"))
-    kept = numbered.select("doc_id", "section_id", "product", "number", "title", "text", "first_page", F.col("offsets").cast("array<struct<start:int,page:int>>").alias("offsets"), F.lit(True).alias("sheet"))
-    every = kept.unionByName(generic).filter(F.length("text") >= LEAST_TEXT)
-    every = every.join(documents.drop("is_sheet", "markdown"), "doc_id").join(dated, ["doc_id", "product"], "left")
-    exploded = every.withColumn("cut", pieces(F.col("text"), SIZE, OVERLAP, LONGEST)).select("*", F.size("cut").alias("parts"), F.posexplode("cut").alias("part", "piece")).drop("cut")
-    position = F.row_number().over(Window.partitionBy("doc_id").orderBy("section_id", "part")) - 1
+    # The documents are dealt to where the lines lie, which are never moved again.
+    known = documents.hint("shuffle_hash")
+    typed = lines.join(known.select("doc_id", "is_sheet", "markdown"), "doc_id")
+    rows = by_document(all_sections(typed)).join(known.drop("is_sheet", "markdown"), "doc_id")
+    rows = rows.withColumn("sections", F.filter("sections", lambda s: F.length(s["text"]) >= LEAST_TEXT))
+    # A document is one row until it is cut, so its chunks are counted without another shuffle.
+    rows = rows.withColumn("cuts", pieces_of_all(F.transform("sections", lambda s: s["text"]), SIZE, OVERLAP, LONGEST))
+    rows = rows.withColumn("sections", F.transform("sections", lambda s: s.dropFields("text")))
+    each = rows.select("*", F.posexplode("sections").alias("at", "section")).drop("sections")
+    before = F.aggregate(F.slice("cuts", F.lit(1), F.col("at")), F.lit(0), lambda n, c: n + F.size(c))
+    each = each.select(*[c for c in documents.columns if c not in ("is_sheet", "markdown")], "section.*", before.alias("before"), F.get("cuts", "at").alias("cut"))
+    exploded = each.withColumn("parts", F.size("cut")).select("*", F.posexplode("cut").alias("part", "piece")).drop("cut")
+    position = F.col("before") + F.col("part")
     name = F.coalesce(F.nullif("own_name", F.lit("")), F.nullif("name", F.lit("")), "file_name")
     label = F.when(F.col("number").isNotNull(), F.concat_ws(" ", "number", "title")).otherwise(F.coalesce("title", F.lit("")))
     head = F.concat(F.lit("["), name, F.when(label != "", F.concat(F.lit(" · "), label)).otherwise(""), F.when(F.col("parts") > 1, F.format_string(" · parte %d/%d]", F.col("part") + 1, F.col("parts"))).otherwise("]"))
@@ -128,53 +171,60 @@ def chunk_documents(lines: DataFrame, documents: DataFrame) -> DataFrame:
 
 #: Bins of the histogram of lengths.
 BINS = 4096
-#: Characters of a bin in which chunks and sections meet.
-BIN = 1024
 #: Sizes of the fixed strategies; their overlap is the share. Fixed values.
 FIXED, FIXED_OVERLAP = {"fijo_500": 500, "fijo_1000": 1000}, 0.15
 
 
 def fixed_chunks(texts: DataFrame, strategy: str, size: int) -> DataFrame:
     """Chunks (strategy, doc_id, chunk, start, end) of whole texts (doc_id, text) by the recursive splitter."""
-    cut = texts.select("doc_id", F.posexplode(pieces(F.col("text"), size, round(size * FIXED_OVERLAP))).alias("chunk", "piece"))
-    return cut.select(F.lit(strategy).alias("strategy"), "doc_id", "chunk", F.col("piece.start").alias("start"), (F.col("piece.start") + F.length("piece.text")).alias("end"))
+    return all_fixed_chunks(texts, {strategy: size})
+
+
+def all_fixed_chunks(texts: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """The same for several strategies (name, size), where the texts lie."""
+    cuts = F.array(*[F.struct(F.lit(name).alias("strategy"), F.transform(pieces(F.col("text"), size, round(size * FIXED_OVERLAP)), lambda p: F.struct(p["start"].alias("start"), (p["start"] + F.length(p["text"])).alias("end"))).alias("pieces")) for name, size in sizes.items()])
+    return exploded_strategies(texts.select("doc_id", F.explode(cuts).alias("s")))
+
+
+def exploded_strategies(cut: DataFrame) -> DataFrame:
+    """A row for each piece of doc_id, s (strategy, pieces)."""
+    return cut.select("s.strategy", "doc_id", F.posexplode("s.pieces").alias("chunk", "piece")).select("strategy", "doc_id", "chunk", "piece.start", "piece.end")
 
 
 def overlapping(chunks: DataFrame, spans: DataFrame) -> DataFrame:
-    """``chunks`` (doc_id, start, end and others) with the number of each section that they overlap.
+    """``chunks`` (doc_id, start, end and others) with the numbers of the sections that they overlap.
 
-    An interval join within the document: both sides are dealt to bins of offsets, and a pair
-    is found in the bin in which the later of the two begins.
+    A document has each place of the template once at most, so its spans are one short array.
     """
-    bins = lambda start, end: F.explode(F.sequence(F.floor(F.col(start) / BIN), F.floor(F.greatest(F.col(end) - 1, F.col(start)) / BIN)))
-    s = spans.select("doc_id", F.col("start").alias("s0"), F.col("end").alias("s1"), "number").withColumn("bin", bins("s0", "s1"))
-    both = chunks.withColumn("bin", bins("start", "end")).join(s, ["doc_id", "bin"])
-    met = (F.col("s0") < F.col("end")) & (F.col("s1") > F.col("start")) & (F.col("bin") == F.floor(F.greatest("s0", "start") / BIN))
-    return both.filter(met).select(*chunks.columns, "number")
+    s = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "number")).alias("spans"))
+    met = F.filter("spans", lambda x: (x["start"] < F.col("end")) & (x["end"] > F.col("start")))
+    numbers = F.array_distinct(F.transform(met, lambda x: x["number"]))
+    return chunks.join(s.hint("shuffle_hash"), "doc_id", "left").select(*chunks.columns, F.coalesce(numbers, F.array().cast("array<string>")).alias("numbers"))
 
 
 def strategy_metrics(chunks: DataFrame, spans: DataFrame) -> DataFrame:
-    """Per strategy: chunks, mean size (floor), share of chunks in several sections, share of key sections in one chunk."""
-    parts = [*("strategy", "doc_id", "chunk")]
+    """Per strategy: chunks, mean size (floor), share of chunks in several sections, share of key sections in one chunk.
+
+    Both sides are dealt by document, and each is computed once.
+    """
     touched = overlapping(chunks, spans)
-    mixed = touched.groupBy(*parts).agg(F.count_distinct("number").alias("n")).groupBy("strategy").agg(F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("mixed"))
-    keys = touched.filter(F.col("number").isin(*KEY_SECTIONS)).groupBy("strategy", "doc_id", "number").agg(F.count_distinct("chunk").alias("n"))
-    keys = keys.groupBy("strategy").agg(F.count("*").alias("touched"), F.sum(F.when(F.col("n") <= 1, 1).otherwise(0)).alias("kept"))
-    base = chunks.groupBy("strategy").agg(F.count("*").alias("chunks"), F.sum(F.col("end") - F.col("start")).alias("size"), F.count_distinct("doc_id").alias("docs"))
-    rows = base.join(mixed, "strategy", "left").join(keys, "strategy", "left")
+    keys = [(f"key_{i}", F.array_contains("numbers", k)) for i, k in enumerate(KEY_SECTIONS)]
+    each = touched.groupBy("doc_id", "strategy", "chunk").agg(F.count("*").alias("rows"), F.sum(F.col("end") - F.col("start")).alias("size"), F.max(F.size("numbers") > 1).cast("int").alias("mixed"), *[F.max(has).cast("int").alias(k) for k, has in keys])
+    per = each.groupBy("doc_id", "strategy").agg(*[F.sum(c).alias(c) for c in ("rows", "size", "mixed", *(k for k, _ in keys))])
+    broken = sum((F.col(k) > 1).cast("int") for k, _ in keys)
+    rows = per.groupBy("strategy").agg(F.sum("rows").alias("chunks"), F.sum("size").alias("size"), F.sum("mixed").alias("mixed"), F.count("doc_id").alias("docs"), F.sum(broken).alias("broken"))
     # A key section counts for every document, also one that no chunk touches.
     total = F.col("docs") * len(KEY_SECTIONS)
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return rows.select("strategy", "chunks", F.expr("size div chunks").alias("mean_size"), F.round(100 * zero("mixed") / F.col("chunks"), 4).alias("mixed_percent"), F.round(100 * (total - zero("touched") + zero("kept")) / total, 4).alias("whole_key_percent"))
+    return rows.select("strategy", "chunks", F.expr("size div chunks").alias("mean_size"), F.round(100 * F.col("mixed") / F.col("chunks"), 4).alias("mixed_percent"), F.round(100 * (total - F.col("broken")) / total, 4).alias("whole_key_percent"))
 
 
 def section_metrics(chunks: DataFrame) -> DataFrame:
     """The same row for chunks cut by section (doc_id, section, parts, text): none is mixed, and a key section is whole if it has one part."""
+    per = chunks.groupBy("doc_id", "section").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("size"), F.max("parts").alias("parts"))
     key = F.col("section").isin(*KEY_SECTIONS)
-    whole = chunks.filter(key).groupBy("doc_id", "section").agg(F.max("parts").alias("parts")).agg(F.count("*").alias("keys"), F.count(F.when(F.col("parts") == 1, 1)).alias("kept"))
-    base = chunks.agg(F.count("*").alias("chunks"), F.expr("sum(length(text)) div count(*)").alias("mean_size"))
+    one = per.agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"), F.sum("size").alias("size"), F.count(F.when(key, 1)).alias("keys"), F.count(F.when(key & (F.col("parts") == 1), 1)).alias("kept"))
     share = F.coalesce(F.round(100 * F.col("kept") / F.nullif("keys", F.lit(0)), 4), F.lit(0.0))
-    return base.join(F.broadcast(whole)).select(F.lit("por_seccion").alias("strategy"), "chunks", F.coalesce("mean_size", F.lit(0).cast("long")).alias("mean_size"), F.lit(0.0).alias("mixed_percent"), share.alias("whole_key_percent"))
+    return one.select(F.lit("por_seccion").alias("strategy"), "chunks", F.coalesce(F.expr("size div nullif(chunks, 0)"), F.lit(0).cast("long")).alias("mean_size"), F.lit(0.0).alias("mixed_percent"), share.alias("whole_key_percent"))
 
 
 def run_summary(chunks: DataFrame) -> DataFrame:

@@ -310,8 +310,9 @@ def fixed_chunks(spark, sf_dir):
 def _strategy(spark, sf_dir):
     lines = frame(spark, sf_dir, "sheet_lines")
     whole = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    of = lambda name, size, overlap: whole.select(F.lit(name).alias("strategy"), "doc_id", F.explode(_windows(F.col("text"), size, overlap)).alias("w")).select("strategy", "doc_id", "w.*")
-    return of("fixed_100", 100, 15).unionByName(of("fixed_200", 200, 30)), sections.section_spans(lines)
+    of = lambda name, size, overlap: F.struct(F.lit(name).alias("strategy"), F.transform(_windows(F.col("text"), size, overlap), lambda w: F.struct(w["start"], w["end"])).alias("pieces"))
+    cut = whole.select("doc_id", F.explode(F.array(of("fixed_100", 100, 15), of("fixed_200", 200, 30))).alias("s"))
+    return chunking.exploded_strategies(cut), sections.section_spans(lines)
 
 
 @query(f"""WITH {_SPANS}, w AS (SELECT doc_id, sum(length(text) + 1) - 1 AS n FROM l GROUP BY 1),
@@ -769,8 +770,8 @@ def strategy_comparison(spark, sf_dir):
     """The fixed sizes by the recursive splitter and the cut by section, over sheets of which each line is long."""
     lines = _long_lines(spark, sf_dir)
     whole = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    fixed = [chunking.fixed_chunks(whole, name, size) for name, size in chunking.FIXED.items()]
-    return chunking.strategy_metrics(fixed[0].unionByName(fixed[1]), sections.section_spans(lines)).unionByName(chunking.section_metrics(_sheet_chunks(spark, sf_dir, lines)))
+    fixed = chunking.all_fixed_chunks(whole, chunking.FIXED)
+    return chunking.strategy_metrics(fixed, sections.section_spans(lines)).unionByName(chunking.section_metrics(_sheet_chunks(spark, sf_dir, lines)))
 
 
 _READ = "SELECT conv_id AS doc_id, turn + 1 AS page, text, CASE WHEN conv_id % 7 = 0 THEN 'blank' END AS error FROM conversations"
