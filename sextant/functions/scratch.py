@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,20 @@ def durable(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows of a task, of those that a row becomes. Tables of short values take few bytes, so tasks by bytes would get ever more rows.
+TASK_ROWS = 250_000
+
+
+def tasks_for(table: DataFrame, times: int) -> int:
+    """Tasks for what becomes of ``table``, each row of which becomes ``times`` rows."""
+    return max(1, ceil(table.count() * times / TASK_ROWS))
+
+
+def spread(table: DataFrame, key: str, times: int) -> DataFrame:
+    """``table``, of which every row becomes ``times`` rows, dealt by ``key`` to as many tasks as its rows need."""
+    return table.repartition(tasks_for(table, times), key)
+
+
 @contextmanager
 def passing() -> Iterator[list[DataFrame]]:
     """Tables that ``durable`` writes meanwhile are removed at the end, but for those put into the list."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sextant.functions.scratch import tasks_for
 from sextant.functions.text import match_form, upper_form
 
 #: First words of names that are no brands. Fixed values.
@@ -45,7 +46,8 @@ def find_medications(questions: DataFrame, catalogue: DataFrame) -> DataFrame:
     asked = questions.select("question_id", F.split(match_form(F.col("text")), " ").alias("q")).join(F.broadcast(lengths))
     grams = F.flatten(F.transform("lengths", lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.size("q")), lambda i: i + n - 1 <= F.size("q")), lambda i: F.array_join(F.slice("q", i, n), " "))))
     phrases = asked.select("question_id", F.explode(F.array_distinct(grams)).alias("alias"))
-    found = phrases.join(every, "alias")
+    # Dealt by the number of questions: the mentions take few bytes, so Spark would give a task ever more of them.
+    found = phrases.join(every, "alias").repartition(tasks_for(questions, 16), "question_id")
     best = Window.partitionBy("question_id", "register").orderBy(F.desc("words"), F.desc(F.length("alias")), "row", "at")
     first = F.min("row").over(Window.partitionBy("question_id", "register"))
     one = found.withColumn("best", F.row_number().over(best)).withColumn("first", first).filter("best = 1")

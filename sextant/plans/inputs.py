@@ -6,10 +6,11 @@ Each is a SELECT over the driver's tables. ``sql`` gives the text, ``frame`` the
 from __future__ import annotations
 
 import re
-from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sextant.functions.scratch import spread
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 #: Lines of a sheet for each part: page, line, expression.
@@ -67,13 +68,8 @@ def sql(name: str) -> str:
     return INPUTS[name].replace("AS STRING)", "AS VARCHAR)")
 
 
-#: Derived rows of a task. Tables of short values take few bytes, so tasks by bytes would get ever more rows.
-TASK_ROWS = 250_000
-
-
-def spread(table: DataFrame, key: str, times: int) -> DataFrame:
-    """``table``, of which every row becomes ``times`` rows, dealt by ``key`` to as many tasks as its rows need."""
-    return table.repartition(max(1, ceil(table.count() * times / TASK_ROWS)), key)
+#: Inputs of which a row of parts becomes so many rows (of a question: phrases and mentions); all that become of it stay together.
+TIMES = {"sheet_lines": len(SHEET), "questions": 16, "asked": 16}
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,8 +82,8 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         rows = ", ".join(f"named_struct('page', {p}, 'line', {n}, 'text', {e})" for p, n, e in SHEET)
         text = f"SELECT p_partkey AS doc_id, s.page, s.line, s.text FROM part LATERAL VIEW explode(array({rows})) AS s"
     tables = {t: frame(spark, sf_dir, t) for t in used}
-    if name == "sheet_lines":  # a document's lines stay together
-        tables["part"] = spread(tables["part"], "p_partkey", len(SHEET))
+    if name in TIMES:
+        tables["part"] = spread(tables["part"], "p_partkey", TIMES[name])
     for t in used:
         text = re.sub(rf"\bFROM {t}\b", f"FROM {{{t}}}", text)
     return spark.sql(text, **tables)
