@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import text as tx
-from sextant.functions.scratch import durable, scratch_folder
+from sextant.functions.scratch import durable, scratch_folder, spread
 from sextant.operators import answers, chunking, cleaning, embedding, entities, evaluation, index, ingest, lexical, masking, retrieval, search, sections
 from sextant.plans import splitting
 from sextant.plans.inputs import frame, sql
@@ -814,7 +814,8 @@ def pages_cleaned(spark, sf_dir):
     """Lone markers, open references, wrapped lines, hyphens and cut titles, where SQL can state the result."""
     lines = ["4.2.", "", F.concat(F.lit("Dosis  "), "p_brand"), "•", F.col("p_name"), "según la sección", "4.3.", F.concat(F.lit("Texto "), F.repeat(F.lit("x"), F.col("p_size") + 40)), "48 horas", "exten-", "sa", ", (y más)", "9. FECHA DE LA", "AUTORIZACIÓN", "7. TITULAR", F.upper("p_name"), "", "", "", "Fin —"]
     text = F.array_join(F.array(*[F.lit(x) if isinstance(x, str) else x for x in lines]), "\n")
-    return cleaning.clean_pages(frame(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
+    part = spread(frame(spark, sf_dir, "part"), "p_partkey", len(lines))  # Python's work goes by rows
+    return cleaning.clean_pages(part.select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
 
 
 _VECTOR = """SELECT {id} AS id, list_transform(range(64), lambda d: coalesce(len(list_filter(hit, lambda x: x = d)), 0)) AS v FROM (SELECT {id}, list_transform(regexp_extract_all(lower(text), '[\\pL\\pN_]+'), lambda w: ('0x' || right(md5(w), 7))::BIGINT % 64) AS hit FROM {table})"""

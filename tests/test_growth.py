@@ -5,6 +5,7 @@ import os
 import pytest
 
 from sextant import catalogue
+from sextant.functions import scratch
 from sextant.operators import chunking, sections
 from sextant.plans import inputs
 
@@ -17,7 +18,7 @@ def plan(df) -> str:
 
 
 def test_lines_of_sheets_are_dealt_by_rows_and_sorted_once(spark, monkeypatch):
-    monkeypatch.setattr(inputs, "TASK_ROWS", 500)
+    monkeypatch.setattr(scratch, "TASK_ROWS", 500)
     lines = inputs.frame(spark, SF, "sheet_lines")
     rows = lines.count()
     assert lines.rdd.getNumPartitions() == -(-rows // 500) > 4
@@ -47,3 +48,16 @@ def test_a_text_is_cut_once(spark):
     cut = docs.withColumn("cut", chunking.pieces(F.col("text"))).select("doc_id", F.size("cut").alias("parts"), F.posexplode("cut").alias("part", "piece"))
     assert plan(cut).count("ArrowEvalPython") == 1
     assert {(r.doc_id, r.parts) for r in cut.collect()} == {("a", len(chunking.split_text("One. " * 900)))}
+
+
+def test_mentions_are_dealt_by_questions(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "TASK_ROWS", 100)
+    df = catalogue.QUERIES["detect_one"](spark, SF)
+    tasks = -(-inputs.frame(spark, SF, "part").count() * 16 // 100)
+    assert f"{tasks}), REPARTITION_BY_NUM" in plan(df)
+    assert sum(f"Exchange hashpartitioning(question_id" in x for x in plan(df).splitlines()) <= 1
+
+
+def test_short_rows_with_much_work_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "TASK_ROWS", 100)
+    assert catalogue.QUERIES["pages_cleaned"](spark, SF).rdd.getNumPartitions() == -(-inputs.frame(spark, SF, "part").count() * 20 // 100)
