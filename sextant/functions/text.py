@@ -6,9 +6,9 @@ import ctypes
 import re
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -97,9 +97,16 @@ def trimmed(text: Column) -> Column:
 FIRST_COMPOSED = "\\u0300"
 
 
-@F.pandas_udf(T.StringType())
-def _composed(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+#: Texts of which Python objects are made at once.
+ROWS = 128
+
+
+@F.arrow_udf(T.StringType())
+def _composed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        parts = [pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.slice(at, ROWS).to_pylist()], pa.string()) for at in range(0, len(texts), ROWS)]
+        yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+        trim_memory()
 
 
 def composed(text: Column) -> Column:
