@@ -5,7 +5,9 @@ postings, how many they are, the largest count and the smallest chunk: whatever
 mean size is or becomes, no chunk of the block can weigh more for the term than such a
 posting would. A search adds up these bounds by question and block, opens the blocks of the
 highest bounds first, and then all that can still reach the k-th score found: the result is
-exact. Only postings of asked terms in opened blocks are read.
+exact. Only postings of asked terms in opened blocks are read. They meet the block's questions
+in one task, which returns the best chunks of each question only: single weights are never
+shuffled.
 
 The postings lie in buckets of their documents, so the index on disk changes with the chunks'
 buckets (see ``index``); document frequencies and sizes are sums over the buckets.
@@ -31,6 +33,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 BLOCK_CHUNKS, FIRST = 128, 4
 #: Below this, two ways of adding up the same weights differ.
 ROUNDING = 1e-7
+#: Scores, or weights of questions, that a task holds at once.
+CELLS = 1 << 21
 #: The term under which a block's number of chunks and their words are kept; no token is empty.
 ALL = ""
 
@@ -99,6 +103,8 @@ class Search:
         asked = questions.select("question_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
         #: The questions' words with their weights; a repeated word counts again.
         self.asked = durable(asked.join(raw, "term").select("question_id", "term", (F.col("times") * F.when(F.col("raw") < 0, F.lit(least)).otherwise(F.col("raw"))).alias("idf")))
+        #: A number for each of them.
+        self.terms = durable(self.asked.select("term").distinct().withColumn("number", F.monotonically_increasing_id()))
 
     def bounds(self) -> DataFrame:
         """question_id, bucket, block, bound: what no chunk of the block exceeds."""
@@ -106,17 +112,54 @@ class Search:
         most = F.greatest(F.lit(0.0), F.col("idf") * _weight(F.col("most"), F.col("least"), self.mean))
         return light.groupBy("question_id", "bucket", "block").agg(F.sum(most).alias("bound"))
 
-    def opened(self, pairs: DataFrame) -> DataFrame:
-        """question_id, chunk_id, score above zero of all chunks in ``pairs`` (question_id, bucket, block)."""
-        wanted = pairs.select("question_id", "bucket", "block").join(self.asked, "question_id")
-        hits = self.rows.select("bucket", "block", "term", "entries").join(wanted, ["bucket", "block", "term"])
-        each = hits.select("question_id", "idf", F.explode("entries").alias("e")).select("question_id", "e.chunk_id", (F.col("idf") * _weight(F.col("e.tf"), F.col("e.size"), self.mean)).alias("w"))
-        return each.groupBy("question_id", "chunk_id").agg(F.round(F.sum("w"), 8).alias("score")).filter("score > 0")
+    def opened(self, pairs: DataFrame, k: int) -> DataFrame:
+        """question_id, chunk_id, score above zero in ``pairs`` (question_id, bucket, block): of each pair the ``k`` best chunks, and those that rounding can tie with them."""
+        words = self.asked.join(self.terms, "term").groupBy("question_id").agg(F.collect_list(F.struct("number", "idf")).alias("words"))
+        wanted = pairs.select("question_id", "bucket", "block").join(words, "question_id").select(F.col("bucket").alias("of_bucket"), F.col("block").alias("of_block"), "question_id", F.col("words.number").alias("numbers"), F.col("words.idf").alias("idfs"))
+        hits = self.rows.select("bucket", "block", "term", "entries").join(self.terms, "term").join(pairs.select("bucket", "block").distinct(), ["bucket", "block"], "left_semi")
+        hits = hits.select("bucket", "block", "number", *[F.col(f"entries.{c}").alias(c) for c in ("chunk_id", "tf", "size")])
+        schema = T.StructType([pairs.schema["question_id"], T.StructField("chunk_id", hits.schema["chunk_id"].dataType.elementType), T.StructField("score", T.DoubleType())])
+        kinds = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
+        mean = self.mean
+
+        def flat(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+            """The members of the lists, and whose they are."""
+            lists = column.combine_chunks()
+            return lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+
+        def best(postings: pa.Table, questions: pa.Table) -> pa.Table:
+            if not len(postings) or not len(questions):
+                return kinds.empty_table()
+            ids, row = flat(postings["chunk_id"])
+            coded = ids.dictionary_encode()
+            tf, size = (flat(postings[c])[0].to_numpy().astype(float) for c in ("tf", "size"))
+            weights = np.zeros((len(postings), len(coded.dictionary)))
+            weights[row, coded.indices.to_numpy()] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+            numbers = postings["number"].to_numpy()
+            order = np.argsort(numbers)
+            step, out = max(1, CELLS // max(weights.shape)), []
+            for at in range(0, len(questions), step):
+                some = questions.slice(at, step)
+                asked, owner = flat(some["numbers"])
+                asked, idf = asked.to_numpy(), flat(some["idfs"])[0].to_numpy()
+                place = order[np.minimum(np.searchsorted(numbers, asked, sorter=order), len(order) - 1)]
+                there = numbers[place] == asked
+                used, column = np.unique(place[there], return_inverse=True)
+                of = np.zeros((len(some), len(used)))
+                of[owner[there], column] = idf[there]
+                scores = of @ weights[used]
+                floor = np.partition(scores, -k, 1)[:, -k, None] - ROUNDING if scores.shape[1] > k else -np.inf
+                q, c = np.nonzero((scores > 0) & (scores >= floor))
+                out.append(pa.Table.from_arrays([some["question_id"].take(pa.array(q)), coded.dictionary.take(pa.array(c)), pa.array(scores[q, c])], schema=kinds))
+            return pa.concat_tables(out)
+
+        found = hits.groupBy("bucket", "block").cogroup(wanted.groupBy("of_bucket", "of_block")).applyInArrow(best, schema)
+        return found.withColumn("score", F.round("score", 8)).filter("score > 0")
 
     def plan(self, k: int, first: int = FIRST) -> tuple[DataFrame, DataFrame]:
         """What the first blocks give, and the other (question_id, bucket, block) that have to be opened."""
         bounds = durable(self.bounds().withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("bound"), "bucket", "block"))))
-        seen = durable(self.opened(bounds.filter(F.col("place") <= first)))
+        seen = durable(self.opened(bounds.filter(F.col("place") <= first), k))
         place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score")))
         floors = seen.withColumn("place", place).filter(F.col("place") == k).select("question_id", F.col("score").alias("floor"))
         rest = bounds.filter(F.col("place") > first).join(floors, "question_id", "left")
@@ -128,7 +171,7 @@ def search_terms(questions: DataFrame, rows: DataFrame, k: int = 5, first: int =
     search = Search(questions, rows)
     seen, rest = search.plan(k, first)
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
-    return seen.union(search.opened(rest)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return seen.union(search.opened(rest, k)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def bm25(questions: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:

@@ -65,6 +65,20 @@ def test_blocks_that_cannot_reach_the_floor_stay_closed(spark):
     assert rest.count() < 0.5 * every
 
 
+def test_an_opened_block_gives_the_best_chunks_of_a_question_only(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "CELLS", 500, raising=False)  # several rounds of questions a block
+    frame = spark.createDataFrame([(*c, 0) for c in texts(1500)], "chunk_id string, text string, bucket int")
+    asked = spark.createDataFrame([(i, f"w{i} w{i + 1} w1 w2") for i in range(20)], "question_id int, text string")
+    search = lexical.Search(asked, durable(lexical.postings(frame)))
+    pairs = search.bounds()
+    found = search.opened(pairs, 3).collect()
+    assert len(found) <= 4 * pairs.count()
+    want = plain_bm25([(i, f"w{i} w{i + 1} w1 w2") for i in range(20)], texts(1500), 3)
+    for q, rows in want.items():
+        got = sorted(((r.chunk_id, r.score) for r in found if r.question_id == q), key=lambda x: (-x[1], x[0]))[:3]
+        assert [c for c, _ in got] == [c for c, _ in rows] and [s for _, s in got] == pytest.approx([s for _, s in rows], abs=1e-7)
+
+
 def test_an_index_of_nothing(spark):
     none = spark.createDataFrame([], "chunk_id string, text string")
     asked = spark.createDataFrame(QUESTIONS, "question_id string, text string")
