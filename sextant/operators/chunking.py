@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -71,20 +71,26 @@ def located(text: str, size: int, overlap: int) -> list[dict]:
 
 
 def _cut(texts: pa.Array, size: int, overlap: int, longest: int | None) -> pa.Array:
-    """The pieces of each text as a list. Python objects are made for a few texts at once, as those of a batch take many times its bytes."""
-    out = []
-    for at in range(0, len(texts), ROWS):
-        some = texts.slice(at, ROWS)
-        starts, cuts, ends = [], [], [0]
-        for t in some.to_pylist():
-            if t is not None:
-                for p in [{"start": 0, "text": t}] if longest is not None and len(t) <= longest else located(t, size, overlap):
-                    starts.append(p["start"])
-                    cuts.append(p["text"])
-            ends.append(len(starts))
-        rows = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(cuts, pa.string())], names=["start", "text"])
-        out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows, mask=some.is_null()))
-    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.struct([("start", pa.int32()), ("text", pa.string())])))
+    """The pieces of each text as a list."""
+    starts, cuts, ends = [], [], [0]
+    for t in texts:
+        t = t.as_py()
+        if t is not None:
+            for p in [{"start": 0, "text": t}] if longest is not None and len(t) <= longest else located(t, size, overlap):
+                starts.append(p["start"])
+                cuts.append(p["text"])
+        ends.append(len(starts))
+    rows = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(cuts, pa.string())], names=["start", "text"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows, mask=texts.is_null())
+
+
+def _by_few(batches: Iterator[pa.Array], cut: Callable[[pa.Array], pa.Array]) -> Iterator[pa.Array]:
+    """``cut`` of a few rows at once, each result sent off before the next: a task never holds what a batch becomes."""
+    for rows in batches:
+        for at in range(0, len(rows), ROWS):
+            yield cut(rows.slice(at, ROWS))
+        del rows  # before the next is read
+        trim_memory()
 
 
 def pieces(text: Column, size: int = SIZE, overlap: int = OVERLAP, longest: int | None = None) -> Column:
@@ -95,9 +101,7 @@ def pieces(text: Column, size: int = SIZE, overlap: int = OVERLAP, longest: int
 
     @F.arrow_udf(PIECES)
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield _cut(texts, size, overlap, longest)
-            trim_memory()
+        return _by_few(batches, lambda texts: _cut(texts, size, overlap, longest))
 
     return cut.asNondeterministic()(text)
 
@@ -107,12 +111,13 @@ def pieces_of_all(texts: Column, size: int = SIZE, overlap: int = OVERLAP, longe
 
     @F.arrow_udf(T.ArrayType(PIECES))
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for lists in batches:
+        def each(lists: pa.Array) -> pa.Array:
             lists = lists.cast(pa.list_(pa.string()))
             first = lists.offsets[0].as_py()
             ends = pc.subtract(lists.offsets, first).cast(pa.int32())
-            yield pa.ListArray.from_arrays(ends, _cut(lists.flatten(), size, overlap, longest))
-            trim_memory()
+            return pa.ListArray.from_arrays(ends, _cut(lists.flatten(), size, overlap, longest))
+
+        return _by_few(batches, each)
 
     return cut.asNondeterministic()(texts)
 

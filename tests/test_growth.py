@@ -61,3 +61,14 @@ def test_mentions_are_dealt_by_questions(spark, monkeypatch):
 def test_short_rows_with_much_work_are_dealt_by_rows(spark, monkeypatch):
     monkeypatch.setattr(scratch, "TASK_ROWS", 100)
     assert catalogue.QUERIES["pages_cleaned"](spark, SF).rdd.getNumPartitions() == -(-inputs.frame(spark, SF, "part").count() * 20 // 100)
+
+
+def test_pieces_of_a_batch_are_sent_off_a_few_texts_at_once():
+    import pyarrow as pa
+    from sextant.operators import chunking
+
+    texts = pa.array([None if i % 7 == 3 else f"Text {i}. " * (i % 400) for i in range(1000)])
+    parts = list(chunking._by_few(iter([texts, texts[:5], texts[:0]]), lambda t: chunking._cut(t, 1000, 150, None)))
+    assert max(map(len, parts)) <= chunking.ROWS and max(p.nbytes for p in parts) < 0.4 * texts.nbytes
+    want = [None if t is None else chunking.located(t, 1000, 150) for t in texts.to_pylist()]
+    assert [x for p in parts for x in p.to_pylist()] == want + want[:5]
