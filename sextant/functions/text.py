@@ -35,6 +35,8 @@ LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 #: Words that the lexical ranking leaves out. Fixed values.
 STOP_WORDS = ("de", "la", "el", "en", "y", "a", "los", "las", "un", "una", "por", "con", "para", "se", "que", "es", "del", "al", "lo", "su", "o", "como")
 TOKEN, _STOPS = re.compile("[a-z0-9]+"), frozenset(STOP_WORDS)
+#: What folding can change; a table of code points is slow on what it leaves as it is.
+_BEYOND = re.compile("[^\\x00-\\x7f]+")
 CONTROL_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 
 # Latin letters and compatibility forms whose decomposition has one base character, from the Unicode data; longer ones are replaced one by one.
@@ -79,7 +81,7 @@ def _folding() -> dict[int, str | None]:
 def tokens_of(text: str) -> list[str]:
     """The same as ``tokens``, for text that is in a Python task anyway."""
     lower = text.lower()
-    folded = lower if lower.isascii() else lower.translate(_folding())
+    folded = lower if lower.isascii() else _BEYOND.sub(lambda m: m.group().translate(_folding()), lower)
     return [t for t in TOKEN.findall(folded) if t not in _STOPS]
 
 

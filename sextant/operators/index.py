@@ -116,7 +116,7 @@ def _write(spark: SparkSession, path: str, rows: DataFrame, batch: int = BATCH)
     counted.write.option("maxRecordsPerFile", batch).partitionBy("bucket").parquet(f"{path}/{name}")
     if "text" in rows.columns:
         chunks = spark.read.schema(rows.schema).parquet(f"{path}/{name}")
-        postings(chunks).repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/{name}{TERMS}")
+        postings(chunks, whole_buckets=True).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/{name}{TERMS}")
     folder, files = file_system(spark, f"{path}/{name}")
     return name, [int(f.getPath().getName().removeprefix("bucket=")) for f in files.listStatus(folder) if f.isDirectory()], seen.get["rows"]
 

@@ -39,13 +39,14 @@ CELLS = 1 << 21
 ALL = ""
 
 
-def postings(chunks: DataFrame, block_chunks: int = BLOCK_CHUNKS) -> DataFrame:
+def postings(chunks: DataFrame, block_chunks: int = BLOCK_CHUNKS, whole_buckets: bool = False) -> DataFrame:
     """The index's rows of ``chunks`` (chunk_id, bucket, text): bucket, block, term, df, most, least, words, entries (chunk_id, tf, size).
 
     Chunks without text have none. ``most`` is the largest tf of the entries, ``least`` their
     smallest size, ``words`` the sum of their sizes. The row of term "" has all chunks of the
     block, but no entries. The texts are shuffled once, by block; a block is put together
-    where its chunks arrive.
+    where its chunks arrive. With ``whole_buckets`` they are shuffled by bucket, so all rows
+    of a bucket come from one task.
     """
     chunks = chunks.filter("text is not null").select("chunk_id", F.col("bucket").cast("int").alias("bucket"), "text")
     sizes = chunks.groupBy("bucket").agg(F.ceil(F.count("*") / block_chunks).alias("blocks"))
@@ -82,7 +83,7 @@ def postings(chunks: DataFrame, block_chunks: int = BLOCK_CHUNKS) -> DataFrame:
         if ids:
             yield block_rows(last, ids, words)
 
-    return placed.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(work, schema)
+    return placed.repartition(*["bucket"] if whole_buckets else ["bucket", "block"]).sortWithinPartitions("bucket", "block").mapInArrow(work, schema)
 
 
 def _weight(tf: Column, size: Column, mean: float) -> Column:

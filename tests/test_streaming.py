@@ -56,6 +56,27 @@ def test_events_take_effect_once_and_a_restart_goes_on(spark, tmp_path, monkeypa
     assert index.applied(spark, path) == {"documents": 2, "other": 0} and len(content(spark, path)) == 2
 
 
+def test_postings_of_a_bucket_are_sorted_where_they_are_made(spark):
+    chunks = spark.createDataFrame([(f"c{i}", i % 5, f"w{i % 9} máximo {i}") for i in range(400)], "chunk_id string, bucket int, text string")
+    made = lexical.postings(chunks, 8, whole_buckets=True)
+    tasks = made.select("bucket", F.spark_partition_id().alias("task")).distinct()
+    assert tasks.groupBy("bucket").count().filter("count > 1").isEmpty() and made.select("block").distinct().count() > 5
+    row = lambda r: (r.bucket, r.block, r.term, r.df, r.most, r.least, r.words, sorted(tuple(e) for e in r.entries))
+    assert sorted(map(row, made.collect())) == sorted(map(row, lexical.postings(chunks, 8).collect()))
+    sorted_ = made.sortWithinPartitions("bucket", "term", "block")
+    assert sorted_._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # the texts, and the buckets' sizes
+
+
+def test_tokens_in_a_task_are_those_of_the_expression(spark):
+    from sextant.functions import text as tx
+
+    texts = ["Ñandú MÁXIMA ﬁn ½ Straße", "İstanbul ΑΣ x", "é́e\u0301 日本12語ab", "", "plain de la text 9", "a\u0301\u0302b Ǆc ꜳ"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", tx.tokens(F.col("text")).alias("t")).collect()
+    plain = lambda t: [w for w in tx.TOKEN.findall(t.lower().translate(tx._folding())) if w not in tx.STOP_WORDS]
+    assert [tx.tokens_of(r.text) for r in rows] == [plain(r.text) for r in rows]
+    assert tx.tokens_of(texts[0]) == rows[0].t
+
+
 def test_hashed_vectors_against_their_definition(spark):
     texts = [(1, "Dosis de paracetamol, dosis MÁXIMA"), (2, ""), (3, None), (4, "¿¡ !?"), (5, "a_b 12 " * 500)]
 
