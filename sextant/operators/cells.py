@@ -2,14 +2,16 @@
 
 A vector c of a cell with centroid m and radius r has q.c = q.m + q.(c - m) <= q.m + |q| r
 for every question q. The cells of the highest bounds are opened first; the k-th score that
-they give closes all cells below it, and the others are opened too, so the result is exact.
-An opened cell meets its questions in blocks of bounded size on both sides, all questions in
-one pass, whatever their number.
+they give closes all cells below it, and the others are opened, so the result is exact.
+Cells are put together into blocks. A question is sent once to each block in which it opens a
+cell, and a block once to each group of its questions, both of bounded size; what a task
+shuffles on is the best ``k`` of a question only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +19,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sextant.functions.scratch import durable
 
-#: Vectors that centroids are fitted on, by hash; rounds of it; the most cells. A cell's vectors are dealt to blocks, and so are the questions that open it.
-SAMPLE, ROUNDS, CELLS, CHUNKS, QUESTIONS = 8192, 4, 1024, 4096, 1024
+#: Vectors that centroids are fitted on, by hash; rounds of it; the most cells.
+SAMPLE, ROUNDS, CELLS = 8192, 4, 1024
+#: Components of a block of chunks, and of a group of questions that meet it in a task: 32,768 and 16,384 vectors of length 64. Shorter vectors than ``LEAST`` count as so long.
+CHUNKS, QUESTIONS, LEAST = 1 << 21, 1 << 20, 32
+#: Vectors on either side that are multiplied at once.
+STRIP = 1024
 #: Cells that a question opens before any floor is known.
 FIRST = 2
-#: Below this, two ways of adding up the same products differ.
+#: Below this, two ways of adding up the same products differ, for vectors of length 1.
 ROUNDING = 1e-9
 
 
@@ -38,6 +45,10 @@ def matrices(table: pa.Table | pa.RecordBatch, vector: str) -> Iterator[tuple[pa
         yield own, flat.astype(np.float64).reshape(len(own), int(dim))
 
 
+def _length(v: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.square(v).sum(1))
+
+
 def _nearest(v: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return (v @ centroids.T - 0.5 * np.square(centroids).sum(1)).argmax(1)
 
@@ -74,83 +85,201 @@ class Cells:
                 for rows, v in matrices(batch, "c"):
                     m = shared.value.get(v.shape[1], np.zeros((1, v.shape[1])))  # a length that the sample lacks is one cell
                     at = _nearest(v, m)
-                    away = np.sqrt(np.square(v - m[at]).sum(1))
+                    away = _length(v - m[at])
                     new = [pa.array(np.full(len(v), v.shape[1], np.int32)), pa.array(at.astype(np.int32)), pa.array(away)]
                     yield from pa.Table.from_arrays([*(rows.column(c).combine_chunks() for c in ("chunk_id", "register", "c")), *new], names=schema.names).to_batches()
 
         placed = durable(chunks.mapInArrow(work, schema))
         shared.destroy()
-        #: dim, cell, radius, blocks: as many rows as there are centroids, and one for each further length.
-        self.cells = durable(placed.groupBy("dim", "cell").agg(F.max("away").alias("radius"), F.ceil(F.count("*") / CHUNKS).cast("int").alias("blocks")))
+        #: dim, cell, radius, n: as many rows as there are centroids, and one for each further length.
+        self.cells = placed.groupBy("dim", "cell").agg(F.max("away").alias("radius"), F.count("*").alias("n")).collect()
         self.rows = placed
+        self._put_into_blocks()
 
-    def bounds(self, questions: DataFrame) -> DataFrame:
-        """question_id, q, dim, cell, blocks, bound of ``questions`` (question_id, q): all cells of the vector's length, the best first by ``place``."""
-        by_dim: dict[int, list] = {}
-        for r in self.cells.collect():
-            by_dim.setdefault(r.dim, []).append(r)
-        shared = questions.sparkSession.sparkContext.broadcast({dim: (np.array([self.of[dim][r.cell] if dim in self.of else np.zeros(dim) for r in rows]), np.array([r.radius for r in rows]), np.array([r.cell for r in rows], np.int32), np.array([r.blocks for r in rows], np.int32)) for dim, rows in by_dim.items()})
-        schema = T.StructType([questions.schema["question_id"], *(T.StructField(n, k) for n, k in (("dim", T.IntegerType()), ("cell", T.IntegerType()), ("blocks", T.IntegerType()), ("bound", T.DoubleType()), ("place", T.IntegerType())))])
+    def _put_into_blocks(self) -> None:
+        """``blocks``: by vector length the cells' centroids, radii and numbers, and which blocks hold their chunks; ``where``: the latter as (dim, cell, start, spread)."""
+        where, self.blocks, last = [], {}, -1
+        for dim in sorted({r.dim for r in self.cells}):
+            own, room = sorted((r for r in self.cells if r.dim == dim), key=lambda r: r.cell), 0
+            for r in own:
+                size = r.n * max(dim, LEAST)
+                if size > room:
+                    last, room = last + 1, CHUNKS
+                spread = ceil(size / CHUNKS)
+                where.append((dim, r.cell, last, spread))
+                last, room = last + spread - 1, room - size if spread == 1 else 0
+            starts = [w[2:] for w in where[-len(own) :]]
+            first = starts[0][0]
+            holds = np.zeros((len(own), last + 1 - first), np.float32)
+            for i, (start, spread) in enumerate(starts):
+                holds[i, start - first : start - first + spread] = 1
+            middle = np.array([self.of[dim][r.cell] if dim in self.of else np.zeros(dim) for r in own]).reshape(len(own), dim)
+            self.blocks[dim] = middle, np.array([r.radius for r in own]), np.array([r.cell for r in own], np.int32), holds, first
+        self.where = self.rows.sparkSession.createDataFrame(where, "dim int, cell int, start int, spread int")
+
+    def dealt(self, questions: DataFrame, first: int = 0, to: str = "block") -> DataFrame:
+        """A row of ``questions`` (question_id, q, floor), with its vector's length as dim, for each block, or cell, that it opens: the ``first`` cells, or those that can reach its floor."""
+        shared = questions.sparkSession.sparkContext.broadcast(self.blocks)
+        schema = T.StructType([*questions.schema.fields, T.StructField("dim", T.IntegerType()), T.StructField(to, T.IntegerType())])
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for rows, q in matrices(batch, "q"):
                     if q.shape[1] not in shared.value:
                         continue
-                    m, radius, cell, blocks = shared.value[q.shape[1]]
-                    bound = q @ m.T + np.sqrt(np.square(q).sum(1))[:, None] * radius + ROUNDING
-                    order = np.argsort(-bound, axis=1, kind="stable")
-                    place = np.empty_like(order)
-                    np.put_along_axis(place, order, np.arange(len(cell))[None], 1)
-                    who = pa.array(np.repeat(np.arange(len(q)), len(cell)))
-                    flat = [np.full(bound.size, q.shape[1], np.int32), np.tile(cell, len(q)), np.tile(blocks, len(q)), bound.ravel(), place.ravel().astype(np.int32) + 1]
-                    yield from pa.Table.from_arrays([rows.column("question_id").take(who).combine_chunks(), *map(pa.array, flat)], names=schema.names).to_batches()
-
-        return questions.select("question_id", "q").mapInArrow(work, schema)
-
-    def opened(self, questions: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-        """The ``k`` best of each block for its questions, of the ``pairs`` (question_id, dim, cell, blocks) of questions and cells."""
-        groups = pairs.groupBy("dim", "cell").agg(F.ceil(F.count("*") / QUESTIONS).cast("int").alias("groups"), F.max("blocks").alias("blocks"))
-        asked = pairs.select("question_id", "dim", "cell").join(groups, ["dim", "cell"]).join(questions.select("question_id", "q"), "question_id")
-        asked = asked.withColumn("part", F.pmod(F.xxhash64("question_id"), F.col("groups")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("dim", "cell", "block", "part", "question_id", "q")
-        rows = self.rows.join(groups, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int"))
-        rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("dim", "cell", "block", "part", "chunk_id", "register", "c")
-        schema = T.StructType([asked.schema["question_id"], rows.schema["chunk_id"], rows.schema["register"], T.StructField("score", T.DoubleType())])
-
-        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-            i = j = np.zeros(0, np.int64)
-            score = np.zeros(0)
-            if left.num_rows and right.num_rows:
-                (asked_, q), (found, c) = next(matrices(left, "q")), next(matrices(right, "c"))
-                i, j, score = best(q, c, k)
-                left, right = asked_, found
-            at, to = pa.array(i), pa.array(j)
-            return pa.table([left.column("question_id").take(at), right.column("chunk_id").take(to), right.column("register").take(to), pa.array(score)], names=schema.names)
-
-        keys = ("dim", "cell", "block", "part")
-        return asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(meet, schema)
+                    middle, radius, cell, holds, start = shared.value[q.shape[1]]
+                    for at in range(0, len(q), STRIP):
+                        some = rows.slice(at, STRIP)
+                        opens = opened(q[at : at + STRIP], middle, radius, _floors(some), first)
+                        who, what = np.nonzero(opens if to == "cell" else opens.astype(np.float32) @ holds)
+                        new = [pa.array(np.full(len(who), q.shape[1], np.int32)), pa.array(cell[what] if to == "cell" else (start + what).astype(np.int32))]
+                        took = some.take(pa.array(who))
+                        yield from pa.Table.from_arrays([*(took.column(c).combine_chunks() for c in rows.column_names), *new], names=schema.names).to_batches()
+
+        return questions.mapInArrow(work, schema)
+
+    def opened(self, questions: DataFrame, k: int, first: int = 0) -> DataFrame:
+        """question_id, chunk_id, register, score with the ``k`` best of each block for its questions (question_id, q, floor), as far as they reach the floor."""
+        groups = durable(self.dealt(questions, first).groupBy("dim", "block").agg(F.ceil(F.count("*") * F.greatest("dim", F.lit(LEAST)) / QUESTIONS).cast("int").alias("groups")))
+        asked = self.dealt(questions, first).join(F.broadcast(groups), ["dim", "block"])
+        asked = asked.select("dim", "block", F.pmod(F.xxhash64("question_id"), F.col("groups")).cast("int").alias("part"), "question_id", "q", "floor")
+        rows = self.rows.join(F.broadcast(self.where), ["dim", "cell"]).withColumn("block", (F.col("start") + F.pmod(F.xxhash64("chunk_id"), F.col("spread"))).cast("int")).join(F.broadcast(groups), ["dim", "block"])
+        rows = rows.select("dim", "block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), "chunk_id", "register", "c", "cell")
+        shared = questions.sparkSession.sparkContext.broadcast(self.blocks)
+
+        def pairs(asked: pa.Table, q: np.ndarray, found: pa.Table, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            middle, radius, cell, *_ = shared.value[q.shape[1]]
+            floor, at = _floors(asked), found.column("cell").to_numpy()
+            opens = np.concatenate([opened(q[i : i + STRIP], middle, radius, floor[i : i + STRIP], first) for i in range(0, len(q), STRIP)])
+            for x, j in _by_value(at):
+                yield np.flatnonzero(opens[:, np.searchsorted(cell, x)]), j
+
+        return meet(asked, rows, ("dim", "block", "part"), k, pairs)
 
     def nearest(self, questions: DataFrame, k: int, first: int = FIRST) -> tuple[DataFrame, DataFrame]:
-        """question_id, chunk_id, register, score with the ``k`` best of each question among them; and the pairs that were opened."""
-        bounds = durable(self.bounds(questions))
-        start = bounds.filter(F.col("place") <= first)
-        seen = durable(self.opened(questions, start, k))
+        """question_id, chunk_id, register, score with the ``k`` best of each question (question_id, q) among them; and the pairs of questions and cells that were opened."""
+        asked = questions.select("question_id", "q")
+        seen = self.opened(asked.withColumn("floor", F.lit(None).cast("double")), k, first)
         place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score")))
-        floors = seen.withColumn("at", place).filter(F.col("at") == k).select("question_id", F.col("score").alias("floor"))
-        # Scores are held within 0 and 1, so a floor of 0 opens every cell: ties go by chunk_id.
-        rest = bounds.filter(F.col("place") > first).join(floors, "question_id", "left").filter(F.col("floor").isNull() | (F.col("floor") <= 0) | (F.col("bound") >= F.col("floor")))
-        rest = durable(rest.select("question_id", "dim", "cell", "blocks"))
-        return seen.unionByName(self.opened(questions, rest, k)), start.select(*rest.columns).unionByName(rest)
-
-
-def best(q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows with their scores, within 0 and 1, that hold each question's ``k`` best; what ties with the last of them too."""
-    rough = np.clip(q @ c.T, 0.0, 1.0)
-    least = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.zeros(len(q))
-    i, j = np.nonzero(rough >= least[:, None] - ROUNDING)
-    score = np.clip(np.einsum("ij,ij->i", q[i], c[j]), 0.0, 1.0)
-    order = np.lexsort((-score, i))
-    i, j, score = i[order], j[order], score[order]
-    last = np.minimum(np.searchsorted(i, i) + k - 1, np.searchsorted(i, i, side="right") - 1)
-    keep = score >= score[last]
-    return i[keep], j[keep], score[keep]
+        floors = durable(seen.withColumn("at", place).filter(F.col("at") == k).select("question_id", F.col("score").alias("floor")))
+        asked = asked.join(floors, "question_id", "left")
+        return self.opened(asked, k), self.dealt(asked, to="cell").drop("q", "floor")
+
+
+def opened(q: np.ndarray, middle: np.ndarray, radius: np.ndarray, floor: np.ndarray, first: int) -> np.ndarray:
+    """Which cells each question opens: the ``first`` by their bounds or, with 0, those that can reach its floor."""
+    size = _length(q)[:, None]
+    bound = q @ middle.T + size * radius + ROUNDING * (1 + size * (radius + _length(middle)))
+    if 0 < first < len(middle):
+        out = np.zeros(bound.shape, bool)
+        np.put_along_axis(out, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, 1)
+        return out
+    # Scores are held within 0 and 1, so a floor of 0 opens every cell: ties go by chunk_id.
+    return ~((bound < floor[:, None]) & (floor[:, None] > 0))
+
+
+def _floors(rows: pa.Table) -> np.ndarray:
+    return rows.column("floor").fill_null(-1.0).to_numpy()
+
+
+def _by_value(values: np.ndarray) -> Iterator[tuple[object, np.ndarray]]:
+    """Each value with the places that have it, in their order."""
+    order = np.argsort(values, kind="stable")
+    each, at = np.unique(values[order], return_index=True)
+    yield from zip(each, np.split(order, at[1:]), strict=True)
+
+
+def within(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """question_id, chunk_id, register, score with the ``k`` best chunks (chunk_id, register, c) of the register ``only`` of each question (question_id, q, only), and more.
+
+    Registers are dealt to blocks by hash; a large one to several of its own, each of which
+    meets its questions in groups.
+    """
+    q = questions.select("question_id", "q", F.col("only").cast(chunks.schema["register"].dataType).alias("register"), F.size("q").alias("dim")).filter("register is not null")
+    c = chunks.select("chunk_id", "register", "c", F.size("c").alias("dim")).filter("register is not null")
+    weight = F.count("*") * F.greatest("dim", F.lit(LEAST))
+    sizes = q.groupBy("register", "dim").agg(weight.alias("asked")).join(c.groupBy("register", "dim").agg(weight.alias("held")), ["register", "dim"])
+    sizes = durable(sizes.withColumn("groups", F.ceil(F.col("asked") / QUESTIONS).cast("int")).withColumn("blocks", F.ceil(F.col("held") / CHUNKS).cast("int")))
+    whole = sizes.agg(F.sum("asked"), F.sum("held")).first()
+    shelves = 2 * max(ceil((whole[0] or 0) / QUESTIONS), ceil((whole[1] or 0) / CHUNKS), 1)
+    small = (F.col("groups") == 1) & (F.col("blocks") == 1)
+    sizes = sizes.select("register", "dim", "groups", "blocks", F.when(small, F.pmod(F.xxhash64("register"), F.lit(shelves))).otherwise(-1 - F.abs(F.xxhash64("register") % (1 << 62))).alias("shelf"))
+    asked = q.join(sizes, ["register", "dim"]).select("dim", F.col("shelf").alias("shelf"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("question_id"), F.col("groups")).cast("int").alias("part"), "question_id", "q", "register")
+    rows = c.join(sizes, ["register", "dim"]).select("dim", F.col("shelf").alias("shelf"), F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), "chunk_id", "register", "c")
+
+    def pairs(asked: pa.Table, q: np.ndarray, found: pa.Table, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        every = pa.chunked_array([*found.column("register").chunks, *asked.column("register").chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
+        who = dict(_by_value(every[len(c) :]))
+        for x, j in _by_value(every[: len(c)]):
+            if x in who:
+                yield who[x], j
+
+    return meet(asked, rows, ("dim", "shelf", "block", "part"), k, pairs)
+
+
+def meet(asked: DataFrame, rows: DataFrame, keys: tuple[str, ...], k: int, pairs: Callable) -> DataFrame:
+    """question_id, chunk_id, register, score with the ``k`` best of ``rows`` for each row of ``asked`` with the same ``keys``, of the places of rows that ``pairs`` gives together."""
+    schema = T.StructType([asked.schema["question_id"], rows.schema["chunk_id"], rows.schema["register"], T.StructField("score", T.DoubleType())])
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_batches([], schema=to_arrow_schema(schema))
+        right = right.take(pc.sort_indices(right, [("chunk_id", "ascending")], null_placement="at_start"))
+        (left, q), (right, c) = next(matrices(left, "q")), next(matrices(right, "c"))
+        best = Best(q, c, k, _floors(left) if "floor" in left.column_names else np.full(len(q), -1.0))
+        for i, j in pairs(left, q, right, c):
+            best.meet(i, j)
+        who, place = np.nonzero(best.row < len(c))
+        at, to = pa.array(who), pa.array(best.row[who, place])
+        return pa.table([left.column("question_id").take(at), right.column("chunk_id").take(to), right.column("register").take(to), pa.array(best.score[who, place])], names=schema.names)
+
+    return asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(work, schema)
+
+
+class Best:
+    """The ``k`` best rows of ``c`` for each row of ``q`` so far, from its floor on: by scores, within 0 and 1, then by their order.
+
+    Products in single precision tell which pairs can rank, up to ``slack``; those are scored exactly.
+    """
+
+    def __init__(self, q: np.ndarray, c: np.ndarray, k: int, floor: np.ndarray):
+        self.k, self.floor = k, floor
+        self.qt, self.ct = np.ascontiguousarray(q.T), np.ascontiguousarray(c.T)
+        with np.errstate(over="ignore"):
+            self.q, self.c = q.astype(np.float32), c.astype(np.float32)
+        self.slack = (q.shape[1] + 8) * 2.0**-22 * (1 + _length(q) * _length(c).max(initial=0.0))
+        self.score, self.row = np.full((len(q), k), -1.0), np.full((len(q), k), len(c))
+
+    def meet(self, i: np.ndarray, j: np.ndarray) -> None:
+        """The questions at ``i`` see the rows at ``j``, which are none that they saw before."""
+        for a in range(0, len(i), STRIP):
+            for b in range(0, len(j), STRIP):
+                self._strip(i[a : a + STRIP], j[b : b + STRIP])
+
+    def _strip(self, i: np.ndarray, j: np.ndarray) -> None:
+        with np.errstate(over="ignore", invalid="ignore"):
+            rough = self.q[i] @ self.c[j].T
+        least, slack = np.maximum(self.floor[i], self.score[i, -1]), self.slack[i]
+        bar = np.where(least > 0, least, -np.inf)
+        new = np.flatnonzero(least < 0)
+        if len(new) and len(j) > self.k:
+            kth = np.partition(rough[new], -self.k, axis=1)[:, -self.k].astype(np.float64)
+            bar[new] = np.where(kth > slack[new], np.minimum(kth, 1.0) - slack[new], -np.inf)
+        # Not below the bar, so that products that are no numbers go on: SQL holds them for the largest.
+        x, y = np.divmod(np.flatnonzero(~(rough < (bar - slack).astype(np.float32)[:, None])), len(j))
+        # Products are added up one after the other, as SQL does, so that scores and ties are the same.
+        who, what, score = i[x], j[y], np.zeros(len(x))
+        for a, b in zip(self.qt, self.ct, strict=True):
+            score += a[who] * b[what]
+        score = np.where(np.isnan(score), 1.0, np.clip(score, 0.0, 1.0)) + 0.0
+        keep = score >= least[x]
+        if keep.any():
+            self._merge(who[keep], what[keep], score[keep])
+
+    def _merge(self, who: np.ndarray, what: np.ndarray, score: np.ndarray) -> None:
+        own = np.unique(who)
+        who, what, score = np.concatenate([who, np.repeat(own, self.k)]), np.concatenate([what, self.row[own].ravel()]), np.concatenate([score, self.score[own].ravel()])
+        order = np.lexsort((what, -score, who))
+        who = who[order]
+        order = order[np.arange(len(who)) - np.searchsorted(who, who) < self.k]
+        self.row[own], self.score[own] = what[order].reshape(-1, self.k), score[order].reshape(-1, self.k)

@@ -5,25 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.operators.cells import Cells
+from sextant.functions.scratch import durable
+from sextant.operators.cells import Cells, within
 
 FUSION = 60
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def sound(vector: Column) -> Column:
     """The vector is there and has no null component."""
     return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull())
 
 
-def relevance(a: Column, b: Column) -> Column:
-    """Cosine of unit vectors, held within 0 and 1."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b)))
-
-
 def top(scored: DataFrame, k: int, by: tuple[str, ...] = ("question_id",), tie: str = "chunk_id") -> DataFrame:
     """The ``k`` best rows of each question with their rank; ties by ``tie``. Planned with a group limit before the shuffle."""
     order = Window.partitionBy(*by).orderBy(F.desc("score"), tie)
@@ -34,8 +26,10 @@ def retrieve(questions: DataFrame, chunks: DataFrame, k: int = 5, threshold: flo
     """Top chunks by cosine for each question (question_id, vector, only) from chunks (chunk_id, vector, register).
 
     ``only`` is the single entity that the question resolves to, or null for a search over
-    all chunks. The former is an equi-join. The latter open those cells of a metric index
-    (see ``cells``) that can still hold one of their best ``k``. Vectors that are null, hold
+    all chunks. The former meet the chunks of their entity. The latter open those cells of a
+    metric index (see ``cells``) that can still hold one of their best ``k``. Both meet in
+    blocks of bounded size, which return the best only. The cosine of unit vectors is held
+    within 0 and 1; a product that is no number counts as 1, as in SQL. Vectors that are null, hold
     nulls or differ in length don't meet.
     Blank questions and questions without any entity are left out before. The threshold
     applies after the top k.
@@ -46,10 +40,11 @@ def retrieve(questions: DataFrame, chunks: DataFrame, k: int = 5, threshold: flo
         raise ValueError("threshold must be within 0 and 1")
     q = questions.select("question_id", F.col("vector").alias("q"), "only").filter(sound(F.col("q")))
     c = chunks.select("chunk_id", F.col("vector").alias("c"), "register").filter(sound(F.col("c")))
-    within = q.filter("only is not null").join(c, (F.col("only") == F.col("register")) & (F.size("q") == F.size("c")))
-    scored = within.select("question_id", "chunk_id", "register", relevance(F.col("q"), F.col("c")).alias("score"))
-    open_ = q.filter("only is null").select("question_id", "q")
-    every = scored if open_.isEmpty() else scored.unionByName(Cells(c).nearest(open_, k)[0])
+    q = durable(q)
+    every = within(q.filter("only is not null"), c, k)
+    open_ = q.filter("only is null")
+    if not open_.isEmpty():
+        every = every.unionByName(Cells(c).nearest(open_, k)[0])
     found = top(every, k)
     return found if threshold is None else found.filter(F.col("score") >= threshold)
 
