@@ -65,7 +65,7 @@ def test_a_search_within_an_entity_returns_the_best_only(spark):
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="the driver's tables aren't here")
-@pytest.mark.parametrize("name", ["search_by_entity"])
-def test_pairs_of_questions_and_chunks_are_not_sorted(spark, name):
+@pytest.mark.parametrize("name", ["search_by_entity", "evaluation_run"])
+def test_pairs_of_questions_and_chunks_are_not_sorted_and_texts_are_masked_once(spark, name):
     text = plan(catalogue.QUERIES[name](spark, SF))
-    assert "zip_with" not in text
+    assert "zip_with" not in text and "ArrowEvalPython" not in text
