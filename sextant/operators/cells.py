@@ -243,7 +243,7 @@ class Best:
     """
 
     def __init__(self, q: np.ndarray, c: np.ndarray, k: int, floor: np.ndarray):
-        self.k, self.floor = k, floor
+        self.k, self.floor, self.vectors = k, floor, np.ascontiguousarray(c)
         self.qt, self.ct = np.ascontiguousarray(q.T), np.ascontiguousarray(c.T)
         with np.errstate(over="ignore"):
             self.q, self.c = q.astype(np.float32), c.astype(np.float32)
@@ -252,10 +252,19 @@ class Best:
 
     def meet(self, i: np.ndarray, j: np.ndarray) -> None:
         """The questions at ``i`` see the rows at ``j``, which are none that they saw before."""
+        j = self.ranking(j) if len(i) else j
         for a in range(0, len(i), STRIP):
             for b in range(0, len(j), STRIP):
                 self._strip(i[a : a + STRIP], j[b : b + STRIP])
 
+    def ranking(self, j: np.ndarray) -> np.ndarray:
+        """``j`` without the rows before which ``k`` equal ones stand, as those can't rank."""
+        rows = self.vectors[j]
+        same = np.unique(rows.view(f"V{rows.shape[1] * rows.itemsize}").ravel(), return_inverse=True)[1] if rows.shape[1] else np.zeros(len(j), np.int64)
+        order = np.argsort(same, kind="stable")
+        same = same[order]
+        return j[np.sort(order[np.arange(len(j)) - np.searchsorted(same, same) < self.k])]
+
     def _strip(self, i: np.ndarray, j: np.ndarray) -> None:
         with np.errstate(over="ignore", invalid="ignore"):
             rough = self.q[i] @ self.c[j].T

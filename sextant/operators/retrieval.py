@@ -41,10 +41,12 @@ def retrieve(questions: DataFrame, chunks: DataFrame, k: int = 5, threshold: flo
     q = questions.select("question_id", F.col("vector").alias("q"), "only").filter(sound(F.col("q")))
     c = chunks.select("chunk_id", F.col("vector").alias("c"), "register").filter(sound(F.col("c")))
     q = durable(q)
-    every = within(q.filter("only is not null"), c, k)
-    open_ = q.filter("only is null")
-    if not open_.isEmpty():
-        every = every.unionByName(Cells(c).nearest(open_, k)[0])
+    named, open_ = q.filter("only is not null"), q.filter("only is null")
+    if open_.isEmpty():
+        every = within(named, c, k)
+    else:
+        every = Cells(c).nearest(open_, k)[0]
+        every = every if named.isEmpty() else every.unionByName(within(named, c, k))
     found = top(every, k)
     return found if threshold is None else found.filter(F.col("score") >= threshold)
 

@@ -58,6 +58,18 @@ def test_a_question_is_sent_once_to_a_block_of_cells(spark, monkeypatch):
     assert built.opened(asked, 3).count() <= 3 * dealt.count()
 
 
+def test_copies_that_cannot_rank_are_not_multiplied():
+    v = np.random.default_rng(5).normal(size=(40, 8))
+    c = np.concatenate([np.repeat(v[:1], 3000, 0), v, np.zeros((50, 8))])
+    best = cells.Best(v, c, 4, np.full(40, -1.0))
+    assert best.ranking(np.arange(len(c))).tolist() == [0, 1, 2, 3, *range(3001, 3040), *range(3040, 3044)]
+    assert cells.Best(v[:, :0], c[:, :0], 4, best.floor).ranking(np.arange(9)).tolist() == [0, 1, 2, 3]
+    best.meet(np.arange(40), np.arange(len(c)))
+    score = np.clip(v @ c.T, 0, 1)
+    want = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :4]
+    assert best.row.tolist() == want.tolist()
+
+
 def test_a_search_within_an_entity_returns_the_best_only(spark):
     chunks = spark.createDataFrame(vectors(), "chunk_id long, c array<double>, register string")
     asked = spark.createDataFrame([(c, v, r) for c, v, r in vectors()[:100]], "question_id long, q array<double>, only string")
